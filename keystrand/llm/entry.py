@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pivotal_mix
+from . import decontaminate, html_mincut, pivotal_mix, url_templates
 from .common import LOWER, UPPER, read_table
 
 
@@ -46,13 +46,25 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.digest(pivotal_mix.mix(documents))
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_templates.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract": op1_extract,
     "op5_decontaminate": op5_decontaminate,
+    "op6_url_filter": op6_url_filter,
     "op10_mix": op10_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
+    "op6_url_filter": url_templates.sql(),
 }
 
 
