@@ -51,3 +51,17 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (text, <label>) of documents that have a label and for whose id `usable` holds: about max_rows of them at most.
+
+    The sample is of the label table, by hash of the id, so it is the same on every run; its bound is what lets it be
+    broadcast. Null labels and ids are left out, of repeated labels the larger counts.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & usable).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias(label))
+    n = known.count()
+    if n > max_rows:
+        known = known.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 40)) < int((1 << 40) * (max_rows / n)))
+    rows = documents.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", label)
+    return cut(rows, f"labelled-{label}")

@@ -5,9 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_mincut, pivotal_mix, url_templates
-from .common import LOWER, UPPER, read_table
+from . import decontaminate, html_mincut, knn_quality, pivotal_mix, toxicity, url_templates
+from .common import LOWER, UPPER, labelled_texts, read_table, remainder
+
+
+#: Documents from this score on are predicted to have label 1.
+PREDICT_AT = 0.3
+
+
+def toxicity_grammar(spark: SparkSession, sf_dir: str, documents: DataFrame) -> toxicity.Grammar:
+    """Grammar learned from `documents` with labels of table labels, those of crc32(doc_id) mod 4 = 2 kept out."""
+    usable = remainder(F.col("doc_id"), 4) != 2
+    return toxicity.fit(labelled_texts(documents, read_table(spark, sf_dir, "labels"), "toxic", usable, toxicity.MAX_FIT_ROWS))
+
+
+def quality_model(spark: SparkSession, sf_dir: str, documents: DataFrame) -> knn_quality.Model:
+    """Model learned from `documents` with labels of table labels, those of crc32(doc_id) mod 5 = 0 kept out."""
+    usable = remainder(F.col("doc_id"), 5) != 0
+    return knn_quality.fit(labelled_texts(documents, read_table(spark, sf_dir, "labels"), "quality", usable, knn_quality.MAX_FIT_ROWS))
+
+
+def _predicted(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predicted(toxicity.score(documents, toxicity_grammar(spark, sf_dir, documents)), remainder(F.col("doc_id"), 4) == 2)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predicted(knn_quality.score(documents, quality_model(spark, sf_dir, documents)), remainder(F.col("doc_id"), 5) == 0)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +88,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
+    "op3_toxicity": op3_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
+    "op9_quality": op9_quality,
     "op10_mix": op10_mix,
 }
 

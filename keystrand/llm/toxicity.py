@@ -22,14 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 #: Labelled texts the grammar is fitted on, at most; the ones with the least hash of the text where there are more.
 MAX_FIT_ROWS = 40_000
 #: Stems kept in the lexicon, at most.
 MAX_LEXICON = 20_000
 #: Shortest and longest prefix that can be a stem.
 STEM = (3, 8)
-#: Toxic texts that must have a stem, and its least log-odds.
-MIN_TOXIC, MIN_LOG_ODDS = 2, 2.0
+#: Least log-odds of an arc, and most clean texts with it as a share of the toxic ones.
+MIN_LOG_ODDS, MAX_CLEAN = 2.0, 0.1
+#: Arcs that may pass by chance: the least number of toxic texts an arc needs is the first at which fewer are expected.
+CHANCE, MOST_SUPPORT = 0.3, 12
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -59,7 +63,7 @@ class Grammar:
         found = self.words.get(token)
         if found is None:
             found = 0.0
-            for k in range(min(len(token), STEM[1]), STEM[0] - 1, -1):
+            for k in range(min(len(token) - 1, STEM[1]), STEM[0] - 1, -1):
                 if token[:k] in self.stems:
                     found = self.stems[token[:k]]
                     break
@@ -112,7 +116,8 @@ class Grammar:
 
 
 def stems_of(token: str) -> list[str]:
-    return [token[:k] for k in range(STEM[0], min(len(token), STEM[1]) + 1)]
+    """Proper prefixes: a stem that stands alone is a word of its own."""
+    return [token[:k] for k in range(STEM[0], min(len(token) - 1, STEM[1]) + 1)]
 
 
 def counted(labelled: DataFrame) -> DataFrame:
@@ -161,23 +166,23 @@ def fit(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS, max_lexicon: int = MA
     if not n1 or not n0:
         return Grammar({}, {}, floor=(n1 + 0.01) / (n1 + n0 + 1.0))
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
+    arcs = cut(counted(labelled), "toxic-arcs")
+    by_support = {r["k"]: r["n"] for r in arcs.groupBy((F.col("toxic") + F.col("clean")).alias("k")).agg(F.count("*").alias("n")).where(F.col("k") <= MOST_SUPPORT).collect()}
+    least = next((k for k in range(2, MOST_SUPPORT) if by_support.get(k, 0) * (n1 / (n1 + n0)) ** k < CHANCE), MOST_SUPPORT)
     kept = (
-        counted(labelled)
-        .where(F.col("toxic") >= MIN_TOXIC)
+        arcs.where(F.col("toxic") >= least)
         .withColumn("odds", odds)
-        .where(F.col("odds") >= MIN_LOG_ODDS)
-        .where(F.col("clean") <= 0.02 * F.col("toxic"))
+        .where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("clean") <= MAX_CLEAN * F.col("toxic")))
         .orderBy(F.col("toxic").desc(), "clean", "arc")
         .limit(max_lexicon)
         .collect()
     )
-    rare = 8 if n1 >= 100 else MIN_TOXIC  # with many toxic texts an arc of a few is chance
-    words = {r["arc"][:-1]: r["odds"] for r in kept if r["arc"].endswith(" ") and r["toxic"] >= rare}
-    stems = {r["arc"]: r["odds"] for r in kept if not r["arc"].endswith(" ") and r["toxic"] >= rare}
-    # A stem that says no more than a shorter one, or than one whole word, has no arc of its own.
+    words = {r["arc"][:-1]: r["odds"] for r in kept if r["arc"].endswith(" ")}
+    stems = {r["arc"]: r["odds"] for r in kept if not r["arc"].endswith(" ")}
+    # A stem whose texts are nearly all those of one longer stem or word has no arc of its own.
     n_of = {r["arc"]: r["toxic"] for r in kept}
-    stems = {s: w for s, w in stems.items() if s[:-1] not in stems or n_of[s] > n_of.get(s[:-1], 0)}
-    grammar = Grammar(words, stems)
+    covered = {arc.rstrip(" ")[:-1] for arc, n in n_of.items() if n >= 0.9 * n_of.get(arc.rstrip(" ")[:-1], math.inf)}
+    grammar = Grammar(words, {s: w for s, w in stems.items() if s not in covered})
     return _calibrated(grammar, labelled, n1, n0)
 
 
