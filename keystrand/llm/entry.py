@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_mincut, knn_quality, pivotal_mix, toxicity, url_templates
+from . import decontaminate, html_mincut, knn_quality, pivotal_mix, simhash_gray, toxicity, url_templates
 from .common import LOWER, UPPER, labelled_texts, read_table, remainder
 
 
@@ -36,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(documents, toxicity_grammar(spark, sf_dir, documents)), remainder(F.col("doc_id"), 4) == 2)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return _predicted(knn_quality.score(documents, quality_model(spark, sf_dir, documents)), remainder(F.col("doc_id"), 5) == 0)
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
+    "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
     "op10_mix": op10_mix,
 }
