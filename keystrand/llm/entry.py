@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_mincut, knn_quality, pivotal_mix, simhash_gray, toxicity, url_templates
+from . import decontaminate, html_mincut, knn_quality, ngram_bloom, pivotal_mix, simhash_gray, toxicity, url_templates
 from .common import LOWER, UPPER, labelled_texts, read_table, remainder
 
 
@@ -36,6 +36,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(documents, toxicity_grammar(spark, sf_dir, documents)), remainder(F.col("doc_id"), 4) == 2)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model, tokens = ngram_bloom.fit(documents.where(~held_out).select("text"))
+    scored = ngram_bloom.score(documents, model, tokens)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -93,6 +101,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op3_toxicity": op3_toxicity,
+    "op4_language_model": op4_language_model,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
