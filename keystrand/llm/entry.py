@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_mincut, knn_quality, ngram_bloom, pivotal_mix, simhash_gray, toxicity, url_templates
+from . import decontaminate, html_mincut, knn_quality, licenses, ngram_bloom, pivotal_mix, simhash_gray, toxicity, url_templates
 from .common import LOWER, UPPER, labelled_texts, read_table, remainder
 
 
@@ -100,6 +100,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
+    "op2_licenses": licenses.op2_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_language_model": op4_language_model,
     "op5_decontaminate": op5_decontaminate,
@@ -110,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": licenses.sql(),
     "op5_decontaminate": OP5_SQL,
     "op6_url_filter": url_templates.sql(),
 }
