@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_mincut, knn_quality, licenses, ngram_bloom, pivotal_mix, simhash_gray, toxicity, url_templates
+from . import bmw_search, decontaminate, html_mincut, knn_quality, licenses, ngram_bloom, pivotal_mix, simhash_gray, toxicity, url_templates
 from .common import LOWER, UPPER, labelled_texts, read_table, remainder
 
 
@@ -106,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_simhash": op7_simhash,
+    "op8_search": bmw_search.op8_search,
     "op9_quality": op9_quality,
     "op10_mix": op10_mix,
 }
