@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrand.config import ConsumerSettings
 from keystrand.functions import scalars as fn
-from keystrand.operators import decode, dedup, defer, filters, offsets, outcome, telemetry, timers, windows
+from keystrand.operators import decode, dedup, defer, filters, migrations, offsets, outcome, telemetry, timers, windows
+from keystrand.plans import modes
 from keystrand.sources import log as logs
 from keystrand.sources import sinks
 
@@ -483,3 +485,57 @@ def events_union(s, d):
     messages = logs.event_log(s, d).select(F.lit("message").alias("kind"), "part", "key", F.floor(F.col("ts_us") / 1_000_000).alias("at_s"))
     return messages.unionByName(_timers(s, d).select(F.lit("timer").alias("kind"), "part", "key", F.col("time_s").alias("at_s")))
 
+
+
+FILES = [("20250613_create_timers.cql", "-- timers\nCREATE TABLE {{ks}}.timers;\n\nCREATE TABLE x;\n"), ("20251126_create_offsets.cql", "CREATE TABLE y;"), ("20260319_create_dedup.cql", "CREATE TABLE z;")]
+FILES_SQL = "f(filename, sql) AS (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in FILES) + ")"
+
+
+def _files(s):
+    return s.createDataFrame(FILES, "filename string, sql string")
+
+
+@query("pending_migrations", f"WITH {FILES_SQL} SELECT filename, sha256(replace(sql, '{{{{ks}}}}', 'app')) AS checksum FROM f WHERE filename <> '20251126_create_offsets.cql'")
+def pending_migrations(s, d):
+    applied = s.createDataFrame([("20251126_create_offsets.cql",)], "filename string")
+    return migrations.ordered(migrations.pending(_files(s), applied)).select("filename", migrations.checksum(migrations.substituted(F.col("sql"), {"ks": "app"})).alias("checksum"))
+
+
+@query("validated_migrations", "SELECT * FROM (VALUES ('20251126_create_offsets.cql', 'ok'), ('20260319_create_dedup.cql', 'changed'), ('20240101_gone.cql', 'unknown')) t(filename, status)")
+def validated_migrations(s, d):
+    import hashlib
+
+    was = hashlib.sha256(FILES[1][1].encode()).hexdigest()
+    applied = s.createDataFrame([(FILES[1][0], was), (FILES[2][0], "other"), ("20240101_gone.cql", "x")], "filename string, checksum string")
+    return migrations.validated(_files(s), applied)
+
+
+@query("migration_statements", "SELECT * FROM (VALUES ('20250613_create_timers.cql', 2), ('20251126_create_offsets.cql', 1), ('20260319_create_dedup.cql', 1)) t(filename, n)")
+def migration_statements(s, d):
+    return _files(s).select("filename", F.size(migrations.statements(F.col("sql"))).alias("n"))
+
+
+@query("upgraded_timers", f"WITH {LOG}, {CMD}, {TIM} SELECT part, key, time_s, CAST(0 AS TINYINT) AS timer_type, time_s // 3600 AS slab_id, 3 AS version FROM (SELECT DISTINCT part, key, time_s FROM tim)")
+def upgraded_timers(s, d):
+    v1 = _timers(s, d).select("part", "key", "time_s").distinct().withColumn("version", F.lit(None).cast("int"))
+    return migrations.upgraded_timers(v1, 3600)
+
+
+def _settings():
+    return ConsumerSettings(group_id=GROUP, allowed_events=PREFIXES)
+
+
+@query("mode_low_latency", f"WITH {LOG}, {IDS}, {DROPS} SELECT part, off, outcome, CASE WHEN outcome = 'success' THEN 'done' ELSE 'routed' END AS action FROM drops WHERE reason IS NULL")
+def mode_low_latency(s, d):
+    return modes.low_latency(logs.event_log(s, d), lambda rows: rows, _settings()).select("part", "off", "outcome", "action")
+
+
+@query("mode_best_effort", f"WITH {LOG}, {IDS}, {DROPS} SELECT part, off, outcome, CASE WHEN outcome = 'success' THEN 'done' ELSE 'dropped' END AS action FROM drops WHERE reason IS NULL")
+def mode_best_effort(s, d):
+    return modes.best_effort(logs.event_log(s, d), lambda rows: rows, _settings()).select("part", "off", "outcome", "action")
+
+
+@query("mode_pipeline", f"""WITH {LOG}, {IDS}, {DROPS}, i AS (SELECT *, id IS NOT NULL AS by_id, coalesce(id, CAST(off AS VARCHAR)) AS identity FROM drops WHERE reason IS NULL)
+SELECT part, off, outcome, CASE WHEN outcome = 'transient' THEN 'deferred' ELSE 'done' END AS action FROM (SELECT *, min(CASE WHEN outcome IN ('success', 'permanent') THEN off END) OVER (PARTITION BY part, key, by_id, identity) AS cut FROM i) WHERE cut IS NULL OR off <= cut""")
+def mode_pipeline(s, d):
+    return modes.pipeline(logs.event_log(s, d), lambda rows: rows, _settings()).select("part", "off", "outcome", "action")
