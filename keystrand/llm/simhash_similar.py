@@ -1,8 +1,8 @@
 """Near-duplicate groups by SimHash candidates and exact Jaccard similarity of word-shingle sets.
 
 Two 64-bit SimHash lanes over the distinct five-word shingles sketch every text. Equal sketches are one class. Classes within
-a small radius are joined by the Gray-order index without emitting pairs. The least class of each such cluster then meets
-others under masked bit patterns of both lanes; candidate pairs within a wide radius are verified on the shingle sets.
+a small radius are joined to clusters by the Gray-order index without emitting pairs. Classes of different clusters then meet
+under masked bit patterns of both lanes; candidate pairs within a wide radius are verified on the shingle sets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ CERTAIN = 10
 #: Differing bits of both lanes up to which a pair is verified: 0.8 gives about 19 of 128, with a deviation of about 4.
 WIDE = 34
 #: Masked patterns per class and their bits; a pattern with more than NODE_ROWS classes is split by FINER_BITS more.
-TABLES, BITS, FINER, FINER_BITS, NODE_ROWS = 44, 14, 12, 6, 4096
+TABLES, BITS, FINER, FINER_BITS, NODE_ROWS = 44, 12, 12, 6, 4096
 #: Keys up to which the shingle sets' owners are broadcast to find their texts.
 MAX_BROADCAST_KEYS = 1_000_000
 
@@ -54,11 +54,12 @@ def masks(tables: int = TABLES, bits: int = BITS, seed: int = 5) -> list[tuple[i
     return [(k % 2, sum(1 << p for p in draw.sample(range(64), bits))) for k in range(tables)]
 
 
-def candidates(reps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Distinct pairs (a, b, sure) of class ids, from rows (cid, fp, fp2, n), that share a pattern and lie within WIDE."""
+def candidates(reps: DataFrame, hubs: bool, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Distinct pairs (a, b) of class ids, from rows (cid, root, fp, fp2, n), of different roots that share a pattern and lie
+    within WIDE: all of them, or with `hubs` for each class and pattern only the one with the least class id."""
     lanes = ("fp", "fp2")
     table = F.array(*[F.xxhash64(F.lit(k), F.col(lanes[lane]).bitwiseAND(F.lit(signed(m)))) for k, (lane, m) in enumerate(masks())])
-    rows = reps.select("cid", "fp", "fp2", "n", F.explode(table).alias("pattern"))
+    rows = reps.select("cid", "root", "fp", "fp2", "n", F.explode(table).alias("pattern"))
     found = None
     for level in range(4):
         large = rows.groupBy("pattern").agg(F.count("*").alias("_n")).where(F.col("_n") > node_rows).select("pattern") if level < 3 else None
@@ -68,12 +69,12 @@ def candidates(reps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
         small = rows.join(large, "pattern", "left_anti")
         found = small if found is None else found.unionByName(small)
         finer = F.array(*[F.xxhash64("pattern", F.lit(k), F.col(lanes[lane]).bitwiseAND(F.lit(signed(m)))) for k, (lane, m) in enumerate(masks(FINER, FINER_BITS * (level + 1), 50 + level))])
-        rows = cut(rows.join(large, "pattern", "left_semi").select("cid", "fp", "fp2", "n", F.explode(finer).alias("pattern")), "finer-patterns")
-    dealt = found.repartition("pattern").sortWithinPartitions("pattern", "n").select("pattern", "cid", "fp", "fp2", "n")
+        rows = cut(rows.join(large, "pattern", "left_semi").select("cid", "root", "fp", "fp2", "n", F.explode(finer).alias("pattern")), "finer-patterns")
+    dealt = found.repartition("pattern").sortWithinPartitions("pattern", "n").select("pattern", "cid", "root", "fp", "fp2", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pattern, cid, fp, fp2, n in runs_of(batches, 1):
-            x, y = fp.view(np.uint64), fp2.view(np.uint64)
+        for pattern, cid, root, fp, fp2, n in runs_of(batches, 1):
+            x, y, hub = fp.view(np.uint64), fp2.view(np.uint64), cid.copy()
             for d in range(1, len(n)):
                 i = np.flatnonzero((pattern[d:] == pattern[:-d]) & (n[:-d] >= SIMILARITY * n[d:]))  # sorted by n
                 if not len(i):
@@ -82,10 +83,16 @@ def candidates(reps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
                     continue
                 j = i + d
                 apart = np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(y[i] ^ y[j])
-                ok = apart <= WIDE
-                if ok.any():
+                ok = (apart <= WIDE) & (root[i] != root[j])
+                if hubs:
+                    np.minimum.at(hub, i[ok], cid[j[ok]])
+                    np.minimum.at(hub, j[ok], cid[i[ok]])
+                elif ok.any():
                     p, q = cid[i[ok]], cid[j[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+            own = hub < cid
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array(hub[own]), pa.array(cid[own])], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -130,11 +137,12 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = cut(rows.groupBy("cid").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.min(rank).alias("rep")), "similar-classes")
     full = classes.where("n > 0")
     tight = cut(links(full.select("cid", "fp", "fp2"), RADIUS, second=CERTAIN), "tight-links")
-    inner = cut(components(tight), "tight-clusters")
-    reps = cut(full.join(inner.where("node <> root").select(F.col("node").alias("cid")), "cid", "left_anti"), "similar-reps")
-    pairs = cut(candidates(reps), "candidates")
-    edges = tight.unionByName(verified(pairs, documents, reps, id_col, text_col))
-    roots = components(edges)
+    edges, roots = tight, cut(components(tight), "tight-clusters")
+    for hubs in (True, False):  # a group joins around its hubs first, so that few of its pairs are left to verify
+        reps = full.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        pairs = cut(candidates(cut(reps, "similar-reps"), hubs), "candidates")
+        edges = cut(edges.unionByName(verified(pairs, documents, classes, id_col, text_col)), "similar-links")
+        roots = cut(components(edges), "similar-clusters")
     grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("rep").alias("keep"))
     return rows, cut(grouped.join(kept, "root").select("cid", "keep"), "similar-roots")
