@@ -47,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
 
 
 def settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pivotal rounding over one chunk: (size, p, u) in the order of (u, size); p becomes null where settled in `extra`."""
-    rows = rows.sort_values(["u", "size"], kind="stable").reset_index(drop=True)
+    """Pivotal rounding over one chunk: (size, p) in the order of v with draws u; p becomes null where settled in `extra`."""
+    rows = rows.sort_values(["v", "size"], kind="stable").reset_index(drop=True)
     size, p, u = rows["size"].tolist(), rows["p"].tolist(), rows["u"].tolist()
     extra = [0] * len(rows)
     left: list[float | None] = [None] * len(rows)
@@ -114,7 +114,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         "_rid", "doc_id", "source", "size", "source_size", "target",
         F.floor(ratio).cast("int").alias("base"),
         (ratio - F.floor(ratio)).alias("p"),
-        (F.shiftrightunsigned("_draw", 11) / float(2**53)).alias("u"),
+        "_draw", F.lit(0.0).alias("u"), F.lit(0).cast("long").alias("v"),
         F.pmod(F.xxhash64("_draw"), chunks).alias("chunk"),
     )
     schema = rows.select("*", F.lit(0).alias("extra")).schema
@@ -123,16 +123,21 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     def chunked(part: pd.DataFrame) -> pd.DataFrame:
         return settle(part)[columns]
 
-    level = cut(rows.groupBy("source", "chunk").applyInPandas(chunked, schema), "mix-level")
+    def drawn(rows: DataFrame, level: int) -> DataFrame:
+        """Draw u and order v, both new at each level: a draw must not depend on the order, nor on an earlier one."""
+        u = F.shiftrightunsigned(F.xxhash64("_draw", F.lit(2 * level)), 11) / float(2**53)
+        return rows.withColumn("u", u).withColumn("v", F.xxhash64("_draw", F.lit(2 * level + 1)))
+
+    level = cut(drawn(rows, 0).groupBy("source", "chunk").applyInPandas(chunked, schema), "mix-level")
     done = [level.where("p IS NULL")]
     rest = level.where("p IS NOT NULL")
-    n = math.ceil(most / chunk_rows)
+    n, depth = math.ceil(most / chunk_rows), 0
     while n > 1:
-        n = math.ceil(n / fan_in)
-        rest = cut(rest.withColumn("chunk", F.floor(F.col("chunk") / fan_in)).drop("extra").groupBy("source", "chunk").applyInPandas(chunked, schema), "mix-level")
+        n, depth = math.ceil(n / fan_in), depth + 1
+        rest = cut(drawn(rest, depth).withColumn("chunk", F.floor(F.col("chunk") / fan_in)).drop("extra").groupBy("source", "chunk").applyInPandas(chunked, schema), "mix-level")
         done.append(rest.where("p IS NULL"))
         rest = rest.where("p IS NOT NULL")
-    done.append(rest.withColumn("extra", (F.col("u") < F.col("p")).cast("int")))
+    done.append(drawn(rest, depth + 1).withColumn("extra", (F.col("u") < F.col("p")).cast("int")))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
