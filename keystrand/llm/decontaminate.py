@@ -1,12 +1,13 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Normalised windows of the benchmark form a hash set that is broadcast when its counted size is under a bound (and joined
-by shuffle beyond it). Every document is tokenised once; each word position hashes its window inside one code-generated
+Normalised windows of the benchmark form a hash set. Its counted size decides into how many parts of bounded size it is cut;
+each part is broadcast in a scan of its own (one scan for all but very large benchmarks). Every document is tokenised once; each word position hashes its window inside one code-generated
 stage, probes the set, and a probe that answers is verified word by word. Hits are folded back per row.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import NOT_WORD, ascii_lower
 
 WINDOW = 10
-#: Windows (about 150 bytes each) up to which the set is broadcast; above it the same join shuffles by window hash.
+#: Windows (about 150 bytes each) in a broadcast part of the set, about.
 MAX_BROADCAST_WINDOWS = 400_000
 
 
@@ -50,7 +51,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
     """All columns of `documents` but the text, plus n_words, hit_positions (0-based, sorted) and items (sorted ids).
 
     Null and empty texts: no words, no hits. Repeated rows are judged one by one. Ties can't arise: every window that
-    occurs counts. Clashing column names are safe as all inner names start with an underscore.
+    occurs counts. Clashing column names are safe as all inner names start with an underscore. `documents` has to be a table scan:
+    rows are numbered in every scan.
     """
     windows = benchmark_windows(benchmark, window)
     lengths = sorted((r["w_len"], r["n"]) for r in windows.groupBy("w_len").agg(F.count("*").alias("n")).collect())  # at most `window` rows
@@ -66,8 +68,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
         "w_words", "w_items", "w_len",
         reduce(lambda a, n: F.when(F.col("w_len") == n, F.xxhash64(*[F.get("w_words", F.lit(k)) for k in range(n)])).otherwise(a), [n for n, _ in lengths], F.lit(None).cast("long")).alias("_key"),
     )
-    if sum(n for _, n in lengths) <= max_broadcast_windows:
-        keyed = F.broadcast(keyed)
+    rounds = math.ceil(sum(n for _, n in lengths) / max_broadcast_windows)
     spots = base.select("_row", "_rid", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)))).alias("_pos"))
     probes = [_hash_at("_w", "_pos", n) for n, _ in lengths]
     if len(probes) == 1:
@@ -75,11 +76,15 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
     else:
         probed = spots.select("_row", "_rid", "_w", "_pos", F.explode(F.array(*probes)).alias("_probe"))
     verified = (F.col("_probe") == F.col("_key")) & (F.slice("_w", F.col("_pos") + 1, F.col("w_len")) == F.col("w_words"))
-    found = (
-        probed.join(keyed, verified, "left")
-        .where(F.col("w_len").isNotNull() | (F.col("_pos") == 0))
-        .select("_row", "_rid", F.when(F.col("_pos") == 0, F.size("_w")).alias("_n"), F.when(F.col("w_len").isNotNull(), F.struct("_pos", "w_len", "w_items")).alias("_hit"))
-    )
+    found = None
+    for k in range(rounds):
+        part = F.broadcast(keyed.where(F.pmod("_key", F.lit(rounds)) == k))
+        hits = (
+            probed.join(part, verified, "left")
+            .where(F.col("w_len").isNotNull() | (F.col("_pos") == 0))
+            .select("_row", "_rid", F.when(F.col("_pos") == 0, F.size("_w")).alias("_n"), F.when(F.col("w_len").isNotNull(), F.struct("_pos", "w_len", "w_items")).alias("_hit"))
+        )
+        found = hits if found is None else found.unionByName(hits)
     folded = found.groupBy("_rid").agg(F.first("_row").alias("_row"), F.max("_n").alias("_n"), F.collect_list("_hit").alias("_hits"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["_pos"], h["_pos"] + h["w_len"] - 1)))))
     return folded.select("_row.*", F.col("_n").cast("long").alias("n_words"), covered.alias("hit_positions"), F.array_distinct(F.flatten(F.col("_hits.w_items"))).alias("items")).drop("_pad")
