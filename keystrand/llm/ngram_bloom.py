@@ -36,7 +36,7 @@ MAX_LEVEL = 40
 #: Training texts used for the mixing weights, about.
 FIT_TEXTS = 2_000
 #: Distinct pairs and tokens a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BUCKETS = 32
 #: Tokens scored at a time, about.
 BLOCK_TOKENS = 100_000
@@ -75,7 +75,7 @@ def pair_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Tokens:
     """Codes of tokens seen by a worker, with their hashes; forgets all when it has too many."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 250_000):
         self.bound, self.code, self.hashes = bound, {}, np.zeros(1 << 12, np.uint64)
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
