@@ -26,6 +26,8 @@ CERTAIN = 10
 WIDE = 34
 #: Masked patterns per class and their bits; a pattern with more than NODE_ROWS classes is split by FINER_BITS more.
 TABLES, BITS, FINER, FINER_BITS, NODE_ROWS = 44, 12, 12, 6, 4096
+#: Times that clusters look for their nearest candidates; the search also ends when a round links nothing.
+ROUNDS = 5
 #: Keys up to which the shingle sets' owners are broadcast to find their texts.
 MAX_BROADCAST_KEYS = 1_000_000
 
@@ -54,9 +56,9 @@ def masks(tables: int = TABLES, bits: int = BITS, seed: int = 5) -> list[tuple[i
     return [(k % 2, sum(1 << p for p in draw.sample(range(64), bits))) for k in range(tables)]
 
 
-def candidates(reps: DataFrame, hubs: bool, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Distinct pairs (a, b) of class ids, from rows (cid, root, fp, fp2, n), of different roots that share a pattern and lie
-    within WIDE: all of them, or with `hubs` for each class and pattern only the one with the least class id."""
+def candidates(reps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Distinct pairs (a, b) of class ids, from rows (cid, root, fp, fp2, n): for each class and pattern the nearest class of
+    another root within WIDE that has the pattern."""
     lanes = ("fp", "fp2")
     table = F.array(*[F.xxhash64(F.lit(k), F.col(lanes[lane]).bitwiseAND(F.lit(signed(m)))) for k, (lane, m) in enumerate(masks())])
     rows = reps.select("cid", "root", "fp", "fp2", "n", F.explode(table).alias("pattern"))
@@ -74,7 +76,8 @@ def candidates(reps: DataFrame, hubs: bool, node_rows: int = NODE_ROWS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pattern, cid, root, fp, fp2, n in runs_of(batches, 1):
-            x, y, hub = fp.view(np.uint64), fp2.view(np.uint64), cid.copy()
+            x, y = fp.view(np.uint64), fp2.view(np.uint64)
+            least, near = np.full(len(n), WIDE + 1), np.full(len(n), -1)
             for d in range(1, len(n)):
                 i = np.flatnonzero((pattern[d:] == pattern[:-d]) & (n[:-d] >= SIMILARITY * n[d:]))  # sorted by n
                 if not len(i):
@@ -84,15 +87,14 @@ def candidates(reps: DataFrame, hubs: bool, node_rows: int = NODE_ROWS) -> DataF
                 j = i + d
                 apart = np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(y[i] ^ y[j])
                 ok = (apart <= WIDE) & (root[i] != root[j])
-                if hubs:
-                    np.minimum.at(hub, i[ok], cid[j[ok]])
-                    np.minimum.at(hub, j[ok], cid[i[ok]])
-                elif ok.any():
-                    p, q = cid[i[ok]], cid[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-            own = hub < cid
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array(hub[own]), pa.array(cid[own])], names=["a", "b"])
+                for one, other in ((i[ok], j[ok]), (j[ok], i[ok])):  # no place twice in either
+                    nearer = apart[ok] < least[one]
+                    least[one[nearer]] = apart[ok][nearer]
+                    near[one[nearer]] = other[nearer]
+            own = np.flatnonzero(near >= 0)
+            if len(own):
+                p, q = cid[own], cid[near[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -138,11 +140,15 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = classes.where("n > 0")
     tight = cut(links(full.select("cid", "fp", "fp2"), RADIUS, second=CERTAIN), "tight-links")
     edges, roots = tight, cut(components(tight), "tight-clusters")
-    for hubs in (True, False):  # a group joins around its hubs first, so that few of its pairs are left to verify
+    for _ in range(ROUNDS):  # clusters join their nearest ones, so that a large group needs few of its pairs
         reps = full.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        pairs = cut(candidates(cut(reps, "similar-reps"), hubs), "candidates")
-        edges = cut(edges.unionByName(verified(pairs, documents, classes, id_col, text_col)), "similar-links")
+        pairs = cut(candidates(cut(reps, "similar-reps")), "candidates")
+        found = cut(verified(pairs, documents, classes, id_col, text_col), "similar-links")
+        edges = edges.unionByName(found)
         roots = cut(components(edges), "similar-clusters")
+        full = full.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")  # the others have no candidate
+        if not found.limit(1).count():
+            break
     grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("rep").alias("keep"))
     return rows, cut(grouped.join(kept, "root").select("cid", "keep"), "similar-roots")
