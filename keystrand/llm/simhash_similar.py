@@ -27,7 +27,7 @@ WIDE = 34
 #: Masked patterns per class and their bits; a pattern with more than NODE_ROWS classes is split by FINER_BITS more.
 TABLES, BITS, FINER, FINER_BITS, NODE_ROWS = 44, 12, 12, 6, 4096
 #: Times that clusters look for their nearest candidates; the search also ends when a round links nothing.
-ROUNDS = 5
+ROUNDS = 3
 #: Keys up to which the shingle sets' owners are broadcast to find their texts.
 MAX_BROADCAST_KEYS = 1_000_000
 
@@ -144,11 +144,11 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         reps = full.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         pairs = cut(candidates(cut(reps, "similar-reps")), "candidates")
         found = cut(verified(pairs, documents, classes, id_col, text_col), "similar-links")
+        if not found.limit(1).count():
+            break
         edges = edges.unionByName(found)
         roots = cut(components(edges), "similar-clusters")
         full = full.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")  # the others have no candidate
-        if not found.limit(1).count():
-            break
     grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("rep").alias("keep"))
     return rows, cut(grouped.join(kept, "root").select("cid", "keep"), "similar-roots")
