@@ -29,8 +29,8 @@ SHARD_DOCS = 8_192
 BLOCK_DOCS = 64
 #: Longest lists of a shard that are kept unopened behind block maxima.
 LONG_LISTS = 192
-#: Queries whose results are one row.
-PACK = 512
+#: Queries whose results are one row, and queries whose long lists are multiplied at once.
+PACK, TOGETHER = 512, 64
 NO_ID = np.iinfo(np.int64).min
 
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -147,13 +147,21 @@ class Index:
         self.maxima = np.maximum.reduceat(self.long, np.arange(0, self.n, BLOCK_DOCS), axis=0) if len(longest) else np.zeros((math.ceil(self.n / BLOCK_DOCS), 0))
         self.block = np.arange(self.n) // BLOCK_DOCS
 
-    def top(self, terms: np.ndarray, times: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, places) of the shard's documents that score above 0 and at least `least`: k of them, or all."""
-        slot = self.slot[terms]
-        closed = slot >= 0
-        weight = np.zeros(self.long.shape[1])
-        weight[slot[closed]] = times[closed]
-        opened, n = terms[~closed], times[~closed]
+    def closed(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """For some queries at once: what the long lists add to each document, and at most to each block of documents."""
+        weight = np.zeros((len(queries), self.long.shape[1]))
+        for w, (terms, times) in zip(weight, queries, strict=True):
+            slot = self.slot[terms]
+            w[slot[slot >= 0]] = times[slot >= 0]
+        return weight @ self.long.T, weight @ self.maxima.T
+
+    def top(self, terms: np.ndarray, times: np.ndarray, rest: np.ndarray, most: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, places) of the shard's documents that score above 0 and at least `least`: k of them, or all.
+
+        rest and most are the query's rows of closed().
+        """
+        some = self.slot[terms] < 0
+        opened, n = terms[some], times[some]
         first, size = self.starts[opened], self.starts[opened + 1] - self.starts[opened]
         some = size > 0
         first, size, n = first[some], size[some], n[some]
@@ -163,13 +171,13 @@ class Index:
             score = np.bincount(self.doc[at], self.impact[at] * np.repeat(n, size), self.n)
         else:
             score = np.zeros(self.n)
-        bound = score + (self.maxima @ weight)[self.block]
+        bound = score + most[self.block]
         if self.n > 2 * k:  # complete the likeliest first: their k-th score prunes the rest
             likely = np.argpartition(bound, -2 * k)[-2 * k :]
-            full = score[likely] + self.long[likely] @ weight
+            full = score[likely] + rest[likely]
             least = max(least, np.partition(full, -k)[-k])
         alive = np.flatnonzero((bound >= least * (1 - 1e-9)) & (bound > 0))
-        full = score[alive] + self.long[alive] @ weight
+        full = score[alive] + rest[alive]
         keep = (full >= least * (1 - 1e-9)) & (full > 0)
         alive, full = alive[keep], full[keep]
         best = np.lexsort((alive, -full))[:k]
@@ -209,12 +217,14 @@ def _search_block(spark: SparkSession, documents: DataFrame, block: Queries, k:
             for row in range(batch.num_rows):
                 blob = [batch.column(c)[row].as_py() for c in range(5)]
                 index = Index(*(np.frombuffer(b, t) for b, t in zip(blob, (np.int64, np.int32, np.int32, np.int32, np.uint16), strict=True)), idf, mean)
-                for i in range(len(q.ids)):
-                    s = slice(q.starts[i], q.starts[i + 1])
-                    had, ids = best[i]
-                    score, place = index.top(q.terms[s], q.times[s], k, had[-1] if len(had) == k else 0.0)
-                    if len(score):
-                        best[i] = _best(np.concatenate([had, score]), np.concatenate([ids, index.ids[place]]), k)
+                for at in range(0, len(q.ids), TOGETHER):
+                    several = [(q.terms[a:b], q.times[a:b]) for a, b in zip(q.starts[at : at + TOGETHER], q.starts[at + 1 : at + 1 + TOGETHER], strict=False)]
+                    rest, most = index.closed(several)
+                    for i, (terms, times) in enumerate(several, at):
+                        had, ids = best[i]
+                        score, place = index.top(terms, times, rest[i - at], most[i - at], k, had[-1] if len(had) == k else 0.0)
+                        if len(score):
+                            best[i] = _best(np.concatenate([had, score]), np.concatenate([ids, index.ids[place]]), k)
         for at in range(0, len(q.ids), PACK):
             part = best[at : at + PACK]
             cols = (np.array([len(b[0]) for b in part], np.int32), np.concatenate([b[0] for b in part]), np.concatenate([b[1] for b in part]))
