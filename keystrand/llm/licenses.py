@@ -36,6 +36,8 @@ TEMPLATES = {
 }
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.75
+#: Words of ordinary prose: they become anchors only where a template can't do without.
+COMMON = frozenset("a all and by code free general in into is of program public software source subject terms the this to under use work".split())
 #: Longest chain of directories looked up.
 DEPTH = 32
 
@@ -59,7 +61,7 @@ def anchors(parts: list[tuple[str, str, float]], threshold: float) -> list[str]:
     found: set[str] = set()
     for name in {p[0] for p in parts}:
         light = 0.0
-        for w, token in sorted((w, t) for n, t, w in parts if n == name):
+        for _, w, token in sorted((t not in COMMON, w, t) for n, t, w in parts if n == name):
             light += w * w
             if light >= threshold * threshold:
                 found.add(token)
@@ -67,7 +69,7 @@ def anchors(parts: list[tuple[str, str, float]], threshold: float) -> list[str]:
 
 
 def _anchored(body: Column, words: list[str]) -> Column:
-    return F.rlike(ascii_lower(body), F.lit(r"(^|[^a-z0-9])(" + "|".join(map(re.escape, words)) + ")"))
+    return F.rlike(ascii_lower(body), F.lit(r"(^|[^a-z0-9])(" + "|".join(map(re.escape, words)) + r")([^a-z0-9]|$)"))
 
 
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
