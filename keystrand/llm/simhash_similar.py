@@ -1,8 +1,8 @@
 """Near-duplicate groups by SimHash candidates and exact Jaccard similarity of word-shingle sets.
 
-Two 64-bit SimHash lanes over the distinct five-word shingles sketch every text. Equal sketches are one class. Classes within
-a small radius are joined to clusters by the Gray-order index without emitting pairs. Classes of different clusters then meet
-under masked bit patterns of both lanes; candidate pairs within a wide radius are verified on the shingle sets.
+Two 64-bit SimHash lanes over the distinct five-word shingles sketch every text. Equal shingle sets are one class. Classes meet
+under masked bit patterns of both lanes; candidate pairs within a wide radius are verified on the shingle sets, however near
+their sketches are.
 """
 
 from __future__ import annotations
@@ -14,14 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import cut
-from .simhash_gray import RADIUS, components, links, majority, mixed, runs_of, shingle_hashes, signed
+from .simhash_gray import SEED, components, majority, mixed, runs_of, shingle_hashes, signed
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Differing bits of both lanes up to which classes within RADIUS of lane one count as alike without verification.
-CERTAIN = 10
 #: Differing bits of both lanes up to which a pair is verified: 0.8 gives about 19 of 128, with a deviation of about 4.
 WIDE = 34
 #: Masked patterns per class and their bits; a pattern with more than NODE_ROWS classes is split by FINER_BITS more.
@@ -33,7 +32,7 @@ MAX_BROADCAST_KEYS = 1_000_000
 
 
 def sketches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, thash, fp, fp2, n): thash is the text's hash, n the number of its distinct shingles."""
+    """(doc_id, thash, fp, fp2, n, cid): thash is the text's hash, n the number of its distinct shingles, cid the hash of their set."""
     kind = documents.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,13 +40,13 @@ def sketches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = []
             for x in batch.column(2):
                 one = np.unique(shingle_hashes(x.as_py(), SHINGLE))
-                found.append((signed(majority(one)), signed(majority(mixed(one))), len(one)))
-            a, b, n = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "thash", "fp", "fp2", "n"])
+                found.append((signed(majority(one)), signed(majority(mixed(one))), len(one), signed(xxh64_intdigest(one.tobytes(), SEED))))
+            a, b, n, c = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "thash", "fp", "fp2", "n", "cid"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("thash"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, thash bigint, fp bigint, fp2 bigint, n bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, thash bigint, fp bigint, fp2 bigint, n bigint, cid bigint")
 
 
 def masks(tables: int = TABLES, bits: int = BITS, seed: int = 5) -> list[tuple[int, int]]:
@@ -134,12 +133,12 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts without words have no shingles: they are alike only among each other. Null ids come last as a group's kept one.
     """
-    rows = cut(sketches(documents, id_col, text_col).select("*", F.xxhash64("fp", "fp2", "n").alias("cid")), "sketches")
+    rows = cut(sketches(documents, id_col, text_col), "sketches")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("thash"))
     classes = cut(rows.groupBy("cid").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.min(rank).alias("rep")), "similar-classes")
     full = classes.where("n > 0")
-    tight = cut(links(full.select("cid", "fp", "fp2"), RADIUS, second=CERTAIN), "tight-links")
-    edges, roots = tight, cut(components(tight), "tight-clusters")
+    edges = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
+    roots = edges.toDF("node", "root")
     for _ in range(ROUNDS):  # clusters join their nearest ones, so that a large group needs few of its pairs
         reps = full.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         pairs = cut(candidates(cut(reps, "similar-reps")), "candidates")

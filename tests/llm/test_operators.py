@@ -280,6 +280,21 @@ def test_similar_groups_against_brute_force(spark):
     assert sorted(str(r["doc_id"]) for r in again) == ["1", "None"]
 
 
+def sharing_passage(rng, others, pairs):
+    """Rows of texts with 300 shingles that share 258 (Jaccard 0.754), and after them pairs that share 270 (0.818)."""
+    passage = [f"p{i}" for i in range(262)]
+    rows = [(i, " ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(42)])) for i in range(others)]
+    for k in range(pairs):
+        more = [f"m{rng.randrange(10**9)}" for _ in range(12)]
+        rows += [(others + 2 * k + j, " ".join(passage + more + [f"o{rng.randrange(10**9)}" for _ in range(30)])) for j in range(2)]
+    return rows
+
+
+def test_texts_sharing_a_passage_stay(spark):
+    rows = sharing_passage(random.Random(9), 400, 0)
+    assert {r["doc_id"] for r in simhash_similar.deduplicated(docs(spark, rows)).collect()} == jaccard_kept(rows) == set(range(400))
+
+
 # 8 search
 
 
