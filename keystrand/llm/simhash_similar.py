@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -23,10 +23,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Differing bits of both lanes up to which a pair is verified: 0.8 gives about 19 of 128, with a deviation of about 4.
 WIDE = 34
-#: Masked patterns per class and their bits; a pattern with more than NODE_ROWS classes is split by FINER_BITS more.
-TABLES, BITS, FINER, FINER_BITS, NODE_ROWS = 44, 12, 12, 6, 4096
-#: Times that clusters look for their nearest candidates; the search also ends when a round links nothing.
-ROUNDS = 3
+#: Masked patterns per class and their bits; the pairs of a pattern with more than NODE_ROWS classes are dealt in blocks.
+TABLES, BITS, NODE_ROWS = 44, 12, 4096
+#: Candidates that a class takes in the first round, and how many times as many it takes in each further one.
+TAKE, MORE = 2, 4
+#: Candidates a task holds before it drops those that are not among the nearest.
+HELD = 500_000
 #: Keys up to which the shingle sets' owners are broadcast to find their texts.
 MAX_BROADCAST_KEYS = 1_000_000
 
@@ -55,51 +57,71 @@ def masks(tables: int = TABLES, bits: int = BITS, seed: int = 5) -> list[tuple[i
     return [(k % 2, sum(1 << p for p in draw.sample(range(64), bits))) for k in range(tables)]
 
 
-def candidates(reps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Distinct pairs (a, b) of class ids, from rows (cid, root, fp, fp2, n): for each class and pattern the nearest class of
-    another root within WIDE that has the pattern."""
+def candidates(active: DataFrame, take: int, node_rows: int = NODE_ROWS) -> DataFrame:
+    """(a, apart, b): the `take` nearest classes b of another root within WIDE that share a pattern with class a, from rows
+    (cid, root, fp, fp2, n, far, last).
+
+    (far, last) is the last (apart, b) that a class took before. Pairs at or before it of either class are settled.
+    """
     lanes = ("fp", "fp2")
     table = F.array(*[F.xxhash64(F.lit(k), F.col(lanes[lane]).bitwiseAND(F.lit(signed(m)))) for k, (lane, m) in enumerate(masks())])
-    rows = reps.select("cid", "root", "fp", "fp2", "n", F.explode(table).alias("pattern"))
-    found = None
-    for level in range(4):
-        large = rows.groupBy("pattern").agg(F.count("*").alias("_n")).where(F.col("_n") > node_rows).select("pattern") if level < 3 else None
-        if large is None or not (large := cut(large, "large-patterns")).limit(1).count():
-            found = rows if found is None else found.unionByName(rows)
-            break
-        small = rows.join(large, "pattern", "left_anti")
-        found = small if found is None else found.unionByName(small)
-        finer = F.array(*[F.xxhash64("pattern", F.lit(k), F.col(lanes[lane]).bitwiseAND(F.lit(signed(m)))) for k, (lane, m) in enumerate(masks(FINER, FINER_BITS * (level + 1), 50 + level))])
-        rows = cut(rows.join(large, "pattern", "left_semi").select("cid", "root", "fp", "fp2", "n", F.explode(finer).alias("pattern")), "finer-patterns")
-    dealt = found.repartition("pattern").sortWithinPartitions("pattern", "n").select("pattern", "cid", "root", "fp", "fp2", "n")
+    rows = active.select("cid", "root", "fp", "fp2", "n", "far", "last", F.explode(table).alias("pattern"))
+    large = rows.groupBy("pattern").agg(F.count("*").alias("_n")).where(F.col("_n") > node_rows)
+    large = cut(large.select("pattern", F.ceil(2 * F.col("_n") / node_rows).alias("_parts")), "large-patterns")
+    if large.limit(1).count():  # every pair of parts is a block, so no pair of the pattern is lost
+        part = F.pmod(F.col("cid"), F.col("_parts"))
+        rows = rows.join(large, "pattern", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("_part", part)
+        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+        side = F.when(F.col("_part") == F.col("_other"), -1).otherwise(F.col("_part"))
+        block = F.when(F.col("_parts") == 1, F.col("pattern")).otherwise(F.xxhash64("pattern", F.least("_part", "_other"), F.greatest("_part", "_other")))
+        rows = rows.withColumn("side", side.cast("bigint")).withColumn("block", block)
+    else:
+        rows = rows.withColumn("side", F.lit(-1).cast("bigint")).withColumnRenamed("pattern", "block")
+    dealt = rows.repartition("block").sortWithinPartitions("block", "n").select("block", "cid", "root", "fp", "fp2", "n", "far", "last", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pattern, cid, root, fp, fp2, n in runs_of(batches, 1):
+        for block, cid, root, fp, fp2, n, far, last, side in runs_of(batches, 1):
             x, y = fp.view(np.uint64), fp2.view(np.uint64)
-            least, near = np.full(len(n), WIDE + 1), np.full(len(n), -1)
-            for d in range(1, len(n)):
-                i = np.flatnonzero((pattern[d:] == pattern[:-d]) & (n[:-d] >= SIMILARITY * n[d:]))  # sorted by n
-                if not len(i):
-                    if not (pattern[d:] == pattern[:-d]).any():
-                        break
-                    continue
+
+            def nearest(found: list[np.ndarray], cid=cid) -> list[np.ndarray]:
+                own, other, apart = (np.concatenate(v) for v in zip(*found, strict=True))
+                order = np.lexsort((cid[other], apart, own))
+                own = own[order]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                few = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) < take
+                return [own[few], other[order][few], apart[order][few]]
+
+            found: list[list[np.ndarray]] = []
+            held, d, i = 0, 1, np.arange(len(n) - 1)
+            while len(i := i[i + d < len(n)]):
+                i = i[(block[i + d] == block[i]) & (n[i] >= SIMILARITY * n[i + d])]  # sorted by n, so it holds for less d as well
                 j = i + d
                 apart = np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(y[i] ^ y[j])
-                ok = (apart <= WIDE) & (root[i] != root[j])
-                for one, other in ((i[ok], j[ok]), (j[ok], i[ok])):  # no place twice in either
-                    nearer = apart[ok] < least[one]
-                    least[one[nearer]] = apart[ok][nearer]
-                    near[one[nearer]] = other[nearer]
-            own = np.flatnonzero(near >= 0)
-            if len(own):
-                p, q = cid[own], cid[near[own]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
+                ok = (apart <= WIDE) & (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] < 0))
+                p, q, apart = i[ok], j[ok], apart[ok]
+                settled = (apart < far[p]) | (apart == far[p]) & (cid[q] <= last[p]) | (apart < far[q]) | (apart == far[q]) & (cid[p] <= last[q])
+                p, q, apart = p[~settled], q[~settled], apart[~settled]
+                if len(p):
+                    found += [[p, q, apart], [q, p, apart]]
+                    held += 2 * len(p)
+                    if held > HELD:
+                        found = [nearest(found)]
+                        if len(found[0][0]) > HELD // 2:  # more are taken than fit
+                            own, other, apart = found.pop()
+                            yield pa.RecordBatch.from_arrays([pa.array(cid[own]), pa.array(apart), pa.array(cid[other])], names=["a", "apart", "b"])
+                        held = sum(len(f[0]) for f in found)
+                d += 1
+            if found:
+                own, other, apart = nearest(found)
+                yield pa.RecordBatch.from_arrays([pa.array(cid[own]), pa.array(apart), pa.array(cid[other])], names=["a", "apart", "b"])
+
+    near = dealt.mapInArrow(run, "a bigint, apart bigint, b bigint").distinct()
+    order = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    return near.withColumn("_r", order).where(F.col("_r") <= take).drop("_r")
+
+
+def shingle_sets(pairs: DataFrame, documents: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, s): the packed shingle sets of the classes of `pairs`."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(reps.select("cid", "rep.doc_id", "rep.thash"), "cid")
     keys = cut(keys.select(F.col("cid"), F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash")), "verify-keys")
     owners = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
@@ -112,7 +134,11 @@ def verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, id_col: st
             made = [np.unique((shingle_hashes(x.as_py(), SHINGLE) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["cid", "s"])
 
-    shingles = cut(owned.mapInArrow(sets, "cid bigint, s binary").dropDuplicates(["cid"]), "shingle-sets")
+    return cut(owned.mapInArrow(sets, "cid bigint, s binary").dropDuplicates(["cid"]), "shingle-sets")
+
+
+def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     both = pairs.join(shingles.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,18 +162,26 @@ def groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = cut(sketches(documents, id_col, text_col), "sketches")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("thash"))
     classes = cut(rows.groupBy("cid").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.min(rank).alias("rep")), "similar-classes")
-    full = classes.where("n > 0")
-    edges = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
-    roots = edges.toDF("node", "root")
-    for _ in range(ROUNDS):  # clusters join their nearest ones, so that a large group needs few of its pairs
-        reps = full.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        pairs = cut(candidates(cut(reps, "similar-reps")), "candidates")
-        found = cut(verified(pairs, documents, classes, id_col, text_col), "similar-links")
-        if not found.limit(1).count():
-            break
-        edges = edges.unionByName(found)
-        roots = cut(components(edges), "similar-clusters")
-        full = full.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")  # the others have no candidate
+    active = classes.where("n > 0").select("cid", F.col("cid").alias("root"), "fp", "fp2", "n", F.lit(-1).cast("bigint").alias("far"), F.lit(0).cast("bigint").alias("last"))
+    edges = documents.sparkSession.createDataFrame([], "node bigint, root bigint")
+    take, shingles = TAKE, None
+    while active.limit(1).count():  # until no unverified pair of different clusters is left
+        chosen = cut(candidates(active, take), "candidates")
+        pairs = cut(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidate-pairs")
+        if shingles is None:  # later rounds have no other classes
+            shingles = shingle_sets(pairs, documents, classes, id_col, text_col)
+        at = active.select(F.col("cid").alias("_cid"), F.col("root").alias("_root"))
+        found = verified(pairs, shingles).join(at.toDF("a", "u"), "a").join(at.toDF("b", "v"), "b")
+        found = cut(found.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "similar-links")
+        reached = chosen.groupBy("a").agg(F.count("*").alias("_n"), F.max(F.struct("apart", "b")).alias("_to")).where(F.col("_n") == take)  # the others have no more
+        active = active.join(reached, F.col("cid") == F.col("a")).select("cid", "root", "fp", "fp2", "n", F.col("_to.apart").alias("far"), F.col("_to.b").alias("last"))
+        if found.limit(1).count():
+            moved = cut(components(found), "similar-clusters")
+            edges = edges.unionByName(moved)
+            active = active.join(moved.toDF("_node", "_moved"), F.col("root") == F.col("_node"), "left").withColumn("root", F.coalesce("_moved", "root")).drop("_node", "_moved")
+        active = cut(active, "similar-active")
+        take *= MORE
+    roots = cut(components(edges, "node", "root"), "similar-roots-of")
     grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     kept = grouped.groupBy("root").agg(F.min("rep").alias("keep"))
     return rows, cut(grouped.join(kept, "root").select("cid", "keep"), "similar-roots")

@@ -295,6 +295,22 @@ def test_texts_sharing_a_passage_stay(spark):
     assert {r["doc_id"] for r in simhash_similar.deduplicated(docs(spark, rows)).collect()} == jaccard_kept(rows) == set(range(400))
 
 
+def test_true_links_behind_failed_ones(spark):
+    rows = sharing_passage(random.Random(11), 250, 20)
+    kept = {r["doc_id"] for r in simhash_similar.deduplicated(docs(spark, rows)).collect()}
+    assert kept == jaccard_kept(rows) and len(kept) == 270
+
+
+def test_large_patterns_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.integers(0, 8, (70, 2)), axis=0)
+    rows = [(k, k, int(a), int(b), 10, -1, 0) for k, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "cid bigint, root bigint, fp bigint, fp2 bigint, n bigint, far bigint, last bigint")
+    for limit in (4096, 6):
+        got = simhash_similar.candidates(df, 1000, limit).select("a", "b").collect()
+        assert len(got) == len(set(got)) == len(rows) * (len(rows) - 1)
+
+
 # 8 search
 
 
