@@ -74,8 +74,9 @@ class Grammar:
     def clauses(self, text: str | None) -> Iterator[tuple[str, float]]:
         """Matched clauses with their masses."""
         for clause in CLAUSE.split((text or "").lower()):
-            if any(map(self.arc, WORD.findall(clause))) or not THREAT.isdisjoint(clause.split()):
-                mass = self.run(WORD.findall(clause))
+            tokens = WORD.findall(clause)
+            if any(map(self.arc, tokens)) or not THREAT.isdisjoint(tokens):
+                mass = self.run(tokens)
                 if mass > 0:
                     yield clause.strip(), mass
 
@@ -83,6 +84,7 @@ class Grammar:
         """The composed automaton over one clause."""
         total, negated, spoken, targeted = 0.0, -1, -1, -1
         pending = 0.0
+        threats: list[tuple[int, float]] = []  # last place for a target, mass once it comes
         for i, token in enumerate(tokens):
             if token in NEGATION:
                 negated = i + REACH
@@ -92,9 +94,15 @@ class Grammar:
                 targeted = i + REACH
                 total += pending * (TARGETED - 1)  # a target after the insult
                 pending = 0.0
+                total += sum(mass for until, mass in threats if i <= until)
+                threats.clear()
             weight = self.arc(token)
-            if token in THREAT and i <= targeted:
-                weight = max(weight, THREAT_WEIGHT)
+            if token in THREAT and weight < THREAT_WEIGHT:
+                if i <= targeted:
+                    weight = THREAT_WEIGHT
+                else:
+                    damped = (NEGATED if i <= negated else 1.0) * (SPOKEN if i <= spoken else 1.0)
+                    threats.append((i + REACH, (THREAT_WEIGHT - weight) * damped * TARGETED))
             if weight > 0:
                 if i <= negated:
                     weight *= NEGATED

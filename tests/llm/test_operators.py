@@ -114,6 +114,15 @@ def test_toxicity_learns_words_and_stems(spark):
     assert [c for c, _ in grammar.clauses("wab wac. you dolt! wad")] == ["you dolt"]
 
 
+def test_toxicity_threats_before_their_target():
+    grammar = toxicity.Grammar({}, {})
+    one = grammar.mass("you I will kill")
+    assert one > 0 and math.isclose(grammar.mass("I will kill you"), one) and math.isclose(grammar.mass("we hurt them"), one)
+    assert math.isclose(grammar.mass("him I will shoot, soon"), one) and math.isclose(grammar.mass('"kill" and (hurt) them'), 2 * one)
+    assert 0 < grammar.mass("never kill him") < one and 0 < grammar.mass("he said kill them") < 2 * one
+    assert grammar.mass("kill the weeds") == grammar.mass("kill one two three four five you") == 0
+
+
 def test_toxicity_odd_rows(spark):
     grammar = toxicity.fit(labelled(spark, 0))
     out = toxicity.score(docs(spark, ODD).withColumn("score", F.lit("x")), grammar)
