@@ -33,8 +33,6 @@ SEGMENTS = 64
 BASE = 2.0
 MIN_COUNT = 2
 MAX_LEVEL = 40
-#: Training texts used for the mixing weights, about.
-FIT_TEXTS = 2_000
 #: Distinct pairs and tokens a task gathers before it hands them on.
 FLUSH = 1_000_000
 BUCKETS = 32
@@ -360,13 +358,9 @@ def _with_counts(rows: DataFrame, tokens: DataFrame, model: Model, passed: list[
 
 
 def _fitted(model: Model, texts: DataFrame, tokens: DataFrame) -> np.ndarray:
-    """For each size of the predecessor's count the pair estimate's weight of greatest likelihood, over about FIT_TEXTS
-    training texts, with one taken off each pair's and predecessor's count for the text itself."""
-    n = texts.count()
-    if not n:
-        return np.zeros(BUCKETS)
-    some = texts if n <= FIT_TEXTS else texts.where(F.pmod(F.xxhash64("text", F.lit(21)), F.lit(1 << 30)) < int((1 << 30) * FIT_TEXTS / n))
-    rows, joined = _with_counts(some, tokens, model, [])
+    """For each size of the predecessor's count the pair estimate's weight of greatest likelihood, over all training
+    texts, with one taken off each pair's and predecessor's count for the text itself."""
+    rows, joined = _with_counts(texts, tokens, model, [])
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

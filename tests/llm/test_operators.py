@@ -161,6 +161,23 @@ def test_language_model_against_counts(spark):
         assert r["score"] < 0
 
 
+def test_mixing_weights_see_all_training_texts(spark, monkeypatch):
+    rng, seen, counts = random.Random(12), [], ngram_bloom._with_counts
+    monkeypatch.setattr(ngram_bloom, "_with_counts", lambda rows, *more: seen.append(rows.count()) or counts(rows, *more))
+    kinds = [" ".join(f"l{rng.randint(0, k + 1)}" for _ in range(8)) for k in range(20)]
+    rows = [(i, kinds[i % 20]) for i in range(3000)]  # groups of copies
+    model, tokens = ngram_bloom.fit(docs(spark, rows))
+    assert seen == [3000]
+    gain = np.zeros((ngram_bloom.BUCKETS, len(ngram_bloom.GRID)))
+    for _, text in rows:
+        h = np.array([ngram_bloom.hash_of(t) for t in ngram_bloom.tokens_of(text)], np.uint64)
+        single, before, pair = ngram_bloom._text_parts(model, h, model.unigram(h), np.array([0]))
+        p2 = np.minimum(np.where(before > 1, np.maximum(pair - 1, 0) / np.maximum(before - 1, 1), 0.0), 1.0)
+        for k, p, q in zip(ngram_bloom.bucket_of(before), p2, single, strict=True):
+            gain[k] += np.log(ngram_bloom.GRID * p + (1 - ngram_bloom.GRID) * q)
+    assert np.allclose(model.weights, ngram_bloom.GRID[np.argmax(gain, axis=1)])
+
+
 def test_filter_holds_quantised_counts(spark):
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 4000).astype(np.uint64)
