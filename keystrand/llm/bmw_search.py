@@ -1,10 +1,10 @@
-"""Exact top-k BM25 search: sharded inverted indexes with block-max WAND pruning, merged with global statistics.
+"""Exact top-k BM25 search: sharded inverted indexes, scored exhaustively, merged with global statistics.
 
 Queries are taken in blocks of bounded number; a block's terms are the vocabulary of its indexes. One pass over the documents
 writes packed shards (postings of vocabulary terms) and gathers the global statistics: document count, mean length and
-document frequencies. A second pass inverts each shard and runs the block's queries over it. Terms with long lists are not
-opened at first: their block maxima bound what they can add to any document of a block. Documents whose opened score plus
-their block's bound stays under the query's running k-th score are pruned, block by block; only the rest are completed.
+document frequencies. A second pass inverts each shard and runs the block's queries over it. Long lists are
+multiplied with every document of the shard for several queries at once, the others opened whole, so every posting is scored.
+Block maxima only save the sum of both for documents whose bound stays under the query's running k-th score.
 Tasks hand on their k best for each query, which are merged exactly: every score is made with the global statistics.
 """
 
