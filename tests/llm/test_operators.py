@@ -330,11 +330,25 @@ def test_true_links_behind_failed_ones(spark):
 def test_large_patterns_lose_no_pair(spark):
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 8, (70, 2)), axis=0)
-    rows = [(k, k, int(a), int(b), 10, -1, 0) for k, (a, b) in enumerate(x)]
-    df = spark.createDataFrame(rows, "cid bigint, root bigint, fp bigint, fp2 bigint, n bigint, far bigint, last bigint")
+    rows = [(k, k, int(a), int(b), 10) for k, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "cid bigint, root bigint, fp bigint, fp2 bigint, n bigint")
     for limit in (4096, 6):
-        got = simhash_similar.candidates(df, 1000, limit).select("a", "b").collect()
-        assert len(got) == len(set(got)) == len(rows) * (len(rows) - 1)
+        met = {}
+        for r in simhash_similar.unsettled(df, limit).collect():
+            met.setdefault(r["block"], []).append(r["cid"])
+        pairs = {(a, b) for ids in met.values() for a in ids for b in ids if a < b}
+        assert len(pairs) == len(rows) * (len(rows) - 1) // 2
+    assert simhash_similar.unsettled(df.withColumn("root", F.lit(1).cast("long")), 6).count() == 0
+
+
+def test_alike_sets_are_spanned():
+    rng = np.random.default_rng(5)
+    base = [rng.choice(10**6, 60, replace=False) for _ in range(5)]
+    sets = [np.unique(np.concatenate([rng.choice(base[k % 5], 58, replace=False), rng.choice(10**6, 1 + k % 4)])).astype(np.uint32) for k in range(60)]
+    i, j = simhash_similar.alike(sets)
+    a, b = np.triu_indices(60, 1)
+    near = np.array([len(np.intersect1d(sets[x], sets[y])) >= 0.8 * len(np.union1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    assert (simhash_gray.forest(60, i, j) == simhash_gray.forest(60, a[near], b[near])).all() and len(i) < near.sum()
 
 
 # 8 search
