@@ -1,10 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts every token and every pair of neighbours. Token counts stay exact. Pair counts are quantised to powers of
-BASE; a pair of level q goes into the filter q times, as (pair, 1) to (pair, q), so a count comes back by probing level after
-level until one misses. The filter's size is bounded and its parts are built where the pairs were counted; the whole is
-broadcast. A token's probability mixes the filter's pair estimate with the exact add-one unigram; how much, by the
-predecessor's count, is fitted on training texts with their own pairs taken out.
+Training counts every token and every pair of neighbours, once or more often. Token counts stay exact. Pair counts are quantised
+to powers of two; a pair of level q goes into the filter q times, as (pair, 1) to (pair, q), so a count comes back by probing
+level after level until one misses. The filter has BITS_PER_ENTRY bits for every entry, whatever their number. It is cut into
+parts of bounded size; each part is built on the executors, broadcast, and scores the pairs that belong to it in a scan
+of its own. A text's score is the sum over its tokens, so the parts' sums add up. A token's probability mixes the filter's pair
+estimate with the exact add-one unigram; how much, by the predecessor's count, is fitted on all training texts with their
+own pairs taken out.
 """
 
 from __future__ import annotations
@@ -15,30 +17,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, shuffle_partitions
+from .common import cut
 
 #: Exact token counts up to which they are broadcast (12 bytes each); beyond it they are joined by token.
 MAX_BROADCAST_TOKENS = 8_000_000
-#: Bound of the filter, and bits for each entry as long as the bound allows.
-MAX_FILTER_BITS = 1 << 29
+#: Bits for each entry, bound of a part of the filter (128 MB), and hashes for each probe.
 BITS_PER_ENTRY = 16
+MAX_PART_BITS = 1 << 30
 PROBES = 5
-#: Parts of the filter that are built apart.
+#: Ranges of a part that are built apart.
 SEGMENTS = 64
-#: Ratio of the levels, and the least count that is kept.
-BASE = 2.0
-MIN_COUNT = 2
-MAX_LEVEL = 40
-#: Distinct pairs and tokens a task gathers before it hands them on.
-FLUSH = 1_000_000
+MAX_LEVEL = 62
+#: Pairs a task gathers before it hands on their counts.
+FLUSH = 750_000
 BUCKETS = 32
 #: Tokens scored at a time, about.
 BLOCK_TOKENS = 100_000
-GRID = np.concatenate([[0.0], np.linspace(0.02, 0.98, 25)])
+#: Weights tried (never 0: a pair that was seen always counts), and the bins (STEPS for each doubling) of the ratio of both
+#: estimates by which their gain is added up.
+GRID = np.linspace(0.02, 0.98, 25)
+STEPS, LOW, HIGH = 16, -24, 40
+BINS = (HIGH - LOW) * STEPS + 1
 
 END = b"\n</s>"  # no word has white space in it
 BEGIN = np.uint64(0x9AE16A3B2F90404F)
@@ -99,42 +102,34 @@ class Tokens:
         return len(self.code) > self.bound
 
 
-def folded(pair: np.ndarray) -> np.ndarray:
-    """40 bits of a pair's hash above its segment: five bytes, one collision in 10^5 pairs at 10^9 pairs."""
-    return (pair // np.uint64(SEGMENTS)) & np.uint64((1 << 40) - 1)
+def part_of(pair: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the filter that a pair belongs to."""
+    return (pair >> np.uint64(8)) % np.uint64(parts)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Five bytes for each number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def part_column(pair: Column, parts: int) -> Column:
+    """part_of() for a column of signed hashes."""
+    return F.shiftrightunsigned(pair, 8) % parts
 
 
 @dataclass
 class Filter:
-    """Log-frequency Bloom filter of SEGMENTS equal parts in one array of words."""
+    """One part of the log-frequency Bloom filter: SEGMENTS equal ranges in one array of words."""
 
     bits: np.ndarray
     segment_bits: int
 
-    def places(self, segment: np.ndarray, key: np.ndarray, level: int, probe: int) -> np.ndarray:
+    def places(self, pair: np.ndarray, level: int, probe: int) -> np.ndarray:
         salt = np.uint64((probe + PROBES * level) * int(GOLD) % (1 << 64))
-        mixed = scrambled(key * np.uint64(SEGMENTS) + segment + salt)
-        return segment * np.uint64(self.segment_bits) + mixed % np.uint64(self.segment_bits)
+        return (pair % np.uint64(SEGMENTS)) * np.uint64(self.segment_bits) + scrambled(pair + salt) % np.uint64(self.segment_bits)
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
         """Level of each pair, 0 if it isn't there: probes go up until one misses."""
         out = np.zeros(len(pair), np.int64)
         alive = np.arange(len(pair))
-        segment, key = pair % np.uint64(SEGMENTS), folded(pair)
         for level in range(1, MAX_LEVEL):
             for probe in range(PROBES):
-                at = self.places(segment[alive], key[alive], level, probe)
+                at = self.places(pair[alive], level, probe)
                 alive = alive[(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
             if not len(alive):
                 break
@@ -142,50 +137,33 @@ class Filter:
         return out
 
 
-def level_of(count: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log(count / MIN_COUNT) / math.log(BASE) + 1e-9), MAX_LEVEL - 1).astype(np.int64)
+def level_column(count: Column) -> Column:
+    """1 for a count of 1, 2 from 2 on, 3 from 4 on and so forth: the count's binary digits."""
+    return F.length(F.bin(count))
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
     """Least count of a level, so that no context's estimates add up to more than 1; 0 for level 0."""
-    return np.where(level > 0, MIN_COUNT * BASE ** (level - 1.0), 0.0)
-
-
-def counts(train: DataFrame, groups: int) -> DataFrame:
-    """(grp, tokens, token_n, pairs, pair_n): packed partial counts of each task, by the hash's remainder.
+    return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
 
-    Kinds: token hashes whole (8 bytes) with counts (8 bytes), pairs folded (5 bytes) with counts (4 bytes). groups is a
-    multiple of SEGMENTS.
-    """
-    names = ["grp", "tokens", "token_n", "pairs", "pair_n"]
 
-    def split(h: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        grp = (h % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(grp, kind="stable")
-        ends = np.searchsorted(grp[order], np.arange(groups + 1))
-        for g in range(groups):
-            some = order[ends[g] : ends[g + 1]]
-            if len(some):
-                yield g, h[some], n[some]
+def counts(train: DataFrame) -> DataFrame:
+    """(token, h, n): hashes of tokens (token true) and pairs (false) with their exact training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, singles = Tokens(), np.zeros(0, np.int64)
         pairs: list[np.ndarray] = []
         held = 0
 
-        def tokens_out() -> Iterator[pa.RecordBatch]:
-            some = np.flatnonzero(singles)
-            rows = [(g, h.tobytes(), n.tobytes(), b"", b"") for g, h, n in split(made.hashes[some], singles[some])]
-            yield _batch(rows)
+        def rows(token: bool, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), token)), pa.array(h.view(np.int64)), pa.array(n)], names=["token", "h", "n"])
 
-        def pairs_out() -> Iterator[pa.RecordBatch]:
-            if pairs:
-                h, n = np.unique(np.concatenate(pairs), return_counts=True)
-                yield _batch([(g, b"", b"", packed(folded(x)), m.astype(np.uint32).tobytes()) for g, x, m in split(h, n)])
+        def tokens_out() -> pa.RecordBatch:
+            some = np.flatnonzero(singles)
+            return rows(True, made.hashes[some], singles[some])
 
-        def _batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
+        def pairs_out() -> pa.RecordBatch:
+            return rows(False, *np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]), return_counts=True))
 
         for batch in batches:
             texts = batch.column(0)
@@ -199,52 +177,26 @@ def counts(train: DataFrame, groups: int) -> DataFrame:
                 pairs.append(pair_hashes(made.hashes[code], starts))
                 held += len(code)
                 if held > FLUSH:
-                    yield from pairs_out()
+                    yield pairs_out()
                     pairs, held = [], 0
                 if made.full():
-                    yield from tokens_out()
+                    yield tokens_out()
                     made, singles = Tokens(), np.zeros(0, np.int64)
-        yield from tokens_out()
-        yield from pairs_out()
-
-    return train.mapInArrow(run, "grp int, tokens binary, token_n binary, pairs binary, pair_n binary")
+        yield tokens_out()
+        yield pairs_out()
 
-
-def added(parts: DataFrame, groups: int) -> DataFrame:
-    """(grp, tokens, token_n, total, pairs, levels, entries): one packed row per group, counts added up over the tasks.
-
-    A group holds a `groups`-th of all hashes, hot ones as one number per task, so it is as large as any other.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        def total(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(h)
-            h, n = h[order], n[order]
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            return h[starts], np.add.reduceat(n, starts) if len(starts) else n
-
-        blobs = {c: b"".join(table.column(c).to_pylist()) for c in ("tokens", "token_n", "pairs", "pair_n")}
-        h, n = total(np.frombuffer(blobs["tokens"], np.uint64), np.frombuffer(blobs["token_n"], np.int64))
-        key, m = total(unpacked(blobs["pairs"]), np.frombuffer(blobs["pair_n"], np.uint32).astype(np.int64))
-        key, m = key[m >= MIN_COUNT], m[m >= MIN_COUNT]
-        level = level_of(m).astype(np.uint8)
-        return pa.table({
-            "grp": pa.array([table.column("grp")[0].as_py()], pa.int32()), "tokens": pa.array([h.tobytes()], pa.binary()), "token_n": pa.array([n.tobytes()], pa.binary()),
-            "types": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()),
-            "pairs": pa.array([key.tobytes()], pa.binary()), "levels": pa.array([level.tobytes()], pa.binary()), "entries": pa.array([int(level.sum())], pa.int64()),
-        })
-
-    schema = "grp int, tokens binary, token_n binary, types bigint, total bigint, pairs binary, levels binary, entries bigint"
-    return parts.repartition(groups, "grp").groupBy("grp").applyInArrow(run, schema)
+    return train.mapInArrow(run, "token boolean, h bigint, n bigint").groupBy("token", "h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """total: training tokens; types: distinct ones; unigrams: sorted hashes and counts, None where they are joined."""
+    """total: training tokens; types: distinct ones; unigrams: sorted hashes and counts, None where they are joined; parts of
+    the filter and the bits of a part."""
 
     total: int
     types: int
-    filter: Filter
+    parts: int
+    part_bits: int
     weights: np.ndarray
     hashes: np.ndarray | None
     numbers: np.ndarray | None
@@ -257,91 +209,97 @@ class Model:
         return np.where(self.hashes[at] == h, self.numbers[at], 0).astype(np.int64)
 
 
+@dataclass
+class Trained:
+    """A model with its tables: token counts (h, n) and pair counts (h, n), both exact."""
+
+    model: Model
+    tokens: DataFrame
+    pairs: DataFrame
+
+
 def bucket_of(before: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(before + 1.0).astype(np.int64), BUCKETS - 1)
 
 
-def built_filter(table: DataFrame, groups: int) -> Filter:
-    """Filter of the pairs of added(); segments are set where their groups lie, and at most MAX_FILTER_BITS come to the driver.
-
-    Where the entries need more than the bound, the filter stays at it and misses its false-positive rate instead: no pair is
-    left out.
-    """
-    entries = table.agg(F.sum("entries")).first()[0] or 0
-    size = min(MAX_FILTER_BITS, max(1 << 16, 1 << math.ceil(math.log2(max(1, entries) * BITS_PER_ENTRY)))) // SEGMENTS
+def built_filter(pairs: DataFrame, part_bits: int) -> Filter:
+    """Filter of rows (h, n). Segments are set where their pairs meet; the driver holds one part at a time."""
+    size = part_bits // SEGMENTS
     empty = Filter(np.zeros(0, np.uint64), size)
-    apart = groups // SEGMENTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
         for batch in batches:
-            for grp, pairs, levels in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                key, level = np.frombuffer(pairs, np.uint64), np.frombuffer(levels, np.uint8)
-                segment = np.full(len(key), grp % SEGMENTS, np.uint64)
-                part = np.zeros(size, np.bool_)
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    some = level >= q
+            pair, level = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
+            segment = (pair % np.uint64(SEGMENTS)).astype(np.int64)
+            for s in np.unique(segment).tolist():
+                part = made.setdefault(s, np.zeros(size, np.bool_))
+                own, height = pair[segment == s], level[segment == s]
+                for q in range(1, int(height.max()) + 1):
+                    own, height = own[height >= q], height[height >= q]
                     for probe in range(PROBES):
-                        part[empty.places(segment[some], key[some], q, probe) % np.uint64(size)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([grp % SEGMENTS], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], names=["segment", "part"])
+                        part[empty.places(own, q, probe) - np.uint64(s * size)] = True
+        for s, part in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], names=["segment", "part"])
 
-    parts = table.select("grp", "pairs", "levels").mapInArrow(run, "segment int, part binary")
-    if apart > 1:  # join a segment's groups before they go to the driver
-
-        def joined(part: pa.Table) -> pa.Table:
-            out = np.zeros(size // 8, np.uint8)
-            for x in part.column("part"):
-                out |= np.frombuffer(x.as_py(), np.uint8)
-            return pa.table({"segment": part.column("segment").slice(0, 1), "part": pa.array([out.tobytes()], pa.binary())})
-
-        parts = parts.groupBy("segment").applyInArrow(joined, "segment int, part binary")
+    dealt = pairs.select("h", level_column(F.col("n")).alias("level"), F.col("h").bitwiseAND(SEGMENTS - 1).alias("_s")).repartition(SEGMENTS, "_s")
     bits = np.zeros((SEGMENTS, size // 8), np.uint8)
-    for row in parts.toLocalIterator():
+    for row in dealt.select("h", "level").mapInArrow(run, "segment int, part binary").toLocalIterator():
         bits[row["segment"]] |= np.frombuffer(row["part"], np.uint8)
     return Filter(bits.reshape(-1).view(np.uint64), size)
 
 
-def token_rows(table: DataFrame) -> DataFrame:
-    """(h, c): exact token counts from added()."""
+def _unigrams(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their counts of rows (h, n), packed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c).tobytes()], pa.binary()) for c in batch.columns], names=["h", "n"])
 
-    return table.select("tokens", "token_n").mapInArrow(run, "h bigint, c bigint")
+    blobs = [(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int64)) for r in tokens.select("h", "n").mapInArrow(run, "h binary, n binary").toLocalIterator()]
+    hashes, numbers = (np.concatenate([np.zeros(0, t), *(b[k] for b in blobs)]) for k, t in enumerate((np.uint64, np.int64)))
+    order = np.argsort(hashes)
+    return hashes[order], numbers[order].astype(np.uint32 if numbers.max(initial=0) < 1 << 32 else np.uint64)
 
 
-def fit(train: DataFrame, text_col: str = "text", max_broadcast_tokens: int = MAX_BROADCAST_TOKENS) -> tuple[Model, DataFrame]:
-    """The model of all texts of `train`, and the exact token counts (h, c) as a table."""
+def fit(train: DataFrame, text_col: str = "text", max_broadcast_tokens: int = MAX_BROADCAST_TOKENS, max_part_bits: int = MAX_PART_BITS) -> Trained:
+    """The model of all texts of `train`. No count is left out and the filter is as large as its entries need."""
     texts = train.select(F.col(text_col).alias("text"))
-    groups = SEGMENTS * math.ceil(shuffle_partitions(train.sparkSession) / SEGMENTS)
-    table = cut(added(counts(texts, groups), groups), "ngram-counts")
-    total, types = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    made = built_filter(table, groups)
-    hashes = numbers = None
-    if types <= max_broadcast_tokens:
-        blobs = [(np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["token_n"], np.int64)) for r in table.select("tokens", "token_n").toLocalIterator()]
-        hashes = np.concatenate([b[0] for b in blobs]) if blobs else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        numbers = np.concatenate([b[1] for b in blobs])[order].astype(np.uint32 if total < 1 << 32 else np.uint64) if blobs else np.zeros(0, np.uint32)
-        hashes = hashes[order]
-    tokens = token_rows(table)
-    model = Model(total, types, made, np.zeros(BUCKETS), hashes, numbers)
-    model.weights = _fitted(model, texts, tokens)
-    return model, tokens
-
-
-def _text_parts(model: Model, h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unigram probability, predecessor's count, pair's count) for each token of texts that begin at `starts`."""
+    table = cut(counts(texts), "ngram-counts")
+    found = {r["token"]: r for r in table.groupBy("token").agg(F.count("*").alias("types"), F.sum("n").alias("total"), F.sum(level_column(F.col("n"))).alias("entries")).collect()}
+    total, types = (found[True]["total"], found[True]["types"]) if True in found else (0, 0)
+    entries = found[False]["entries"] if False in found else 0
+    parts = max(1, math.ceil(entries * BITS_PER_ENTRY / max_part_bits))
+    part_bits = 64 * SEGMENTS * max(16, math.ceil(entries * BITS_PER_ENTRY / parts / (64 * SEGMENTS)))
+    tokens, pairs = table.where("token").select("h", "n"), table.where("NOT token").select("h", "n")
+    hashes, numbers = _unigrams(tokens) if types <= max_broadcast_tokens else (None, None)
+    trained = Trained(Model(total, types, parts, part_bits, np.zeros(BUCKETS), hashes, numbers), tokens, pairs)
+    trained.model.weights = _fitted(trained, texts)
+    return trained
+
+
+def _filter_part(trained: Trained, part: int) -> Filter:
+    return built_filter(trained.pairs.where(part_column(F.col("h"), trained.model.parts) == part), trained.model.part_bits)
+
+
+def _text_parts(model: Model, found: Filter, part: int, h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unigram probability, predecessor's count, pair's count, whether the pair belongs to the part) for each token of
+    texts that begin at `starts`."""
     single = (c + 1.0) / (model.total + model.types + 1.0)
     before = np.empty(len(c))
     before[1:] = c[:-1]
     before[starts] = 0
-    return single, before, count_of(model.filter.levels(pair_hashes(h, starts)))
+    pair = pair_hashes(h, starts)
+    if model.parts == 1:
+        return single, before, count_of(found.levels(pair)), np.ones(len(h), bool)
+    mine = part_of(pair, model.parts) == part
+    count = np.zeros(len(h))
+    count[mine] = count_of(found.levels(pair[mine]))
+    return single, before, count, mine
 
 
-def _with_counts(rows: DataFrame, tokens: DataFrame, model: Model, passed: list[str]) -> tuple[DataFrame, bool]:
-    """rows (passed..., text), or with the counts joined: (passed..., text, hs, cs) where they can't be broadcast."""
+def _with_counts(rows: DataFrame, tokens: DataFrame, model: Model) -> tuple[DataFrame, bool]:
+    """rows (..., text), or with the counts joined: (..., text, hs, cs) where they can't be broadcast."""
     if model.hashes is not None:
         return rows, False
 
@@ -349,38 +307,54 @@ def _with_counts(rows: DataFrame, tokens: DataFrame, model: Model, passed: list[
         for batch in batches:
             for r, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = np.unique(np.fromiter(map(hash_of, tokens_of(x.as_py())), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), r)), pa.array(h.view(np.int64))], names=["_rid", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), r)), pa.array(h.view(np.int64))], names=["_of", "h"])
+
+    numbered = cut(rows.withColumn("_lm", F.monotonically_increasing_id()), "lm-rows")
+    spread_rows = numbered.select("_lm", "text").mapInArrow(spread, "_of bigint, h bigint")
+    found = spread_rows.join(tokens, "h").groupBy("_of").agg(F.collect_list(F.struct("h", "n")).alias("known"))
+    joined = numbered.join(found, F.col("_lm") == F.col("_of"), "left").select(*rows.columns, F.col("known.h").alias("hs"), F.col("known.n").alias("cs"))
+    return cut(joined, "lm-counted"), True
+
 
-    numbered = cut(rows.withColumn("_rid", F.monotonically_increasing_id()), "lm-rows")
-    spread_rows = numbered.select("_rid", "text").mapInArrow(spread, "_rid bigint, h bigint")
-    found = spread_rows.join(tokens, "h").groupBy("_rid").agg(F.collect_list(F.struct("h", "c")).alias("known"))
-    return numbered.join(found, "_rid", "left").select(*passed, "text", F.col("known.h").alias("hs"), F.col("known.c").alias("cs")), True
+def ratio_bin(ratio: np.ndarray) -> np.ndarray:
+    """Bin of the ratio of the pair's estimate to the unigram's: 0 for 0, else by its logarithm."""
+    with np.errstate(divide="ignore"):
+        at = np.round((np.log2(ratio) - LOW) * STEPS)
+    return np.where(ratio > 0, 1 + np.clip(at, 0, BINS - 1), 0).astype(np.int64)
 
 
-def _fitted(model: Model, texts: DataFrame, tokens: DataFrame) -> np.ndarray:
+def best_weights(table: np.ndarray) -> np.ndarray:
+    """Weight of greatest likelihood for each row of a BUCKETS x (BINS + 1) table of counts by ratio_bin()."""
+    ratio = np.concatenate([[0.0], 2.0 ** (LOW + np.arange(BINS) / STEPS)])
+    gain = np.log((1 - GRID)[:, None] + GRID[:, None] * ratio[None, :])  # the unigram's own logarithm is the same for all weights
+    return GRID[np.argmax(table @ gain.T, axis=1)]
+
+
+def _fitted(trained: Trained, texts: DataFrame) -> np.ndarray:
     """For each size of the predecessor's count the pair estimate's weight of greatest likelihood, over all training
     texts, with one taken off each pair's and predecessor's count for the text itself."""
-    rows, joined = _with_counts(texts, tokens, model, [])
+    model = trained.model
+    rows, joined = _with_counts(texts, trained.tokens, model)
     shared = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, gain = shared.value, np.zeros((BUCKETS, len(GRID)))
-        made = Tokens()
-        for batch in batches:
-            for h, c, starts in _blocks(m, batch, 0, joined, made):
-                single, before, pair = _text_parts(m, h, c, starts)
-                p2 = np.where(before > 1, np.maximum(pair - 1, 0) / np.maximum(before - 1, 1), 0.0)
-                p2 = np.minimum(p2, 1.0)
-                gains = np.log(GRID[None, :] * p2[:, None] + (1 - GRID)[None, :] * single[:, None])
-                bucket = bucket_of(before)
-                for k in np.unique(bucket):
-                    gain[k] += gains[bucket == k].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(BUCKETS), len(GRID))), pa.array(np.tile(np.arange(len(GRID)), BUCKETS)), pa.array(gain.ravel())], names=["b", "g", "v"])
-
-    gain = np.zeros((BUCKETS, len(GRID)))
-    for r in rows.mapInArrow(run, "b bigint, g bigint, v double").groupBy("b", "g").agg(F.sum("v").alias("v")).collect():
-        gain[r["b"], r["g"]] = r["v"]
-    return GRID[np.argmax(gain, axis=1)]
+    table = np.zeros((BUCKETS, BINS + 1), np.int64)
+    for part in range(model.parts):
+        sent = texts.sparkSession.sparkContext.broadcast(_filter_part(trained, part))
+
+        def run(batches: Iterator[pa.RecordBatch], part=part, sent=sent) -> Iterator[pa.RecordBatch]:
+            m, total, made = shared.value, np.zeros(BUCKETS * (BINS + 1), np.int64), Tokens()
+            for batch in batches:
+                for h, c, starts in _blocks(m, batch, 0, joined, made):
+                    single, before, pair, mine = _text_parts(m, sent.value, part, h, c, starts)
+                    p2 = np.where(before > 1, np.minimum(np.maximum(pair - 1, 0) / np.maximum(before - 1, 1), 1.0), 0.0)
+                    at = bucket_of(before) * (BINS + 1) + ratio_bin(p2 / single)
+                    total += np.bincount(at[mine], minlength=len(total))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+
+        for r in rows.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most as many as the table has
+            table[divmod(r["at"], BINS + 1)] += r["n"]
+        sent.unpersist()
+    return best_weights(table)
 
 
 def _blocks(model: Model, batch: pa.RecordBatch, text_at: int, joined: bool, made: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -411,32 +385,51 @@ def _joined_counts(h: np.ndarray, hs: pa.Scalar, cs: pa.Scalar) -> np.ndarray:
     return np.where(known[order][at] == h, np.asarray(cs.values, dtype=np.int64)[order][at], 0)
 
 
-def score(documents: DataFrame, model: Model, tokens: DataFrame, text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, trained: Trained, text_col: str = "text") -> DataFrame:
     """All columns of `documents` but the text, plus n_tokens, n_known, train_tokens, base_score and score.
 
     base_score is the exact add-one unigram log10 probability, score the mixture's. Null and empty texts have the end token
-    alone. Texts are read whole; repeated rows score alike; own columns replace columns of the same name.
+    alone. Texts are read whole; repeated rows score alike; an empty table gives an empty result; own columns replace columns
+    of the same name.
     """
     own = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     passed = [f.name for f in documents.schema.fields if f.name != text_col and f.name not in own]
-    rows, joined = _with_counts(documents.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text_col}`").alias("text")), tokens, model, passed)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in passed)
-    width = len(passed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, made = shared.value, Tokens()
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for h, c, starts in _blocks(m, batch, width, joined, made):
-                single, before, pair = _text_parts(m, h, c, starts)
-                weight = np.where(before > 0, m.weights[bucket_of(before)], 0.0)
-                p2 = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1.0)
-                for k, x in enumerate((np.ones(len(h), np.int64), (c > 0).astype(np.int64), np.log10(single), np.log10(weight * p2 + (1 - weight) * single))):
-                    out[k].append(np.add.reduceat(x, starts))
-            n, known, base, mixture = (np.concatenate(x) if x else np.zeros(0) for x in out)
-            cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base), pa.array(mixture)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], names=[*passed, *own])
-
-    schema = ", ".join([*([kinds] if kinds else []), "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])
-    return rows.mapInArrow(run, schema)
+    model, context = trained.model, documents.sparkSession.sparkContext
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in passed], F.lit(0).alias("_pad")).alias("_row"), F.col(f"`{text_col}`").alias("text"))
+    if model.parts > 1:
+        rows = cut(rows.withColumn("_rid", F.monotonically_increasing_id()), "lm-numbered")
+        texts = rows.select("_rid", "text")
+    else:
+        texts = rows
+    name = texts.columns[0]
+    counted, joined = _with_counts(texts, trained.tokens, model)
+    shared = context.broadcast(model)
+    schema = f"{name} {texts.schema[name].dataType.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    made_of = None
+    for part in range(model.parts):
+        sent = context.broadcast(_filter_part(trained, part))
+
+        def run(batches: Iterator[pa.RecordBatch], part=part, sent=sent) -> Iterator[pa.RecordBatch]:
+            m, made = shared.value, Tokens()
+            for batch in batches:
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for h, c, starts in _blocks(m, batch, 1, joined, made):
+                    single, before, pair, mine = _text_parts(m, sent.value, part, h, c, starts)
+                    weight = np.where(before > 0, m.weights[bucket_of(before)], 0.0)
+                    p2 = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1.0)
+                    mixture = np.where(mine, np.log10(weight * p2 + (1 - weight) * single), 0.0)
+                    for k, x in enumerate((np.ones(len(h), np.int64), (c > 0).astype(np.int64), np.log10(single), mixture)):
+                        out[k].append(np.add.reduceat(x, starts))
+                n, known, base, mixture = (np.concatenate(x) if x else np.zeros(0) for x in out)
+                cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base), pa.array(mixture)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[name, *own])
+
+        scored = counted.mapInArrow(run, schema)
+        if model.parts == 1:
+            return scored.select("_row.*", *own).drop("_pad")
+        scored = cut(scored, "lm-part")
+        sent.unpersist()
+        made_of = scored if made_of is None else made_of.unionByName(scored)
+    first = [F.first(c).alias(c) for c in own[:-1]]
+    summed = made_of.groupBy(F.col("_rid").alias("_of")).agg(*first, F.sum("score").alias("score"))
+    return rows.select("_rid", "_row").join(summed, F.col("_rid") == F.col("_of")).select("_row.*", *own).drop("_pad")
