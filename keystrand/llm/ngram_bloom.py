@@ -1,12 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts every token and every pair of neighbours, once or more often. Token counts stay exact. Pair counts are quantised
-to powers of two; a pair of level q goes into the filter q times, as (pair, 1) to (pair, q), so a count comes back by probing
-level after level until one misses. The filter has BITS_PER_ENTRY bits for every entry, whatever their number. It is cut into
-parts of bounded size; each part is built on the executors, broadcast, and scores the pairs that belong to it in a scan
-of its own. A text's score is the sum over its tokens, so the parts' sums add up. A token's probability mixes the filter's pair
-estimate with the exact add-one unigram; how much, by the predecessor's count, is fitted on all training texts with their
-own pairs taken out.
+Training counts every token, then every pair of neighbours, once or more often. Token counts stay exact. Pair counts are
+quantised to powers of two; a pair of level q goes into the filter q times, as (pair, 1) to (pair, q), so a count comes back by
+probing level after level until one misses. Pairs meet in groups by their hash; a group adds up its counts and builds its
+segment of the filter, with BITS_PER_ENTRY bits for every entry. Segments are broadcast together, in parts of bounded size: each part
+scores the pairs that belong to it in a scan of its own, and as a text's score is the sum over its tokens the parts' sums add
+up. A token's probability mixes the filter's pair estimate with the exact add-one unigram; how much, by the predecessor's
+count, is fitted on all training pairs with one occurrence taken out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -26,11 +26,11 @@ from .common import cut
 #: Exact token counts up to which they are broadcast (12 bytes each); beyond it they are joined by token.
 MAX_BROADCAST_TOKENS = 8_000_000
 #: Bits for each entry, bound of a part of the filter (128 MB), and hashes for each probe.
-BITS_PER_ENTRY = 16
+BITS_PER_ENTRY = 12
 MAX_PART_BITS = 1 << 30
-PROBES = 5
-#: Ranges of a part that are built apart.
-SEGMENTS = 64
+PROBES = 4
+#: Training tokens whose pairs meet in a group, about.
+GROUP_TOKENS = 500_000
 MAX_LEVEL = 62
 #: Pairs a task gathers before it hands on their counts.
 FLUSH = 750_000
@@ -74,10 +74,11 @@ def pair_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Codes of tokens seen by a worker, with their hashes; forgets all when it has too many."""
+    """Codes of tokens seen by a worker, with their hashes and training counts; forgets all when it has too many."""
 
     def __init__(self, bound: int = 250_000):
-        self.bound, self.code, self.hashes = bound, {}, np.zeros(1 << 12, np.uint64)
+        self.bound = bound
+        self.forget()
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
         get = self.code.get
@@ -95,41 +96,63 @@ class Tokens:
                     found[i] = c
         return np.array(found, np.int64)
 
+    def numbers(self, model: Model) -> np.ndarray:
+        """Exact training counts by code."""
+        if len(self.counted) < len(self.code):
+            self.counted = np.concatenate([self.counted, model.unigram(self.hashes[len(self.counted) : len(self.code)])])
+        return self.counted
+
     def forget(self) -> None:
-        self.code, self.hashes = {}, np.zeros(1 << 12, np.uint64)
+        self.code, self.hashes, self.counted = {}, np.zeros(1 << 12, np.uint64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
         return len(self.code) > self.bound
 
 
-def part_of(pair: np.ndarray, parts: int) -> np.ndarray:
-    """Part of the filter that a pair belongs to."""
-    return (pair >> np.uint64(8)) % np.uint64(parts)
+def packed(x: np.ndarray) -> bytes:
+    """The low five bytes of each number: with the group's bits above them one collision in 10^5 pairs at 10^9 pairs."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
 
+def group_of(pair: np.ndarray, groups: int) -> np.ndarray:
+    """Group of a pair, by its highest bits; groups is a power of two and more than one."""
+    return (pair >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
 
-def part_column(pair: Column, parts: int) -> Column:
-    """part_of() for a column of signed hashes."""
-    return F.shiftrightunsigned(pair, 8) % parts
+
+def place(key: np.ndarray, group: np.ndarray | int, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """Bit of a pair's entry within its group's segment of `size` bits."""
+    salt = np.uint64((probe + PROBES * level) * int(GOLD) % (1 << 64))
+    return scrambled((key & np.uint64((1 << 40) - 1)) + np.uint64(1 << 40) * np.asarray(group, np.uint64) + salt) % np.asarray(size, np.uint64)
 
 
 @dataclass
 class Filter:
-    """One part of the log-frequency Bloom filter: SEGMENTS equal ranges in one array of words."""
+    """Segments of the log-frequency Bloom filter, of groups `first` and following: sizes in bits, and their bits in words."""
 
+    groups: int
+    first: int
+    sizes: np.ndarray
     bits: np.ndarray
-    segment_bits: int
 
-    def places(self, pair: np.ndarray, level: int, probe: int) -> np.ndarray:
-        salt = np.uint64((probe + PROBES * level) * int(GOLD) % (1 << 64))
-        return (pair % np.uint64(SEGMENTS)) * np.uint64(self.segment_bits) + scrambled(pair + salt) % np.uint64(self.segment_bits)
+    def mine(self, pair: np.ndarray) -> np.ndarray:
+        group = group_of(pair, self.groups)
+        return (group >= self.first) & (group < self.first + len(self.sizes))
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
-        """Level of each pair, 0 if it isn't there: probes go up until one misses."""
+        """Level of each pair of the part's groups, 0 if it isn't there: probes go up until one misses."""
         out = np.zeros(len(pair), np.int64)
-        alive = np.arange(len(pair))
+        group = group_of(pair, self.groups)
+        size, start = self.sizes[group - self.first], (np.cumsum(self.sizes) - self.sizes)[group - self.first].astype(np.uint64)
+        alive = np.flatnonzero(size > 0)
         for level in range(1, MAX_LEVEL):
             for probe in range(PROBES):
-                at = self.places(pair[alive], level, probe)
+                at = start[alive] + place(pair[alive], group[alive], level, probe, size[alive])
                 alive = alive[(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
             if not len(alive):
                 break
@@ -137,9 +160,9 @@ class Filter:
         return out
 
 
-def level_column(count: Column) -> Column:
-    """1 for a count of 1, 2 from 2 on, 3 from 4 on and so forth: the count's binary digits."""
-    return F.length(F.bin(count))
+def level_of(count: np.ndarray) -> np.ndarray:
+    """1 for a count of 1, 2 from 2 on, 3 from 4 on and so forth."""
+    return np.frexp(np.asarray(count, np.float64))[1].astype(np.int64)
 
 
 def count_of(level: np.ndarray) -> np.ndarray:
@@ -147,106 +170,139 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
 
 
-def counts(train: DataFrame) -> DataFrame:
-    """(token, h, n): hashes of tokens (token true) and pairs (false) with their exact training counts."""
+def segment(key: np.ndarray, group: int, level: np.ndarray) -> tuple[int, bytes]:
+    """(bits, packed bits) of a group's segment."""
+    size = 64 * math.ceil(int(level.sum()) * BITS_PER_ENTRY / 64)
+    part = np.zeros(size, np.bool_)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        key, level = key[level >= q], level[level >= q]
+        for probe in range(PROBES):
+            part[place(key, group, q, probe, size)] = True
+    return size, np.packbits(part, bitorder="little").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, singles = Tokens(), np.zeros(0, np.int64)
-        pairs: list[np.ndarray] = []
-        held = 0
 
-        def rows(token: bool, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), token)), pa.array(h.view(np.int64)), pa.array(n)], names=["token", "h", "n"])
+def token_counts(train: DataFrame) -> DataFrame:
+    """(h, n): hashes of tokens with their exact training counts."""
 
-        def tokens_out() -> pa.RecordBatch:
-            some = np.flatnonzero(singles)
-            return rows(True, made.hashes[some], singles[some])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, total = Tokens(), np.zeros(0, np.int64)
 
-        def pairs_out() -> pa.RecordBatch:
-            return rows(False, *np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]), return_counts=True))
+        def out() -> pa.RecordBatch:
+            some = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(made.hashes[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
 
         for batch in batches:
             texts = batch.column(0)
             for at in range(0, len(texts), 64):
-                several = [made.codes(tokens_of(x.as_py())) for x in texts.slice(at, 64)]
-                code = np.concatenate(several)
-                starts = np.cumsum([0, *map(len, several[:-1])])
-                more = np.bincount(code, minlength=len(singles))
-                more[: len(singles)] += singles
-                singles = more
-                pairs.append(pair_hashes(made.hashes[code], starts))
-                held += len(code)
-                if held > FLUSH:
-                    yield pairs_out()
-                    pairs, held = [], 0
+                more = np.bincount(np.concatenate([made.codes(tokens_of(x.as_py())) for x in texts.slice(at, 64)]), minlength=len(total))
+                more[: len(total)] += total
+                total = more
                 if made.full():
-                    yield tokens_out()
-                    made, singles = Tokens(), np.zeros(0, np.int64)
-        yield tokens_out()
-        yield pairs_out()
+                    yield out()
+                    made, total = Tokens(), np.zeros(0, np.int64)
+        yield out()
 
-    return train.mapInArrow(run, "token boolean, h bigint, n bigint").groupBy("token", "h").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """total: training tokens; types: distinct ones; unigrams: sorted hashes and counts, None where they are joined; parts of
-    the filter and the bits of a part."""
+    """total: training tokens; types: distinct ones; unigrams: sorted hashes and counts, None where they are joined; groups of
+    the pairs, and where the filter's parts begin among them."""
 
     total: int
     types: int
-    parts: int
-    part_bits: int
     weights: np.ndarray
     hashes: np.ndarray | None
-    numbers: np.ndarray | None
+    unigrams: np.ndarray | None
+    groups: int = 2
+    starts: tuple[int, ...] = (0,)
 
     def unigram(self, h: np.ndarray) -> np.ndarray:
         """Exact training counts of token hashes."""
         if not len(self.hashes):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.numbers[at], 0).astype(np.int64)
+        return np.where(self.hashes[at] == h, self.unigrams[at], 0).astype(np.int64)
 
 
 @dataclass
 class Trained:
-    """A model with its tables: token counts (h, n) and pair counts (h, n), both exact."""
+    """A model with its tables: token counts (h, n) and the filter's segments (grp, size, bits)."""
 
     model: Model
     tokens: DataFrame
-    pairs: DataFrame
+    segments: DataFrame
 
 
 def bucket_of(before: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(before + 1.0).astype(np.int64), BUCKETS - 1)
 
 
-def built_filter(pairs: DataFrame, part_bits: int) -> Filter:
-    """Filter of rows (h, n). Segments are set where their pairs meet; the driver holds one part at a time."""
-    size = part_bits // SEGMENTS
-    empty = Filter(np.zeros(0, np.uint64), size)
+def ratio_bin(log_ratio: np.ndarray) -> np.ndarray:
+    """Bin, from 1 on, of the logarithm in STEPS of the ratio of the pair's estimate to the unigram's; 0 is for a ratio of 0."""
+    return (1 + np.clip(log_ratio - LOW * STEPS, 0, BINS - 1)).astype(np.int64)
+
+
+def built_segments(texts: DataFrame, tokens: DataFrame, model: Model) -> DataFrame:
+    """(grp, size, bits, at, n): each group's segment, and by bucket and ratio bin (at) how many occurrences (n) its pairs have.
+
+    Tasks hand on packed partial counts by group: pairs (5 bytes), counts (4), the logarithm of what one count of the pair adds to
+    the ratio of both estimates (2) and the predecessor's bucket (1).
+    """
+    groups = model.groups
+    rows, joined = _with_counts(texts, tokens, model)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    names = ["grp", "pairs", "count", "unit", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
+        m, made = shared.value, Tokens()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            pair, unit, bucket = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 3
+            pair, first, n = np.unique(pair, return_index=True, return_counts=True)
+            unit, bucket, group = unit[first].astype(np.int16), bucket[first].astype(np.uint8), group_of(pair, groups)
+            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(pair) else np.zeros(0, np.int64)
+            ends = [*starts[1:].tolist(), len(pair)]
+            cut_at = lambda x, of: pa.array([of(x[a:b]) for a, b in zip(starts.tolist(), ends, strict=False)], pa.binary())
+            raw = np.ndarray.tobytes
+            return pa.RecordBatch.from_arrays([pa.array(group[starts]), cut_at(pair, packed), cut_at(n.astype(np.uint32), raw), cut_at(unit, raw), cut_at(bucket, raw)], names=names)
+
+        size = 0
         for batch in batches:
-            pair, level = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-            segment = (pair % np.uint64(SEGMENTS)).astype(np.int64)
-            for s in np.unique(segment).tolist():
-                part = made.setdefault(s, np.zeros(size, np.bool_))
-                own, height = pair[segment == s], level[segment == s]
-                for q in range(1, int(height.max()) + 1):
-                    own, height = own[height >= q], height[height >= q]
-                    for probe in range(PROBES):
-                        part[empty.places(own, q, probe) - np.uint64(s * size)] = True
-        for s, part in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], names=["segment", "part"])
-
-    dealt = pairs.select("h", level_column(F.col("n")).alias("level"), F.col("h").bitwiseAND(SEGMENTS - 1).alias("_s")).repartition(SEGMENTS, "_s")
-    bits = np.zeros((SEGMENTS, size // 8), np.uint8)
-    for row in dealt.select("h", "level").mapInArrow(run, "segment int, part binary").toLocalIterator():
-        bits[row["segment"]] |= np.frombuffer(row["part"], np.uint8)
-    return Filter(bits.reshape(-1).view(np.uint64), size)
+            for h, c, starts in _blocks(m, batch, 0, joined, made):
+                single, before = _unigram_parts(m, c, starts)
+                unit = np.where(before > 1, np.round(-np.log2(np.maximum(before - 1, 1) * single) * STEPS), -(1 << 14))
+                held.append((pair_hashes(h, starts), unit, bucket_of(before)))
+                size += len(h)
+                if size >= FLUSH:
+                    yield out()
+                    held.clear()
+                    size = 0
+        yield out()
+
+    def add(table: pa.Table) -> pa.Table:
+        group = table.column("grp")[0].as_py()
+        blob = {c: b"".join(table.column(c).to_pylist()) for c in names[1:]}
+        key, n = unpacked(blob["pairs"]), np.frombuffer(blob["count"], np.uint32).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, n, first = key[starts], np.add.reduceat(n[order], starts), order[starts]
+        unit, bucket = np.frombuffer(blob["unit"], np.int16)[first], np.frombuffer(blob["bucket"], np.uint8)[first].astype(np.int64)
+        level = level_of(n)
+        size, bits = segment(key, group, level)
+        less = count_of(level) - 1  # one occurrence is taken out
+        known = (less > 0) & (unit > -(1 << 14))
+        at = bucket * (BINS + 1)
+        at[known] += ratio_bin(unit[known] + np.round(np.log2(less[known]) * STEPS))
+        at, which = np.unique(at, return_inverse=True)
+        total = np.bincount(which, n, len(at)).astype(np.int64)
+        return pa.table({"grp": pa.array([group], pa.int64()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary()), "at": pa.array([at.tolist()], pa.list_(pa.int64())), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+    partial = rows.mapInArrow(run, "grp bigint, pairs binary, count binary, unit binary, bucket binary")
+    return partial.groupBy("grp").applyInArrow(add, "grp bigint, size bigint, bits binary, at array<bigint>, n array<bigint>")
 
 
 def _unigrams(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -262,40 +318,55 @@ def _unigrams(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], numbers[order].astype(np.uint32 if numbers.max(initial=0) < 1 << 32 else np.uint64)
 
 
-def fit(train: DataFrame, text_col: str = "text", max_broadcast_tokens: int = MAX_BROADCAST_TOKENS, max_part_bits: int = MAX_PART_BITS) -> Trained:
-    """The model of all texts of `train`. No count is left out and the filter is as large as its entries need."""
+def fit(train: DataFrame, text_col: str = "text", max_broadcast_tokens: int = MAX_BROADCAST_TOKENS, max_part_bits: int = MAX_PART_BITS, group_tokens: int = GROUP_TOKENS) -> Trained:
+    """The model of all texts of `train`. No pair is left out and the filter is as large as its entries need."""
     texts = train.select(F.col(text_col).alias("text"))
-    table = cut(counts(texts), "ngram-counts")
-    found = {r["token"]: r for r in table.groupBy("token").agg(F.count("*").alias("types"), F.sum("n").alias("total"), F.sum(level_column(F.col("n"))).alias("entries")).collect()}
-    total, types = (found[True]["total"], found[True]["types"]) if True in found else (0, 0)
-    entries = found[False]["entries"] if False in found else 0
-    parts = max(1, math.ceil(entries * BITS_PER_ENTRY / max_part_bits))
-    part_bits = 64 * SEGMENTS * max(16, math.ceil(entries * BITS_PER_ENTRY / parts / (64 * SEGMENTS)))
-    tokens, pairs = table.where("token").select("h", "n"), table.where("NOT token").select("h", "n")
+    tokens = cut(token_counts(texts), "lm-tokens")
+    total, types = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hashes, numbers = _unigrams(tokens) if types <= max_broadcast_tokens else (None, None)
-    trained = Trained(Model(total, types, parts, part_bits, np.zeros(BUCKETS), hashes, numbers), tokens, pairs)
-    trained.model.weights = _fitted(trained, texts)
-    return trained
-
-
-def _filter_part(trained: Trained, part: int) -> Filter:
-    return built_filter(trained.pairs.where(part_column(F.col("h"), trained.model.parts) == part), trained.model.part_bits)
-
-
-def _text_parts(model: Model, found: Filter, part: int, h: np.ndarray, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unigram probability, predecessor's count, pair's count, whether the pair belongs to the part) for each token of
-    texts that begin at `starts`."""
-    single = (c + 1.0) / (model.total + model.types + 1.0)
+    groups = 1 << max(1, math.ceil(math.log2(max(1, total / group_tokens))))
+    model = Model(total, types, np.full(BUCKETS, GRID[0]), hashes, numbers, groups)
+    segments = cut(built_segments(texts, tokens, model), "lm-segments")
+    sizes = np.zeros(groups, np.int64)
+    for r in segments.select("grp", "size").collect():  # one number for each GROUP_TOKENS tokens
+        sizes[r["grp"]] = r["size"]
+    starts, held = [0], 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > max_part_bits:
+            starts.append(k)
+            held = 0
+        held += size
+    model.starts = tuple(starts)
+    table = np.zeros((BUCKETS, BINS + 1))
+    pairs = segments.select(F.explode(F.arrays_zip("at", "n")).alias("x"))
+    for r in pairs.groupBy("x.at").agg(F.sum("x.n").alias("n")).collect():  # at most as many as the table has
+        table[divmod(r["at"], BINS + 1)] = r["n"]
+    model.weights = best_weights(table)
+    return Trained(model, tokens, segments.select("grp", "size", "bits"))
+
+
+def filter_part(trained: Trained, part: int) -> Filter:
+    """One part of the filter; its segments go through the driver into a broadcast."""
+    model = trained.model
+    first = model.starts[part]
+    last = model.starts[part + 1] if part + 1 < len(model.starts) else model.groups
+    rows = trained.segments.where(F.col("grp").between(first, last - 1))
+    sizes = np.zeros(last - first, np.int64)
+    for r in rows.select("grp", "size").collect():
+        sizes[r["grp"] - first] = r["size"]
+    ends, bits = np.cumsum(sizes) // 64, np.zeros(int(sizes.sum()) // 64, np.uint64)
+    for r in rows.toLocalIterator():
+        end = int(ends[r["grp"] - first])
+        bits[end - r["size"] // 64 : end] = np.frombuffer(r["bits"], np.uint64)
+    return Filter(model.groups, first, sizes, bits)
+
+
+def _unigram_parts(model: Model, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unigram probability, predecessor's count) for each token of texts that begin at `starts`."""
     before = np.empty(len(c))
     before[1:] = c[:-1]
     before[starts] = 0
-    pair = pair_hashes(h, starts)
-    if model.parts == 1:
-        return single, before, count_of(found.levels(pair)), np.ones(len(h), bool)
-    mine = part_of(pair, model.parts) == part
-    count = np.zeros(len(h))
-    count[mine] = count_of(found.levels(pair[mine]))
-    return single, before, count, mine
+    return (c + 1.0) / (model.total + model.types + 1.0), before
 
 
 def _with_counts(rows: DataFrame, tokens: DataFrame, model: Model) -> tuple[DataFrame, bool]:
@@ -316,13 +387,6 @@ def _with_counts(rows: DataFrame, tokens: DataFrame, model: Model) -> tuple[Data
     return cut(joined, "lm-counted"), True
 
 
-def ratio_bin(ratio: np.ndarray) -> np.ndarray:
-    """Bin of the ratio of the pair's estimate to the unigram's: 0 for 0, else by its logarithm."""
-    with np.errstate(divide="ignore"):
-        at = np.round((np.log2(ratio) - LOW) * STEPS)
-    return np.where(ratio > 0, 1 + np.clip(at, 0, BINS - 1), 0).astype(np.int64)
-
-
 def best_weights(table: np.ndarray) -> np.ndarray:
     """Weight of greatest likelihood for each row of a BUCKETS x (BINS + 1) table of counts by ratio_bin()."""
     ratio = np.concatenate([[0.0], 2.0 ** (LOW + np.arange(BINS) / STEPS)])
@@ -330,33 +394,6 @@ def best_weights(table: np.ndarray) -> np.ndarray:
     return GRID[np.argmax(table @ gain.T, axis=1)]
 
 
-def _fitted(trained: Trained, texts: DataFrame) -> np.ndarray:
-    """For each size of the predecessor's count the pair estimate's weight of greatest likelihood, over all training
-    texts, with one taken off each pair's and predecessor's count for the text itself."""
-    model = trained.model
-    rows, joined = _with_counts(texts, trained.tokens, model)
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    table = np.zeros((BUCKETS, BINS + 1), np.int64)
-    for part in range(model.parts):
-        sent = texts.sparkSession.sparkContext.broadcast(_filter_part(trained, part))
-
-        def run(batches: Iterator[pa.RecordBatch], part=part, sent=sent) -> Iterator[pa.RecordBatch]:
-            m, total, made = shared.value, np.zeros(BUCKETS * (BINS + 1), np.int64), Tokens()
-            for batch in batches:
-                for h, c, starts in _blocks(m, batch, 0, joined, made):
-                    single, before, pair, mine = _text_parts(m, sent.value, part, h, c, starts)
-                    p2 = np.where(before > 1, np.minimum(np.maximum(pair - 1, 0) / np.maximum(before - 1, 1), 1.0), 0.0)
-                    at = bucket_of(before) * (BINS + 1) + ratio_bin(p2 / single)
-                    total += np.bincount(at[mine], minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
-
-        for r in rows.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most as many as the table has
-            table[divmod(r["at"], BINS + 1)] += r["n"]
-        sent.unpersist()
-    return best_weights(table)
-
-
 def _blocks(model: Model, batch: pa.RecordBatch, text_at: int, joined: bool, made: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hashes, exact counts, starts of the texts) for some texts of a batch at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -364,14 +401,14 @@ def _blocks(model: Model, batch: pa.RecordBatch, text_at: int, joined: bool, mad
     for k in range(batch.num_rows):
         code = made.codes(tokens_of(batch.column(text_at)[k].as_py()))
         h = made.hashes[code]
-        c = _joined_counts(h, batch.column(text_at + 1)[k], batch.column(text_at + 2)[k]) if joined else None
+        c = _joined_counts(h, batch.column(text_at + 1)[k], batch.column(text_at + 2)[k]) if joined else made.numbers(model)[code]
         if made.full():
             made.forget()
         held.append((h, c))
         size += len(h)
         if size >= BLOCK_TOKENS or k == batch.num_rows - 1:
             hashes = np.concatenate([x[0] for x in held])
-            numbers = np.concatenate([x[1] for x in held]) if joined else model.unigram(hashes)
+            numbers = np.concatenate([x[1] for x in held])
             yield hashes, numbers, np.cumsum([0, *(len(x[0]) for x in held[:-1])])
             held, size = [], 0
 
@@ -396,7 +433,7 @@ def score(documents: DataFrame, trained: Trained, text_col: str = "text") -> Dat
     passed = [f.name for f in documents.schema.fields if f.name != text_col and f.name not in own]
     model, context = trained.model, documents.sparkSession.sparkContext
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in passed], F.lit(0).alias("_pad")).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    if model.parts > 1:
+    if len(model.starts) > 1:
         rows = cut(rows.withColumn("_rid", F.monotonically_increasing_id()), "lm-numbered")
         texts = rows.select("_rid", "text")
     else:
@@ -406,15 +443,19 @@ def score(documents: DataFrame, trained: Trained, text_col: str = "text") -> Dat
     shared = context.broadcast(model)
     schema = f"{name} {texts.schema[name].dataType.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     made_of = None
-    for part in range(model.parts):
-        sent = context.broadcast(_filter_part(trained, part))
+    for part in range(len(model.starts)):
+        sent = context.broadcast(filter_part(trained, part))
 
-        def run(batches: Iterator[pa.RecordBatch], part=part, sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m, made = shared.value, Tokens()
             for batch in batches:
                 out: list[list[np.ndarray]] = [[], [], [], []]
                 for h, c, starts in _blocks(m, batch, 1, joined, made):
-                    single, before, pair, mine = _text_parts(m, sent.value, part, h, c, starts)
+                    single, before = _unigram_parts(m, c, starts)
+                    hashed = pair_hashes(h, starts)
+                    mine = sent.value.mine(hashed)
+                    pair = np.zeros(len(h))
+                    pair[mine] = count_of(sent.value.levels(hashed[mine]))
                     weight = np.where(before > 0, m.weights[bucket_of(before)], 0.0)
                     p2 = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1.0)
                     mixture = np.where(mine, np.log10(weight * p2 + (1 - weight) * single), 0.0)
@@ -425,7 +466,7 @@ def score(documents: DataFrame, trained: Trained, text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[name, *own])
 
         scored = counted.mapInArrow(run, schema)
-        if model.parts == 1:
+        if len(model.starts) == 1:
             return scored.select("_row.*", *own).drop("_pad")
         scored = cut(scored, "lm-part")
         sent.unpersist()

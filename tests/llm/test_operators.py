@@ -168,9 +168,9 @@ def test_language_model_against_counts(spark):
     c = Counter(w for t in train for w in ngram_bloom.tokens_of(t))
     n, v = sum(c.values()), len(c)
     results = []
-    for options in ({}, {"max_broadcast_tokens": 0, "max_part_bits": 5000}):
+    for options in ({}, {"max_broadcast_tokens": 0, "max_part_bits": 2500, "group_tokens": 200}):
         trained = ngram_bloom.fit(df.where(~held), **options)
-        assert (trained.model.parts > 1) == ("max_part_bits" in options) and (trained.model.weights > 0).any()
+        assert (len(trained.model.starts) > 1) == ("max_part_bits" in options) and (trained.model.weights > 0).any()
         out = ngram_bloom.score(df.withColumn("base_score", F.lit(1)).withColumn("n", F.lit(2)), trained).collect()
         assert len(out) == len(rows)
         for r in out:
@@ -188,10 +188,11 @@ def test_mixing_weights_see_all_training_texts(spark):
     kinds = [" ".join(f"l{rng.randint(0, k + 1)}" for _ in range(8)) for k in range(20)]
     rows = [(i, kinds[i % 20]) for i in range(3000)]  # groups of copies
     trained = ngram_bloom.fit(docs(spark, rows))
-    found, gain = ngram_bloom._filter_part(trained, 0), np.zeros((ngram_bloom.BUCKETS, len(ngram_bloom.GRID)))
+    found, gain = ngram_bloom.filter_part(trained, 0), np.zeros((ngram_bloom.BUCKETS, len(ngram_bloom.GRID)))
     for _, text in rows:
         h = np.array([ngram_bloom.hash_of(t) for t in ngram_bloom.tokens_of(text)], np.uint64)
-        single, before, pair, _ = ngram_bloom._text_parts(trained.model, found, 0, h, trained.model.unigram(h), np.array([0]))
+        single, before = ngram_bloom._unigram_parts(trained.model, trained.model.unigram(h), np.array([0]))
+        pair = ngram_bloom.count_of(found.levels(ngram_bloom.pair_hashes(h, np.array([0]))))
         p2 = np.minimum(np.where(before > 1, np.maximum(pair - 1, 0) / np.maximum(before - 1, 1), 0.0), 1.0)
         for k, p, q in zip(ngram_bloom.bucket_of(before), p2, single, strict=True):
             gain[k] += np.log(ngram_bloom.GRID * p + (1 - ngram_bloom.GRID) * q)
@@ -200,23 +201,24 @@ def test_mixing_weights_see_all_training_texts(spark):
     assert (loss <= 1e-3 * np.abs(gain).max(axis=1) + 1e-9).all()  # the bins' rounding
 
 
-def test_filter_holds_quantised_counts(spark):
+def test_filter_holds_quantised_counts():
     rng = np.random.default_rng(0)
-    h = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    h = rng.integers(0, 2**64, 4000, dtype=np.uint64)
     n = rng.integers(1, 3000, 4000)
-    level = np.floor(np.log2(n)).astype(int) + 1
-    rows = spark.createDataFrame([(int(x), int(y)) for x, y in zip(h, n, strict=True)], "h bigint, n bigint")
-    bits = 64 * ngram_bloom.SEGMENTS * math.ceil(ngram_bloom.BITS_PER_ENTRY * int(level.sum()) / (64 * ngram_bloom.SEGMENTS))
-    made = ngram_bloom.built_filter(rows, bits)
-    got = made.levels(h)
-    assert (got >= level).all() and (got == level).mean() > 0.99
-    assert (made.levels(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.01
-    assert (ngram_bloom.count_of(level) <= n).all()
+    level, group = ngram_bloom.level_of(n), ngram_bloom.group_of(h, 8)
+    assert (level == np.floor(np.log2(n)) + 1).all() and (ngram_bloom.count_of(level) <= n).all()
+    made = [ngram_bloom.segment(h[group == g], g, level[group == g]) for g in range(8)]
+    whole = ngram_bloom.Filter(8, 0, np.array([x[0] for x in made]), np.frombuffer(b"".join(x[1] for x in made), np.uint64))
+    got = whole.levels(h)
+    assert (got >= level).all() and (got == level).mean() > 0.98
+    assert (whole.levels(rng.integers(0, 2**64, 20_000, dtype=np.uint64)) > 0).mean() < 0.02
+    half = ngram_bloom.Filter(8, 4, np.array([x[0] for x in made[4:]]), np.frombuffer(b"".join(x[1] for x in made[4:]), np.uint64))
+    assert (half.mine(h) == (group >= 4)).all() and (half.levels(h[group >= 4]) == got[group >= 4]).all()
 
 
 def test_twins_of_training_texts_score_apart(spark):
     rng = random.Random(13)
-    text = lambda: " ".join(f"v{int(rng.paretovariate(0.6))}" for _ in range(60))
+    text = lambda: " ".join(f"v{rng.randint(0, 2000)}" for _ in range(60))
     train = [(i, text()) for i in range(300)]
     tested = [(1000 + i, train[i][1] if i < 20 else text()) for i in range(100)]
     got = {r["doc_id"]: r["score"] - r["base_score"] for r in ngram_bloom.score(docs(spark, tested), ngram_bloom.fit(docs(spark, train))).collect()}
