@@ -25,8 +25,8 @@ from .common import cut
 
 #: Exact token counts up to which they are broadcast (12 bytes each); beyond it they are joined by token.
 MAX_BROADCAST_TOKENS = 8_000_000
-#: Bits for each entry, bound of a part of the filter (128 MB), and hashes for each probe.
-BITS_PER_ENTRY = 12
+#: Bits for each entry, bound of a part of the filter (128 MB), and bits of an entry, all in one word.
+BITS_PER_ENTRY = 16
 MAX_PART_BITS = 1 << 30
 PROBES = 4
 #: Training tokens whose pairs meet in a group, about.
@@ -73,6 +73,18 @@ def pair_hashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return scrambled(before * GOLD + h)
 
 
+class Codes(dict):
+    """Numbers of tokens in the order they are first asked for; `fresh` are those since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = code = len(self)
+        self.fresh.append(token)
+        return code
+
+
 class Tokens:
     """Codes of tokens seen by a worker, with their hashes and training counts; forgets all when it has too many."""
 
@@ -81,20 +93,14 @@ class Tokens:
         self.forget()
 
     def codes(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.code.get
-        found = [get(t, -1) for t in tokens]
-        if -1 in found:
-            for i, c in enumerate(found):
-                if c < 0:
-                    t = tokens[i]
-                    c = get(t, -1)
-                    if c < 0:
-                        c = self.code[t] = len(self.code)
-                        if c >= len(self.hashes):
-                            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                        self.hashes[c] = hash_of(t)
-                    found[i] = c
-        return np.array(found, np.int64)
+        found = np.fromiter(map(self.code.__getitem__, tokens), np.int64, len(tokens))
+        if fresh := self.code.fresh:
+            first = len(self.code) - len(fresh)
+            while len(self.code) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.hashes[first : len(self.code)] = [hash_of(t) for t in fresh]
+            fresh.clear()
+        return found
 
     def numbers(self, model: Model) -> np.ndarray:
         """Exact training counts by code."""
@@ -103,7 +109,7 @@ class Tokens:
         return self.counted
 
     def forget(self) -> None:
-        self.code, self.hashes, self.counted = {}, np.zeros(1 << 12, np.uint64), np.zeros(0, np.int64)
+        self.code, self.hashes, self.counted = Codes(), np.zeros(1 << 12, np.uint64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
         return len(self.code) > self.bound
@@ -125,20 +131,30 @@ def group_of(pair: np.ndarray, groups: int) -> np.ndarray:
     return (pair >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
 
 
-def place(key: np.ndarray, group: np.ndarray | int, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
-    """Bit of a pair's entry within its group's segment of `size` bits."""
-    salt = np.uint64((probe + PROBES * level) * int(GOLD) % (1 << 64))
-    return scrambled((key & np.uint64((1 << 40) - 1)) + np.uint64(1 << 40) * np.asarray(group, np.uint64) + salt) % np.asarray(size, np.uint64)
+def spots(key: np.ndarray, group: np.ndarray | int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of each pair in its group's segment of `words` words. Level q lies in the q-th word behind it, so
+    the probes of a pair go through neighbouring memory."""
+    base = scrambled((key & np.uint64((1 << 40) - 1)) + np.uint64(1 << 40) * np.asarray(group, np.uint64))
+    return base, ((base >> np.uint64(32)) * np.asarray(words, np.uint64)) >> np.uint64(32)
+
+
+def masks(base: np.ndarray, level: int) -> np.ndarray:
+    """The PROBES bits of a pair's entry of a level within its word."""
+    mixed = scrambled(base + np.uint64(level * int(GOLD) % (1 << 64)))
+    out = np.uint64(1) << (mixed & np.uint64(63))
+    for probe in range(1, PROBES):
+        out |= np.uint64(1) << ((mixed >> np.uint64(6 * probe)) & np.uint64(63))
+    return out
 
 
 @dataclass
 class Filter:
-    """Segments of the log-frequency Bloom filter, of groups `first` and following: sizes in bits, and their bits in words."""
+    """Segments of the log-frequency Bloom filter, of groups `first` and following: sizes in words, and the words."""
 
     groups: int
     first: int
     sizes: np.ndarray
-    bits: np.ndarray
+    words: np.ndarray
 
     def mine(self, pair: np.ndarray) -> np.ndarray:
         group = group_of(pair, self.groups)
@@ -148,12 +164,14 @@ class Filter:
         """Level of each pair of the part's groups, 0 if it isn't there: probes go up until one misses."""
         out = np.zeros(len(pair), np.int64)
         group = group_of(pair, self.groups)
-        size, start = self.sizes[group - self.first], (np.cumsum(self.sizes) - self.sizes)[group - self.first].astype(np.uint64)
-        alive = np.flatnonzero(size > 0)
+        size, start = self.sizes[group - self.first], (np.cumsum(self.sizes) - self.sizes)[group - self.first]
+        base, word = spots(pair, group, size)
+        word, alive = word.astype(np.int64), np.flatnonzero(size > 0)
+        base, word, size, start = (x[alive] for x in (base, word, size, start))
         for level in range(1, MAX_LEVEL):
-            for probe in range(PROBES):
-                at = start[alive] + place(pair[alive], group[alive], level, probe, size[alive])
-                alive = alive[(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+            mask = masks(base, level)
+            hit = (self.words[start + (word + level) % size] & mask) == mask
+            alive, base, word, size, start = (x[hit] for x in (alive, base, word, size, start))
             if not len(alive):
                 break
             out[alive] = level
@@ -170,15 +188,16 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
 
 
-def segment(key: np.ndarray, group: int, level: np.ndarray) -> tuple[int, bytes]:
-    """(bits, packed bits) of a group's segment."""
-    size = 64 * math.ceil(int(level.sum()) * BITS_PER_ENTRY / 64)
-    part = np.zeros(size, np.bool_)
+def segment(key: np.ndarray, group: int, level: np.ndarray) -> np.ndarray:
+    """Words of a group's segment."""
+    size = math.ceil(int(level.sum()) * BITS_PER_ENTRY / 64)
+    part = np.zeros(size, np.uint64)
+    base, word = spots(key, group, size)
+    word = word.astype(np.int64)
     for q in range(1, int(level.max(initial=0)) + 1):
-        key, level = key[level >= q], level[level >= q]
-        for probe in range(PROBES):
-            part[place(key, group, q, probe, size)] = True
-    return size, np.packbits(part, bitorder="little").tobytes()
+        base, word, level = base[level >= q], word[level >= q], level[level >= q]
+        np.bitwise_or.at(part, (word + q) % size, masks(base, q))
+    return part
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -228,7 +247,7 @@ class Model:
 
 @dataclass
 class Trained:
-    """A model with its tables: token counts (h, n) and the filter's segments (grp, size, bits)."""
+    """A model with its tables: token counts (h, n) and the filter's segments (grp, size, words)."""
 
     model: Model
     tokens: DataFrame
@@ -245,7 +264,7 @@ def ratio_bin(log_ratio: np.ndarray) -> np.ndarray:
 
 
 def built_segments(texts: DataFrame, tokens: DataFrame, model: Model) -> DataFrame:
-    """(grp, size, bits, at, n): each group's segment, and by bucket and ratio bin (at) how many occurrences (n) its pairs have.
+    """(grp, size, words, at, n): each group's segment, and by bucket and ratio bin (at) how many occurrences (n) its pairs have.
 
     Tasks hand on packed partial counts by group: pairs (5 bytes), counts (4), the logarithm of what one count of the pair adds to
     the ratio of both estimates (2) and the predecessor's bucket (1).
@@ -261,8 +280,12 @@ def built_segments(texts: DataFrame, tokens: DataFrame, model: Model) -> DataFra
 
         def out() -> pa.RecordBatch:
             pair, unit, bucket = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 3
-            pair, first, n = np.unique(pair, return_index=True, return_counts=True)
-            unit, bucket, group = unit[first].astype(np.int16), bucket[first].astype(np.uint8), group_of(pair, groups)
+            order = np.argsort(pair)  # which of equal pairs comes first doesn't matter, they have the same unit and bucket
+            pair = pair[order]
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(pair)))
+            pair, unit, bucket = pair[first], unit[order[first]].astype(np.int16), bucket[order[first]].astype(np.uint8)
+            group = group_of(pair, groups)
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(pair) else np.zeros(0, np.int64)
             ends = [*starts[1:].tolist(), len(pair)]
             cut_at = lambda x, of: pa.array([of(x[a:b]) for a, b in zip(starts.tolist(), ends, strict=False)], pa.binary())
@@ -292,17 +315,17 @@ def built_segments(texts: DataFrame, tokens: DataFrame, model: Model) -> DataFra
         key, n, first = key[starts], np.add.reduceat(n[order], starts), order[starts]
         unit, bucket = np.frombuffer(blob["unit"], np.int16)[first], np.frombuffer(blob["bucket"], np.uint8)[first].astype(np.int64)
         level = level_of(n)
-        size, bits = segment(key, group, level)
+        words = segment(key, group, level)
         less = count_of(level) - 1  # one occurrence is taken out
         known = (less > 0) & (unit > -(1 << 14))
         at = bucket * (BINS + 1)
         at[known] += ratio_bin(unit[known] + np.round(np.log2(less[known]) * STEPS))
         at, which = np.unique(at, return_inverse=True)
         total = np.bincount(which, n, len(at)).astype(np.int64)
-        return pa.table({"grp": pa.array([group], pa.int64()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary()), "at": pa.array([at.tolist()], pa.list_(pa.int64())), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"grp": pa.array([group], pa.int64()), "size": pa.array([len(words)], pa.int64()), "words": pa.array([words.tobytes()], pa.binary()), "at": pa.array([at.tolist()], pa.list_(pa.int64())), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
     partial = rows.mapInArrow(run, "grp bigint, pairs binary, count binary, unit binary, bucket binary")
-    return partial.groupBy("grp").applyInArrow(add, "grp bigint, size bigint, bits binary, at array<bigint>, n array<bigint>")
+    return partial.groupBy("grp").applyInArrow(add, "grp bigint, size bigint, words binary, at array<bigint>, n array<bigint>")
 
 
 def _unigrams(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -332,17 +355,17 @@ def fit(train: DataFrame, text_col: str = "text", max_broadcast_tokens: int = MA
         sizes[r["grp"]] = r["size"]
     starts, held = [0], 0
     for k, size in enumerate(sizes.tolist()):
-        if held and held + size > max_part_bits:
+        if held and held + 64 * size > max_part_bits:
             starts.append(k)
             held = 0
-        held += size
+        held += 64 * size
     model.starts = tuple(starts)
     table = np.zeros((BUCKETS, BINS + 1))
     pairs = segments.select(F.explode(F.arrays_zip("at", "n")).alias("x"))
     for r in pairs.groupBy("x.at").agg(F.sum("x.n").alias("n")).collect():  # at most as many as the table has
         table[divmod(r["at"], BINS + 1)] = r["n"]
     model.weights = best_weights(table)
-    return Trained(model, tokens, segments.select("grp", "size", "bits"))
+    return Trained(model, tokens, segments.select("grp", "size", "words"))
 
 
 def filter_part(trained: Trained, part: int) -> Filter:
@@ -354,11 +377,11 @@ def filter_part(trained: Trained, part: int) -> Filter:
     sizes = np.zeros(last - first, np.int64)
     for r in rows.select("grp", "size").collect():
         sizes[r["grp"] - first] = r["size"]
-    ends, bits = np.cumsum(sizes) // 64, np.zeros(int(sizes.sum()) // 64, np.uint64)
+    ends, words = np.cumsum(sizes), np.zeros(int(sizes.sum()), np.uint64)
     for r in rows.toLocalIterator():
         end = int(ends[r["grp"] - first])
-        bits[end - r["size"] // 64 : end] = np.frombuffer(r["bits"], np.uint64)
-    return Filter(model.groups, first, sizes, bits)
+        words[end - r["size"] : end] = np.frombuffer(r["words"], np.uint64)
+    return Filter(model.groups, first, sizes, words)
 
 
 def _unigram_parts(model: Model, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -208,11 +208,11 @@ def test_filter_holds_quantised_counts():
     level, group = ngram_bloom.level_of(n), ngram_bloom.group_of(h, 8)
     assert (level == np.floor(np.log2(n)) + 1).all() and (ngram_bloom.count_of(level) <= n).all()
     made = [ngram_bloom.segment(h[group == g], g, level[group == g]) for g in range(8)]
-    whole = ngram_bloom.Filter(8, 0, np.array([x[0] for x in made]), np.frombuffer(b"".join(x[1] for x in made), np.uint64))
+    whole = ngram_bloom.Filter(8, 0, np.array([len(x) for x in made]), np.concatenate(made))
     got = whole.levels(h)
     assert (got >= level).all() and (got == level).mean() > 0.98
     assert (whole.levels(rng.integers(0, 2**64, 20_000, dtype=np.uint64)) > 0).mean() < 0.02
-    half = ngram_bloom.Filter(8, 4, np.array([x[0] for x in made[4:]]), np.frombuffer(b"".join(x[1] for x in made[4:]), np.uint64))
+    half = ngram_bloom.Filter(8, 4, np.array([len(x) for x in made[4:]]), np.concatenate(made[4:]))
     assert (half.mine(h) == (group >= 4)).all() and (half.levels(h[group >= 4]) == got[group >= 4]).all()
 
 
