@@ -1,11 +1,12 @@
-"""Exact top-k BM25 search: sharded inverted indexes, scored exhaustively, merged with global statistics.
-
-Queries are taken in blocks of bounded number; a block's terms are the vocabulary of its indexes. One pass over the documents
-writes packed shards (postings of vocabulary terms) and gathers the global statistics: document count, mean length and
-document frequencies. A second pass inverts each shard and runs the block's queries over it. Long lists are
-multiplied with every document of the shard for several queries at once, the others opened whole, so every posting is scored.
-Block maxima only save the sum of both for documents whose bound stays under the query's running k-th score.
-Tasks hand on their k best for each query, which are merged exactly: every score is made with the global statistics.
+"""Exact top-k search by BM25: block-max WAND per shard, merged with global statistics.
+
+Documents are packed once into shards of bounded size: their lengths and the counts of their terms by hash. Document frequencies are
+added up over all shards. Queries are taken in blocks of bounded number. For each block a shard's postings of the block's terms are
+inverted; its longest lists stay closed behind the maxima that they reach in each block of documents. A query opens its
+other lists, which gives every document a part of its score and, with the maxima, a bound. Documents are completed in the
+order of their bounds: those whose bound stays under the k-th best score are skipped, and a block of documents without any
+other is never read in the closed lists. Tasks hand on their k best for each query; these are merged in two steps, exactly,
+as every score is made with the global statistics.
 """
 
 from __future__ import annotations
@@ -16,21 +17,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from .common import cut, read_table
 
 K = 10
 K1, B = 1.2, 0.75
 #: Queries in a block, documents in a shard, documents in a block of the index.
-QUERY_BLOCK = 16_384
+QUERY_BLOCK = 8_192
 SHARD_DOCS = 8_192
-BLOCK_DOCS = 64
-#: Longest lists of a shard that are kept unopened behind block maxima.
-LONG_LISTS = 192
-#: Queries whose results are one row, and queries whose long lists are multiplied at once.
-PACK, TOGETHER = 512, 64
+BLOCK_DOCS = 8
+#: Longest lists of a shard that stay closed behind block maxima.
+LONG_LISTS = 128
+#: Commonest terms by which a shard's documents are put in order.
+SIGNATURE = 16
+#: Queries whose results are one row, and queries whose bounds are made at once.
+PACK, TOGETHER = 256, 64
+#: Decimals of a score: equal documents in different shards come out equal, whatever the order of their sums.
+DECIMALS = 9
 NO_ID = np.iinfo(np.int64).min
 
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -41,100 +49,134 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
+class Hashes(dict):
+    """Hashes of terms, computed when first asked for; emptied when there are too many."""
+
+    def __missing__(self, term: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[term] = h = xxh64_intdigest(term, 17)
+        return h
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, counts) of a text's distinct terms."""
+        words = terms_of(text)
+        return np.unique(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), return_counts=True)
+
+
 @dataclass
 class Queries:
-    """A block of queries: ids, their terms as numbers (terms[starts[i]:starts[i+1]]) with how often each stands there."""
+    """A block of queries: ids; the sorted hashes of all their terms; each query's terms as places in it
+    (terms[starts[i]:starts[i+1]]) with how often each stands there."""
 
     ids: np.ndarray
-    words: list[bytes]
+    words: np.ndarray
     starts: np.ndarray
     terms: np.ndarray
     times: np.ndarray
 
 
-def query_block(rows: list[tuple[int, str | None]]) -> Queries:
-    number: dict[bytes, int] = {}
-    starts, terms, times = [0], [], []
-    for _, text in rows:
-        code = np.array([number.setdefault(t, len(number)) for t in terms_of(text)], np.int64)
-        one, n = np.unique(code, return_counts=True)
-        terms.append(one)
-        times.append(n)
-        starts.append(starts[-1] + len(one))
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return Queries(np.array([r[0] for r in rows], np.int64), list(number), np.array(starts), join(terms).astype(np.int32), join(times).astype(np.float64))
+def packed_queries(asked: DataFrame) -> DataFrame:
+    """(q, words, times): hashes and counts of the terms of rows (q, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Hashes()
+        for batch in batches:
+            found = [made.counted(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())], names=["q", "words", "times"])
 
-def shards(documents: DataFrame, queries, id_col: str, text_col: str) -> DataFrame:
-    """Packed shards of SHARD_DOCS documents at most: ids, lengths, and each document's vocabulary terms with counts.
+    return asked.select("q", "text").mapInArrow(run, "q bigint, words binary, times binary")
 
-    A shard's df is the number of its documents with each term that it has.
-    """
+
+def query_block(rows: pa.Table) -> Queries:
+    words = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("words")]
+    times = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("times")]
+    known, terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
+    return Queries(np.asarray(rows.column("q"), np.int64), known, np.cumsum([0, *map(len, words)]), terms.astype(np.int32), np.concatenate([np.zeros(0), *times]).astype(np.float64))
+
+
+def shards(documents: DataFrame, id_col: str, text_col: str, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """Packed shards of shard_docs documents at most: ids, lengths, numbers of distinct terms, the shard's sorted term hashes,
+    and for every posting, document by document, its term's place among them and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(queries.value.words)}
+        made = Hashes()
         held: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
-            one, n = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-            cols = (np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int32), np.array([len(h[2]) for h in held], np.int32), one.astype(np.int32), np.minimum(n, 65_535).astype(np.uint16))
-            return pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([sum(h[1] for h in held)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["n", "length", "ids", "lengths", "sizes", "terms", "counts"])
+            words, terms = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+            count = np.concatenate([h[2] for h in held])
+            lengths = [int(h[2].sum()) for h in held]
+            cols = (np.array([h[0] for h in held], np.int64), np.array(lengths, np.int64), np.array([len(h[1]) for h in held], np.int32), words, terms.astype(np.int32), count.astype(np.uint32))
+            return pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([sum(lengths)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["n", "length", *BLOBS])
 
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(NO_ID))
             for i, x in zip(ids.tolist(), batch.column(1), strict=True):
-                words = terms_of(x.as_py())
-                code = np.array([c for c in map(number.get, words) if c is not None], np.int64)
-                one, n = np.unique(code, return_counts=True)
-                held.append((i, len(words), one, n))
-                if len(held) == SHARD_DOCS:
+                held.append((i, *made.counted(x.as_py())))
+                if len(held) == shard_docs:
                     yield packed()
                     held = []
         if held:
             yield packed()
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "n bigint, length bigint, ids binary, lengths binary, sizes binary, terms binary, counts binary")
+    return rows.mapInArrow(run, f"n bigint, length bigint, {', '.join(f'{b} binary' for b in BLOBS)}")
 
 
-def frequencies(packed: DataFrame, n_terms: int) -> np.ndarray:
-    """Document frequency of each vocabulary term, added up on the executors in ranges of terms."""
-    width = 1 << 16
+BLOBS = ("ids", "lengths", "sizes", "words", "terms", "counts")
+KINDS = (np.int64, np.int64, np.int32, np.uint64, np.int32, np.uint32)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms, np.int64)
+
+def frequencies(packed: DataFrame) -> DataFrame:
+    """(h, df): in how many documents each term stands, added up over the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), np.int32), minlength=n_terms)
-        at = range(0, n_terms, width)
-        yield pa.RecordBatch.from_arrays([pa.array([a // width for a in at], pa.int32()), pa.array([total[a : a + width].tobytes() for a in at], pa.binary())], names=["r", "df"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("df"))
-        return pa.table({"r": table.column("r").slice(0, 1), "df": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(n_terms, np.int64)
-    for row in packed.select("terms").mapInArrow(part, "r int, df binary").groupBy("r").applyInArrow(add, "r int, df binary").toLocalIterator():
-        got = np.frombuffer(row["df"], np.int64)
-        out[row["r"] * width : row["r"] * width + len(got)] = got
+            for words, terms in zip(*batch.columns, strict=True):
+                h = np.frombuffer(words.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.bincount(np.frombuffer(terms.as_py(), np.int32), minlength=len(h)))], names=["h", "df"])
+
+    return packed.select("words", "terms").mapInArrow(run, "h bigint, df bigint").groupBy("h").agg(F.sum("df").alias("df"))
+
+
+def known_frequencies(df: DataFrame, block: Queries) -> np.ndarray:
+    """Document frequency of each of the block's terms: at most as many rows as it has terms come to the driver."""
+    spark = df.sparkSession
+    wanted = spark.createDataFrame(pa.table({"h": block.words.view(np.int64)}))
+    found = df.join(F.broadcast(wanted), "h").select("h", "df").toArrow()
+    out = np.zeros(len(block.words))
+    out[np.searchsorted(block.words, np.asarray(found.column("h"), np.int64).view(np.uint64))] = np.asarray(found.column("df"))
     return out
 
 
 class Index:
-    """One shard inverted: lists of (document, impact) by term, and block maxima of the longest ones."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float):
-        order = np.argsort(ids, kind="stable")  # equal scores go to the lower id
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        doc = np.repeat(rank, sizes)
-        self.ids, self.n = ids[order], len(ids)
+    """One shard inverted for a block's terms: lists of (document, impact) by term, and block maxima of the longest ones.
+
+    blocks_read and blocks count, over all queries, the blocks of documents that were read in closed lists, and all blocks.
+    """
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, words: np.ndarray, terms: np.ndarray, counts: np.ndarray, known: np.ndarray, idf: np.ndarray, mean: float):
+        at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+        term = np.where(known[at] == words, at, -1)[terms] if len(known) else np.full(len(terms), -1)
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        some = term >= 0
+        term, doc, tf = term[some], doc[some], counts[some].astype(np.float64)
+        self.n = len(ids)
+        often = np.argsort(-np.bincount(term, minlength=1), kind="stable")[:SIGNATURE]
+        has = np.zeros((self.n, SIGNATURE), bool)
+        for bit, t in enumerate(often.tolist()):
+            has[doc[term == t], bit] = True
+        kind = has @ (1 << np.arange(SIGNATURE)[::-1])
+        order = np.lexsort((ids, lengths, kind))  # documents with the same common words and of like length share blocks: tighter maxima
+        rank = np.empty(self.n, np.int64)
+        rank[order] = np.arange(self.n)
+        doc, self.ids = rank[doc], ids[order]
         norm = K1 * (1 - B + B * lengths[order] / max(mean, 1e-9))
-        tf = counts.astype(np.float64)
-        impact = idf[terms] * tf * (K1 + 1) / (tf + norm[doc])
-        by = np.lexsort((doc, terms))
+        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        by = np.lexsort((doc, term))
         self.doc, self.impact = doc[by].astype(np.int32), impact[by]
-        self.starts = np.searchsorted(terms[by], np.arange(len(idf) + 1))
+        self.starts = np.searchsorted(term[by], np.arange(len(idf) + 1))
         length = np.diff(self.starts)
         longest = np.argsort(-length, kind="stable")[:LONG_LISTS]
         longest = longest[length[longest] >= BLOCK_DOCS]
@@ -144,27 +186,29 @@ class Index:
         for k, t in enumerate(longest.tolist()):
             s = slice(self.starts[t], self.starts[t + 1])
             self.long[self.doc[s], k] = self.impact[s]
-        self.maxima = np.maximum.reduceat(self.long, np.arange(0, self.n, BLOCK_DOCS), axis=0) if len(longest) else np.zeros((math.ceil(self.n / BLOCK_DOCS), 0))
+        n_blocks = math.ceil(self.n / BLOCK_DOCS)
+        self.maxima = np.maximum.reduceat(self.long, np.arange(0, self.n, BLOCK_DOCS), axis=0) if len(longest) else np.zeros((n_blocks, 0))
         self.block = np.arange(self.n) // BLOCK_DOCS
+        self.blocks_read, self.blocks, self.n_blocks = 0, 0, n_blocks
 
-    def closed(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """For some queries at once: what the long lists add to each document, and at most to each block of documents."""
+    def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For some queries at once: what the closed lists add at most to a document of each block."""
         weight = np.zeros((len(queries), self.long.shape[1]))
         for w, (terms, times) in zip(weight, queries, strict=True):
             slot = self.slot[terms]
             w[slot[slot >= 0]] = times[slot >= 0]
-        return weight @ self.long.T, weight @ self.maxima.T
+        return weight @ self.maxima.T
 
-    def top(self, terms: np.ndarray, times: np.ndarray, rest: np.ndarray, most: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, places) of the shard's documents that score above 0 and at least `least`: k of them, or all.
+    def top(self, terms: np.ndarray, times: np.ndarray, most: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, places) of the k best documents of the shard that score above 0 and at least `least`.
 
-        rest and most are the query's rows of closed().
+        most is the query's row of bounds().
         """
-        some = self.slot[terms] < 0
-        opened, n = terms[some], times[some]
-        first, size = self.starts[opened], self.starts[opened + 1] - self.starts[opened]
-        some = size > 0
-        first, size, n = first[some], size[some], n[some]
+        slot = self.slot[terms]
+        slots, weight = slot[slot >= 0], times[slot >= 0]
+        first, size = self.starts[terms[slot < 0]], self.starts[terms[slot < 0] + 1] - self.starts[terms[slot < 0]]
+        n = times[slot < 0][size > 0]
+        first, size = first[size > 0], size[size > 0]
         if len(size):
             ends = np.cumsum(size)
             at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
@@ -172,78 +216,111 @@ class Index:
         else:
             score = np.zeros(self.n)
         bound = score + most[self.block]
-        if self.n > 2 * k:  # complete the likeliest first: their k-th score prunes the rest
-            likely = np.argpartition(bound, -2 * k)[-2 * k :]
-            full = score[likely] + rest[likely]
-            least = max(least, np.partition(full, -k)[-k])
-        alive = np.flatnonzero((bound >= least * (1 - 1e-9)) & (bound > 0))
-        full = score[alive] + rest[alive]
-        keep = (full >= least * (1 - 1e-9)) & (full > 0)
-        alive, full = alive[keep], full[keep]
-        best = np.lexsort((alive, -full))[:k]
-        return full[best], alive[best]
-
-
-def search(documents: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text") -> DataFrame:
+        self.blocks += self.n_blocks
+        found, full = np.zeros(0, np.int64), np.zeros(0)
+        left = np.flatnonzero((bound >= least * (1 - 1e-9)) & (bound > 0))
+        step = 2 * k
+        read = np.zeros(self.n_blocks, bool)
+        while len(left):  # the likeliest first: their k-th score prunes the rest
+            if len(left) > step:
+                part = np.argpartition(bound[left], -step)[-step:]
+                now, left = left[part], np.delete(left, part)
+            else:
+                now, left = left, left[:0]
+            read[self.block[now]] = True
+            done = np.round(score[now] + (self.long[now[:, None], slots] * weight).sum(axis=1), DECIMALS)
+            found, full = np.append(found, now), np.append(full, done)
+            if len(full) >= k:
+                least = max(least, np.partition(full, -k)[-k])
+                left = left[bound[left] >= least * (1 - 1e-9)]
+                keep = full >= least
+                found, full = found[keep], full[keep]
+            step *= 4
+        self.blocks_read += int(read.sum())
+        found, full = found[full > 0], full[full > 0]
+        best = np.lexsort((self.ids[found], -full))[:k]  # equal scores go to the lower id
+        return full[best], found[best]
+
+
+def search(documents: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query, fewer if fewer share a term with it.
 
-    Equal scores go by doc_id, null first. Query rows with a null id, null and blank texts, and texts without a known term have
-    no result; repeated queries are answered once (by their least text), repeated documents count as several. Texts are used
-    whole. A term's count is taken up to 65535.
+    Ids are integers; other types are refused. Equal scores (to DECIMALS places) go by doc_id, null first. Query rows with a null
+    id, null and blank texts, and texts without a known term have no result; repeated queries are answered once (by their
+    least text), repeated documents count as several. Texts are used whole; an empty table gives an empty result; other columns
+    don't matter, whatever their names.
     """
     spark = documents.sparkSession
+    for frame, name in ((documents, id_col), (queries, query_id)):
+        if not isinstance(kind := frame.select(F.col(name).alias("id")).schema["id"].dataType, T.IntegralType):
+            raise TypeError(f"{name} has to be an integer, not {kind.simpleString()}")
     asked = queries.where(F.col(query_id).isNotNull()).groupBy(F.col(query_id).cast("long").alias("q")).agg(F.min(query_text).alias("text"))
-    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, math.ceil(asked.count() / QUERY_BLOCK))))), "queries")
+    asked = cut(packed_queries(asked), "queries")
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    packed = cut(shards(documents, id_col, text_col, shard_docs), "shards")
+    n, length, most = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    df = cut(frequencies(packed), "frequencies")
     out = None
-    for (block,) in asked.select("block").distinct().orderBy("block").collect():
-        rows = asked.where(F.col("block") == block).orderBy("q").toArrow()  # about QUERY_BLOCK of them
-        found = _search_block(spark, documents, query_block(list(zip(rows.column("q").to_pylist(), rows.column("text").to_pylist(), strict=True))), k, id_col, text_col)
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).orderBy("q").toArrow()  # about QUERY_BLOCK of them
+        found = _search_block(spark, packed, query_block(rows), df, n, length / max(n, 1), k, max(1, math.ceil(math.sqrt(most))))
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double") if out is None else out
+    return out
 
 
-def _search_block(spark: SparkSession, documents: DataFrame, block: Queries, k: int, id_col: str, text_col: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(block)
-    packed = cut(shards(documents, shared, id_col, text_col), "shards")
-    n, length = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    df = frequencies(packed, len(block.words))
-    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), length / max(n, 1)
-    statistics = spark.sparkContext.broadcast((idf, mean))
+def _search_block(spark: SparkSession, packed: DataFrame, block: Queries, df: DataFrame, n: int, mean: float, k: int, fan: int) -> DataFrame:
+    found = known_frequencies(df, block)
+    shared = spark.sparkContext.broadcast((block, np.log(1 + (n - found + 0.5) / (found + 0.5))))
+    none = (np.zeros(0), np.zeros(0, np.int64))
+
+    def row(pack: int, part: int, best: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        cols = (np.array([len(b[0]) for b in best], np.int32), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best]))
+        return [pa.array([pack], pa.int32()), pa.array([part], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)]
+
+    names = ["pack", "part", "sizes", "scores", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, (idf, mean) = shared.value, statistics.value
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q.ids)
+        q, idf = shared.value
+        best = [none] * len(q.ids)
         for batch in batches:
-            for row in range(batch.num_rows):
-                blob = [batch.column(c)[row].as_py() for c in range(5)]
-                index = Index(*(np.frombuffer(b, t) for b, t in zip(blob, (np.int64, np.int32, np.int32, np.int32, np.uint16), strict=True)), idf, mean)
+            for r in range(batch.num_rows):
+                index = Index(*(np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in enumerate(KINDS)), q.words, idf, mean)
                 for at in range(0, len(q.ids), TOGETHER):
                     several = [(q.terms[a:b], q.times[a:b]) for a, b in zip(q.starts[at : at + TOGETHER], q.starts[at + 1 : at + 1 + TOGETHER], strict=False)]
-                    rest, most = index.closed(several)
+                    most = index.bounds(several)
                     for i, (terms, times) in enumerate(several, at):
                         had, ids = best[i]
-                        score, place = index.top(terms, times, rest[i - at], most[i - at], k, had[-1] if len(had) == k else 0.0)
+                        score, place = index.top(terms, times, most[i - at], k, had[-1] if len(had) == k else 0.0)
                         if len(score):
                             best[i] = _best(np.concatenate([had, score]), np.concatenate([ids, index.ids[place]]), k)
+        part = TaskContext.get().partitionId() % fan
         for at in range(0, len(q.ids), PACK):
-            part = best[at : at + PACK]
-            cols = (np.array([len(b[0]) for b in part], np.int32), np.concatenate([b[0] for b in part]), np.concatenate([b[1] for b in part]))
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["pack", "sizes", "scores", "ids"])
+            yield pa.RecordBatch.from_arrays(row(at // PACK, part, best[at : at + PACK]), names=names)
 
-    def merge(table: pa.Table) -> pa.Table:
-        at = table.column("pack")[0].as_py()
-        ids = shared.value.ids[at : at + PACK]
+    def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, score, document) of the k best of each query of a pack, and the pack's number of queries."""
         parts = [tuple(np.frombuffer(table.column(c)[r].as_py(), t) for c, t in (("sizes", np.int32), ("scores", np.float64), ("ids", np.int64))) for r in range(table.num_rows)]
-        which = np.concatenate([np.repeat(np.arange(len(ids)), p[0]) for p in parts])
+        which = np.concatenate([np.repeat(np.arange(len(p[0])), p[0]) for p in parts])
         score, doc = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         order = np.lexsort((doc, -score, which))
         which, score, doc = which[order], score[order], doc[order]
+        keep = np.arange(len(which)) - np.searchsorted(which, which) < k
+        return which[keep], score[keep], doc[keep], len(parts[0][0])
+
+    def merge(table: pa.Table) -> pa.Table:
+        which, score, doc, size = merged(table)
+        ends = np.searchsorted(which, np.arange(size + 1))
+        return pa.Table.from_arrays(row(table.column("pack")[0].as_py(), 0, [(score[a:b], doc[a:b]) for a, b in zip(ends, ends[1:], strict=False)]), names=names)
+
+    def finish(table: pa.Table) -> pa.Table:
+        which, score, doc, _ = merged(table)
+        ids = shared.value[0].ids[table.column("pack")[0].as_py() * PACK :]
         rank = np.arange(len(which)) - np.searchsorted(which, which) + 1
-        keep = rank <= k
-        return pa.table({"query_id": ids[which[keep]], "rank": rank[keep].astype(np.int32), "doc_id": pa.array(doc[keep], mask=doc[keep] == NO_ID), "score": score[keep]})
+        return pa.table({"query_id": ids[which], "rank": rank.astype(np.int32), "doc_id": pa.array(doc, mask=doc == NO_ID), "score": score})
 
-    kept = packed.select("ids", "lengths", "sizes", "terms", "counts").mapInArrow(run, "pack int, sizes binary, scores binary, ids binary")
-    return kept.groupBy("pack").applyInArrow(merge, "query_id bigint, rank int, doc_id bigint, score double")
+    schema = "pack int, part int, sizes binary, scores binary, ids binary"
+    kept = packed.select(*BLOBS).mapInArrow(run, schema)
+    return kept.groupBy("pack", "part").applyInArrow(merge, schema).groupBy("pack").applyInArrow(finish, "query_id bigint, rank int, doc_id bigint, score double")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

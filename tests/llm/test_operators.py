@@ -386,24 +386,58 @@ def test_alike_sets_are_spanned():
 # 8 search
 
 
-def test_search_against_brute_force(spark):
-    rng = random.Random(6)
-    rows = [(i, " ".join(f"q{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(1, "q1 q2"), (None, "q1 q1"), (None, None)]
-    df = docs(spark, rows)
-    asked = spark.createDataFrame([(0, "q1 q2 q3"), (1, "nothing known"), (2, None), (3, rows[5][1]), (None, "q1")], "query_id bigint, text string")
+def best_by_force(rows, text, k):
+    """[(doc_id, score)] by scoring every document."""
     bags = [Counter(bmw_search.terms_of(t)) for _, t in rows]
     mean = sum(sum(b.values()) for b in bags) / len(bags)
     df_of = Counter(w for b in bags for w in b)
-    got = bmw_search.search(df, asked, 7).collect()
-    for q, text in [(0, "q1 q2 q3"), (3, rows[5][1])]:
-        scored = []
-        for (i, _), b in zip(rows, bags, strict=True):
-            s = sum(n * math.log(1 + (len(rows) - df_of[w] + 0.5) / (df_of[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w, n in Counter(bmw_search.terms_of(text)).items() if w in b)
-            scored.append(s)
-        want = sorted((s for s in scored if s > 0), reverse=True)[:7]
-        assert np.allclose([r["score"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])], want)
-    assert {r["query_id"] for r in got} == {0, 3}
-    assert bmw_search.search(df.limit(0), asked).count() == 0 and bmw_search.search(df, asked.limit(0)).count() == 0
+    scored = []
+    for (i, _), b in zip(rows, bags, strict=True):
+        s = sum(n * math.log(1 + (len(rows) - df_of[w] + 0.5) / (df_of[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w, n in Counter(bmw_search.terms_of(text)).items() if w in b)
+        scored.append((-round(s, 6), -1 if i is None else i))
+    return [(None if i < 0 else i, -s) for s, i in sorted(scored) if s < 0][:k]
+
+
+def test_search_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"q{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    rows += [(400 + i, rows[7][1]) for i in range(12)] + [(1, "q1 q2"), (None, "q1 q1"), (None, None), (500, "q1 " * 70_000), (501, "q3 q3")]
+    df = docs(spark, rows).withColumn("query_id", F.lit("x")).withColumn("score", F.lit(1))
+    asked = [(0, "q1 q2 q3"), (1, "nothing known"), (2, None), (3, rows[5][1]), (4, rows[7][1]), (5, "q1"), (6, "zz " + rows[9][1]), (None, "q1")]
+    for shard in (8192, 50):
+        got = bmw_search.search(df, spark.createDataFrame(asked, "query_id bigint, text string"), 7, shard_docs=shard).collect()
+        for q in (0, 3, 4, 5, 6):
+            found = [(r["doc_id"], round(r["score"], 6)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+            want = best_by_force(rows, dict(asked)[q], 7)
+            assert [i for i, _ in found] == [i for i, _ in want] and np.allclose([s for _, s in found], [s for _, s in want])
+        assert {r["query_id"] for r in got} == {0, 3, 4, 5, 6}
+    some = spark.createDataFrame([(0, "q1")], "query_id bigint, text string")
+    assert bmw_search.search(df.limit(0), some).count() == 0 and bmw_search.search(df, some.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        bmw_search.search(df.withColumn("doc_id", F.lit("a")), some)
+
+
+def test_search_skips_blocks():
+    rng = np.random.default_rng(2)
+    made, docs_ = bmw_search.Hashes(), []
+    for d in range(2000):
+        words = [f"w{int(x)}-{d % 4}" for x in rng.zipf(1.3, 60) if x < 5000]  # four languages
+        docs_.append(made.counted(" ".join(words)))
+    words, terms = np.unique(np.concatenate([h for h, _ in docs_]), return_inverse=True)
+    counts, sizes = np.concatenate([n for _, n in docs_]), np.array([len(h) for h, _ in docs_])
+    lengths = np.array([n.sum() for _, n in docs_])
+    df = np.bincount(terms, minlength=len(words))
+    idf = np.log(1 + (2000 - df + 0.5) / (df + 0.5))
+    index = bmw_search.Index(np.arange(2000), lengths, sizes, words, terms, counts, words, idf, lengths.mean())
+    whole = np.zeros((2000, len(words)))
+    whole[np.repeat(np.arange(2000), sizes), terms] = idf[terms] * counts * 2.2 / (counts + np.repeat(1.2 * (0.25 + 0.75 * lengths / lengths.mean()), sizes))
+    for i in range(0, 2000, 50):
+        query = (np.searchsorted(words, docs_[i][0]), docs_[i][1].astype(float))
+        score, place = index.top(*query, index.bounds([query])[0], 10, 0.0)
+        exact = np.round(whole[:, query[0]] @ query[1], 9)
+        best = np.lexsort((np.arange(2000), -exact))[:10]
+        assert np.allclose(score, exact[best]) and (place == best).all()
+    assert 0 < index.blocks_read < 0.5 * index.blocks
 
 
 # 9 quality
