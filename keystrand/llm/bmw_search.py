@@ -30,9 +30,9 @@ K1, B = 1.2, 0.75
 #: Queries in a block, documents in a shard, documents in a block of the index.
 QUERY_BLOCK = 8_192
 SHARD_DOCS = 8_192
-BLOCK_DOCS = 8
+BLOCK_DOCS = 4
 #: Longest lists of a shard that stay closed behind block maxima.
-LONG_LISTS = 128
+LONG_LISTS = 192
 #: Commonest terms by which a shard's documents are put in order.
 SIGNATURE = 16
 #: Queries whose results are one row, and queries whose bounds are made at once.
@@ -53,7 +53,7 @@ class Hashes(dict):
     """Hashes of terms, computed when first asked for; emptied when there are too many."""
 
     def __missing__(self, term: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[term] = h = xxh64_intdigest(term, 17)
         return h
@@ -61,7 +61,8 @@ class Hashes(dict):
     def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, counts) of a text's distinct terms."""
         words = terms_of(text)
-        return np.unique(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), return_counts=True)
+        one, n = np.unique(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), return_counts=True)
+        return one, n.astype(np.uint32)
 
 
 @dataclass
@@ -83,7 +84,7 @@ def packed_queries(asked: DataFrame) -> DataFrame:
         made = Hashes()
         for batch in batches:
             found = [made.counted(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())], names=["q", "words", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["q", "words", "times"])
 
     return asked.select("q", "text").mapInArrow(run, "q bigint, words binary, times binary")
 
@@ -107,7 +108,7 @@ def shards(documents: DataFrame, id_col: str, text_col: str, shard_docs: int = S
             words, terms = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
             count = np.concatenate([h[2] for h in held])
             lengths = [int(h[2].sum()) for h in held]
-            cols = (np.array([h[0] for h in held], np.int64), np.array(lengths, np.int64), np.array([len(h[1]) for h in held], np.int32), words, terms.astype(np.int32), count.astype(np.uint32))
+            cols = (np.array([h[0] for h in held], np.int64), np.array(lengths, np.int64), np.array([len(h[1]) for h in held], np.int32), words, terms.astype(np.int32), count)
             return pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([sum(lengths)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["n", "length", *BLOBS])
 
         for batch in batches:
@@ -158,8 +159,8 @@ class Index:
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, words: np.ndarray, terms: np.ndarray, counts: np.ndarray, known: np.ndarray, idf: np.ndarray, mean: float):
         at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-        term = np.where(known[at] == words, at, -1)[terms] if len(known) else np.full(len(terms), -1)
-        doc = np.repeat(np.arange(len(ids)), sizes)
+        term = np.where(known[at] == words, at, -1).astype(np.int32)[terms] if len(known) else np.full(len(terms), -1, np.int32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         some = term >= 0
         term, doc, tf = term[some], doc[some], counts[some].astype(np.float64)
         self.n = len(ids)
@@ -169,13 +170,13 @@ class Index:
             has[doc[term == t], bit] = True
         kind = has @ (1 << np.arange(SIGNATURE)[::-1])
         order = np.lexsort((ids, lengths, kind))  # documents with the same common words and of like length share blocks: tighter maxima
-        rank = np.empty(self.n, np.int64)
-        rank[order] = np.arange(self.n)
+        rank = np.empty(self.n, np.int32)
+        rank[order] = np.arange(self.n, dtype=np.int32)
         doc, self.ids = rank[doc], ids[order]
         norm = K1 * (1 - B + B * lengths[order] / max(mean, 1e-9))
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         by = np.lexsort((doc, term))
-        self.doc, self.impact = doc[by].astype(np.int32), impact[by]
+        self.doc, self.impact = doc[by].astype(np.int64), impact[by]
         self.starts = np.searchsorted(term[by], np.arange(len(idf) + 1))
         length = np.diff(self.starts)
         longest = np.argsort(-length, kind="stable")[:LONG_LISTS]
@@ -191,51 +192,53 @@ class Index:
         self.block = np.arange(self.n) // BLOCK_DOCS
         self.blocks_read, self.blocks, self.n_blocks = 0, 0, n_blocks
 
-    def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For some queries at once: what the closed lists add at most to a document of each block."""
+    def bounds(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """For some queries at once: their weights of the closed lists, and what these add at most to a document of each block."""
         weight = np.zeros((len(queries), self.long.shape[1]))
         for w, (terms, times) in zip(weight, queries, strict=True):
             slot = self.slot[terms]
             w[slot[slot >= 0]] = times[slot >= 0]
-        return weight @ self.maxima.T
+        return weight, weight @ self.maxima.T
 
-    def top(self, terms: np.ndarray, times: np.ndarray, most: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, terms: np.ndarray, times: np.ndarray, weight: np.ndarray, most: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(scores, places) of the k best documents of the shard that score above 0 and at least `least`.
 
-        most is the query's row of bounds().
+        weight and most are the query's rows of bounds().
         """
-        slot = self.slot[terms]
-        slots, weight = slot[slot >= 0], times[slot >= 0]
-        first, size = self.starts[terms[slot < 0]], self.starts[terms[slot < 0] + 1] - self.starts[terms[slot < 0]]
-        n = times[slot < 0][size > 0]
-        first, size = first[size > 0], size[size > 0]
+        some = self.slot[terms] < 0
+        opened, n = terms[some], times[some]
+        first, size = self.starts[opened], self.starts[opened + 1] - self.starts[opened]
+        some = size > 0
+        first, size, n = first[some], size[some], n[some]
         if len(size):
             ends = np.cumsum(size)
             at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
             score = np.bincount(self.doc[at], self.impact[at] * np.repeat(n, size), self.n)
         else:
             score = np.zeros(self.n)
-        bound = score + most[self.block]
+        bound = score + np.repeat(most, BLOCK_DOCS)[: self.n]
         self.blocks += self.n_blocks
-        found, full = np.zeros(0, np.int64), np.zeros(0)
-        left = np.flatnonzero((bound >= least * (1 - 1e-9)) & (bound > 0))
-        step = 2 * k
         read = np.zeros(self.n_blocks, bool)
-        while len(left):  # the likeliest first: their k-th score prunes the rest
-            if len(left) > step:
-                part = np.argpartition(bound[left], -step)[-step:]
-                now, left = left[part], np.delete(left, part)
-            else:
-                now, left = left, left[:0]
+        step = 2 * k
+        now = np.argpartition(bound, -step)[-step:] if self.n > step else np.arange(self.n)
+        found, full, left = np.zeros(0, np.int64), np.zeros(0), None
+        while len(now):  # the likeliest first: their k-th score prunes the rest
             read[self.block[now]] = True
-            done = np.round(score[now] + (self.long[now[:, None], slots] * weight).sum(axis=1), DECIMALS)
+            done = np.round(score[now] + self.long[now] @ weight, DECIMALS)
             found, full = np.append(found, now), np.append(full, done)
             if len(full) >= k:
                 least = max(least, np.partition(full, -k)[-k])
-                left = left[bound[left] >= least * (1 - 1e-9)]
                 keep = full >= least
                 found, full = found[keep], full[keep]
+            if left is None:
+                alive = (bound >= least * (1 - 1e-9)) & (bound > 0)
+                alive[now] = False
+                left = np.flatnonzero(alive)
+            else:
+                left = left[bound[left] >= least * (1 - 1e-9)]
             step *= 4
+            order = np.argsort(-bound[left])
+            now, left = left[order[:step]], left[order[step:]]
         self.blocks_read += int(read.sum())
         found, full = found[full > 0], full[full > 0]
         best = np.lexsort((self.ids[found], -full))[:k]  # equal scores go to the lower id
@@ -287,10 +290,10 @@ def _search_block(spark: SparkSession, packed: DataFrame, block: Queries, df: Da
                 index = Index(*(np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in enumerate(KINDS)), q.words, idf, mean)
                 for at in range(0, len(q.ids), TOGETHER):
                     several = [(q.terms[a:b], q.times[a:b]) for a, b in zip(q.starts[at : at + TOGETHER], q.starts[at + 1 : at + 1 + TOGETHER], strict=False)]
-                    most = index.bounds(several)
+                    weight, most = index.bounds(several)
                     for i, (terms, times) in enumerate(several, at):
                         had, ids = best[i]
-                        score, place = index.top(terms, times, most[i - at], k, had[-1] if len(had) == k else 0.0)
+                        score, place = index.top(terms, times, weight[i - at], most[i - at], k, had[-1] if len(had) == k else 0.0)
                         if len(score):
                             best[i] = _best(np.concatenate([had, score]), np.concatenate([ids, index.ids[place]]), k)
         part = TaskContext.get().partitionId() % fan
