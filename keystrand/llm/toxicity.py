@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read the tokens of a clause: insult, threat, target, negation and reported speech. The lexical ones map a
-token to a class with a weight; composed, they run as one automaton whose state says whether a negation or a reporting verb
-governs the clause and whether a target was seen. An insult or threat arc emits its weight, raised by a target near it and
-lowered by negation or reporting. The clauses' masses add up to the document's.
-
-The insult transducer's arcs are learned: words and word stems (every prefix) whose document frequency among labelled toxic
-texts exceeds that among clean ones by log-odds. The other transducers hold small closed word lists.
+A lexical transducer maps tokens to classes: negation, report, target, threat, insult, the clause's end, and others. Over
+classes run small transducers with explicit states and arcs: one for each of insult, threat, target, negation and reported speech. An
+arc's weight says what the transducer makes of a token of that class in its state; weights of 0 block, weights of 1 pass. The
+transducers that read forwards are composed into one, so is the one for targets that come later, which reads backwards. Both
+together (a bimachine) give every insult and threat its weight; a clause's weights add up to its mass, the clauses' masses
+to the document's. Every clause ends in the start state.
+
+The insult arcs are learned: words and word stems (every prefix) whose document frequency among labelled toxic
+texts exceeds that among clean ones by log-odds. The other classes hold small closed word lists. What negation and report
+leave of a weight starts from a given value and moves with the labelled texts that have such clauses.
 """
 
 from __future__ import annotations
@@ -37,86 +40,157 @@ CHANCE, MOST_SUPPORT = 0.3, 12
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:\n]+")
+#: Words, and the characters that end a clause.
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
 
 NEGATION = frozenset("not no never isn't aren't wasn't don't doesn't nicht kein keine nie pas jamais aucun ne ningún ninguna nunca jamás".split())
 REPORTED = frozenset("said says told wrote called quoted claims sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split())
 TARGET = frozenset("you your you're he she they him her them du dich dir ihr euch sie ihn tu te toi vous ton votre tú ti usted ustedes vosotros tus".split())
 THREAT = frozenset("kill hurt destroy beat shoot stab burn murder töten umbringen schlagen tuer frapper matar golpear".split())
-#: What the composed automaton makes of an emitted weight.
-NEGATED, SPOKEN, TARGETED, THREAT_WEIGHT = 0.5, 0.7, 1.25, 0.5
+#: What is left of an insult's or threat's weight in a negated or reported clause before any label is seen, and how many
+#: labelled texts that is worth.
+NEGATED, SPOKEN, BELIEF = 0.5, 0.7, 10.0
+#: What a target near an insult makes of its weight, and the weight of a threat word with a target near it.
+TARGETED, THREAT_WEIGHT = 1.25, 0.5
 #: Tokens over which a target, negation or report governs.
 REACH = 5
+#: Classes of tokens. Those from EMITTING on have a weight of their own; insults are INSULT plus their number in the lexicon.
+OTHER, END, NEGATES, REPORTS, TARGETS, THREATENS, INSULT = range(7)
+EMITTING = THREATENS
+CLASSES = INSULT + 1
+
+
+@dataclass
+class Transducer:
+    """Arcs of a deterministic weighted transducer over token classes: to[state][class] and weight[state][class]; it starts in
+    state 0."""
+
+    to: list[list[int]]
+    weight: list[list[float]]
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both at once: states are pairs that can be reached, weights multiply."""
+        number, found = {(0, 0): 0}, [(0, 0)]
+        to: list[list[int]] = []
+        weight: list[list[float]] = []
+        for a, b in found:  # grows while it is read
+            to.append([])
+            weight.append([])
+            for c in range(CLASSES):
+                pair = (self.to[a][c], other.to[b][c])
+                if pair not in number:
+                    number[pair] = len(found)
+                    found.append(pair)
+                to[-1].append(number[pair])
+                weight[-1].append(self.weight[a][c] * other.weight[b][c])
+        return Transducer(to, weight)
+
+
+def governed(by: int, weights: dict[int, float], otherwise: dict[int, float] | None = None) -> Transducer:
+    """States 0 to REACH: tokens for which the last token of class `by` still governs. While it does, classes weigh `weights`, else
+    `otherwise`, and those not named 1."""
+    to = [[REACH if c == by else 0 if c == END else max(0, k - 1) for c in range(CLASSES)] for k in range(REACH + 1)]
+    weight = [[(weights if k else otherwise or {}).get(c, 1.0) for c in range(CLASSES)] for k in range(REACH + 1)]
+    return Transducer(to, weight)
+
+
+def emitter(by: int, weight: float) -> Transducer:
+    """One state: gives class `by` its weight and passes the others."""
+    return Transducer([[0] * CLASSES], [[weight if c == by else 1.0 for c in range(CLASSES)]])
+
+
+class Lexicon(dict):
+    """The lexical transducer: class of each token, insults by their word or longest stem; remembers tokens, up to a bound."""
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self.weights = [*words.values(), *stems.values()]
+        self.words = {w: INSULT + i for i, w in enumerate(words)}
+        self.stems = {x: INSULT + len(words) + i for i, x in enumerate(stems)}
+        self.closed = dict.fromkeys(".!?;:\n", END) | dict.fromkeys(NEGATION, NEGATES) | dict.fromkeys(REPORTED, REPORTS) | dict.fromkeys(TARGET, TARGETS) | dict.fromkeys(THREAT, THREATENS)
+
+    def __missing__(self, token: str) -> int:
+        found = self.words.get(token) or self.closed.get(token)
+        if found is None:
+            stems = (self.stems.get(token[:k]) for k in range(min(len(token) - 1, STEM[1]), STEM[0] - 1, -1))
+            found = next((x for x in stems if x is not None), OTHER)
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = found
+        return found
 
 
 @dataclass
 class Grammar:
-    """The learned arcs (word or stem -> weight) and the calibration of a document's mass to a score."""
+    """The learned arcs (word or stem -> weight), what negation and report leave of a weight, and the calibration of a
+    document's mass to a score."""
 
     words: dict[str, float]
     stems: dict[str, float]
     slope: float = 1.0
     offset: float = 0.0
     floor: float = 0.01
+    negated: float = NEGATED
+    spoken: float = SPOKEN
+
+    def __post_init__(self) -> None:
+        damped = lambda x: {THREATENS: x, INSULT: x}
+        insult, threat = emitter(INSULT, 1.0), emitter(THREATENS, THREAT_WEIGHT)  # an insult's weight comes with its arc
+        target = governed(TARGETS, {INSULT: TARGETED, THREATENS: TARGETED}, {THREATENS: 0.0})
+        negation, report = governed(NEGATES, damped(self.negated)), governed(REPORTS, damped(self.spoken))
+        self.lexicon = Lexicon(self.words, self.stems)
+        self.forwards = insult.compose(threat).compose(negation).compose(report)
+        self.target = target  # once forwards, once backwards: the nearer one counts
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("lexicon", "forwards", "target")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def codes(self, text: str | None) -> list[int]:
+        return list(map(self.lexicon.__getitem__, TOKEN.findall((text or "").lower())))
+
+    def run(self, codes: list[int]) -> float:
+        """The bimachine over a text's codes: the sum of all weights of insults and threats."""
+        kinds = [min(c, INSULT) for c in codes]
+        later: list[float] = []
+        state, to, weight = 0, self.target.to, self.target.weight
+        for c in reversed(kinds):
+            later.append(weight[state][c])
+            state = to[state][c]
+        total, state, at = 0.0, 0, 0
+        for c, code, after in zip(kinds, codes, reversed(later), strict=True):
+            if c >= EMITTING:
+                near = max(after, weight[at][c])
+                total += near * self.forwards.weight[state][c] * (self.lexicon.weights[code - INSULT] if c == INSULT else 1.0)
+            state, at = self.forwards.to[state][c], to[at][c]
+        return total
 
-    def arc(self, token: str) -> float:
-        """Weight of the insult transducer's arc for a token: its own, or that of its longest stem."""
-        found = self.words.get(token)
-        if found is None:
-            found = 0.0
-            for k in range(min(len(token) - 1, STEM[1]), STEM[0] - 1, -1):
-                if token[:k] in self.stems:
-                    found = self.stems[token[:k]]
-                    break
-            if len(self.words) < 2_000_000:
-                self.words[token] = found  # the same word always takes the same arc
-        return found
+    def mass(self, text: str | None) -> float:
+        codes = self.codes(text)
+        return self.run(codes) if codes and max(codes) >= EMITTING else 0.0
 
     def clauses(self, text: str | None) -> Iterator[tuple[str, float]]:
         """Matched clauses with their masses."""
         for clause in CLAUSE.split((text or "").lower()):
-            tokens = WORD.findall(clause)
-            if any(map(self.arc, tokens)) or not THREAT.isdisjoint(tokens):
-                mass = self.run(tokens)
-                if mass > 0:
-                    yield clause.strip(), mass
-
-    def run(self, tokens: list[str]) -> float:
-        """The composed automaton over one clause."""
-        total, negated, spoken, targeted = 0.0, -1, -1, -1
-        pending = 0.0
-        threats: list[tuple[int, float]] = []  # last place for a target, mass once it comes
-        for i, token in enumerate(tokens):
-            if token in NEGATION:
-                negated = i + REACH
-            elif token in REPORTED:
-                spoken = i + REACH
-            elif token in TARGET:
-                targeted = i + REACH
-                total += pending * (TARGETED - 1)  # a target after the insult
-                pending = 0.0
-                total += sum(mass for until, mass in threats if i <= until)
-                threats.clear()
-            weight = self.arc(token)
-            if token in THREAT and weight < THREAT_WEIGHT:
-                if i <= targeted:
-                    weight = THREAT_WEIGHT
-                else:
-                    damped = (NEGATED if i <= negated else 1.0) * (SPOKEN if i <= spoken else 1.0)
-                    threats.append((i + REACH, (THREAT_WEIGHT - weight) * damped * TARGETED))
-            if weight > 0:
-                if i <= negated:
-                    weight *= NEGATED
-                if i <= spoken:
-                    weight *= SPOKEN
-                if i <= targeted:
-                    weight *= TARGETED
-                else:
-                    pending = weight
-                total += weight
-        return total
-
-    def mass(self, text: str | None) -> float:
-        return sum(m for _, m in self.clauses(text))
+            if (mass := self.mass(clause)) > 0:
+                yield clause.strip(), mass
+
+    def governing(self, text: str | None) -> tuple[bool, bool]:
+        """Whether all insults and threats of a text are negated, and whether all are reported; both false if it has none."""
+        codes = self.codes(text)
+        if not codes or max(codes) < EMITTING:
+            return False, False
+        out = []
+        for by in (NEGATES, REPORTS):
+            state, arcs, all_ = 0, governed(by, {}).to, True
+            for code in codes:
+                c = min(code, INSULT)
+                all_ &= c < EMITTING or state > 0
+                state = arcs[state][c]
+            out.append(all_)
+        return out[0], out[1]
 
     def score(self, text: str | None) -> float:
         m = self.mass(text)
@@ -191,10 +265,26 @@ def fit(labelled: DataFrame, max_rows: int = MAX_FIT_ROWS, max_lexicon: int = MA
     n_of = {r["arc"]: r["toxic"] for r in kept}
     covered = {arc.rstrip(" ")[:-1] for arc, n in n_of.items() if n >= 0.9 * n_of.get(arc.rstrip(" ")[:-1], math.inf)}
     grammar = Grammar(words, {s: w for s, w in stems.items() if s not in covered})
-    return _calibrated(grammar, labelled, n1, n0)
+    return _calibrated(_damped(grammar, labelled), labelled)
+
+
+def _damped(grammar: Grammar, labelled: DataFrame) -> Grammar:
+    """The grammar with what negation and report leave of a weight: the share of toxic texts among those whose matches are
+    all governed, with BELIEF texts of the given value."""
+    shared = labelled.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.governing(x) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.bool_()), batch.column(1).cast(pa.int64())], names=["n", "r", "toxic"])
+
+    rows = labelled.select("text", "toxic").mapInArrow(run, "n boolean, r boolean, toxic bigint").where("n OR r")
+    some = lambda c: [F.coalesce(F.sum(F.when(F.col(c), x)), F.lit(0)) for x in (F.col("toxic"), F.lit(1))]
+    t_n, all_n, t_r, all_r = rows.agg(*some("n"), *some("r")).first()
+    return Grammar(grammar.words, grammar.stems, negated=(t_n + BELIEF * NEGATED) / (all_n + BELIEF), spoken=(t_r + BELIEF * SPOKEN) / (all_r + BELIEF))
 
 
-def _calibrated(grammar: Grammar, labelled: DataFrame, n1: int, n0: int) -> Grammar:
+def _calibrated(grammar: Grammar, labelled: DataFrame) -> Grammar:
     """Logistic calibration on the masses of the fitted rows, binned where they were measured."""
     spark = labelled.sparkSession
     shared = spark.sparkContext.broadcast(grammar)

@@ -121,21 +121,71 @@ def test_toxicity_threats_before_their_target():
     assert math.isclose(grammar.mass("him I will shoot, soon"), one) and math.isclose(grammar.mass('"kill" and (hurt) them'), 2 * one)
     assert 0 < grammar.mass("never kill him") < one and 0 < grammar.mass("he said kill them") < 2 * one
     assert grammar.mass("kill the weeds") == grammar.mass("kill one two three four five you") == 0
+    assert grammar.mass("kill. You") == grammar.mass("you; kill") == 0 and math.isclose(grammar.mass("you will kill, now"), one)
+
+
+def mass_by_force(grammar, text):
+    """Every insult and threat against every other token of its clause."""
+    total = 0.0
+    for clause in toxicity.CLAUSE.split(text.lower()):
+        tokens = toxicity.WORD.findall(clause)
+        for i, w in enumerate(tokens):
+            stem = next((w[:k] for k in range(min(len(w) - 1, 8), 2, -1) if w[:k] in grammar.stems), None)
+            insult = grammar.words.get(w, grammar.stems.get(stem))
+            if insult is None and w not in toxicity.THREAT:
+                continue
+            near = any(t in toxicity.TARGET and 0 < abs(i - j) <= toxicity.REACH and t not in grammar.words for j, t in enumerate(tokens))
+            weight = (toxicity.TARGETED if near else 1.0) * insult if insult is not None else toxicity.TARGETED * toxicity.THREAT_WEIGHT * near
+            for words, left in ((toxicity.NEGATION, grammar.negated), (toxicity.REPORTED, grammar.spoken)):
+                if any(t in words for t in tokens[max(0, i - toxicity.REACH) : i]):
+                    weight *= left
+            total += weight
+    return total
+
+
+def test_toxicity_against_brute_force():
+    rng = random.Random(14)
+    grammar = toxicity.Grammar({"dolt": 2.0, "oaf": 3.5}, {"grum": 1.5, "grumbo": 2.5}, negated=0.4, spoken=0.6)
+    words = ["dolt", "oaf", "grumpy", "grumbola", "grum", "kill", "hurt", "you", "ihn", "not", "nie", "said", "dit", "and", "the", "x1", "l'eau", ".", "\n", ",", "?!"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        assert math.isclose(grammar.mass(text), mass_by_force(grammar, text), abs_tol=1e-9), text
+        assert math.isclose(sum(m for _, m in grammar.clauses(text)), grammar.mass(text), abs_tol=1e-9)
+
+
+def test_transducers_compose():
+    a, b = toxicity.governed(toxicity.NEGATES, {toxicity.INSULT: 0.5}), toxicity.governed(toxicity.REPORTS, {toxicity.INSULT: 0.25})
+    both = a.compose(b)
+    rng = random.Random(15)
+    for _ in range(50):
+        x = y = z = 0
+        for c in [rng.randrange(toxicity.CLASSES) for _ in range(30)]:
+            assert both.weight[z][c] == a.weight[x][c] * b.weight[y][c]
+            x, y, z = a.to[x][c], b.to[y][c], both.to[z][c]
+
+
+def test_toxicity_learns_what_negation_leaves(spark):
+    rows = [("you dolt", 1)] * 60 + [("not a dolt", 0)] * 3 + [("all is well here", 0)] * 300
+    grammar = toxicity.fit(spark.createDataFrame([(f"{t} n{i}", y) for i, (t, y) in enumerate(rows)], "text string, toxic int"))
+    assert grammar.words.get("dolt") and grammar.negated < toxicity.NEGATED and grammar.spoken == toxicity.SPOKEN
 
 
 def test_toxicity_odd_rows(spark):
-    grammar = toxicity.fit(labelled(spark, 0))
-    out = toxicity.score(docs(spark, ODD).withColumn("score", F.lit("x")), grammar)
-    rows = out.collect()
-    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
-    assert toxicity.score(docs(spark, []), grammar).count() == 0
+    for grammar in (toxicity.fit(labelled(spark, 0)), toxicity.fit(labelled(spark))):
+        rows = [*ODD, (90, "you dolt " * 20_000), (91, "you dolt"), (91, "you dolt")]
+        out = toxicity.score(docs(spark, rows).withColumn("score", F.lit("x")).withColumn("clauses", F.lit("y")), grammar, with_clauses=True).collect()
+        assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+        assert len({r["score"] for r in out if r["doc_id"] == 91}) == 1
+        assert toxicity.score(docs(spark, []), grammar).count() == 0
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op3_toxicity", "toxic", 0.85), ("op9_quality", "quality", 0.95)])
-def test_held_out_accuracy(spark, name, label, least):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(("name", "label", "positive"), [("op3_toxicity", "toxic", 1), ("op9_quality", "quality", 0)])
+def test_held_out_recall_and_precision(spark, name, label, positive):
+    sf = "/root/testdata/sf0.1"
     got = entry.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert sum(r["predicted"] == r[label] for r in got) / len(got) >= least
+    caught = sum(r["predicted"] == r[label] == positive for r in got)
+    assert caught >= 0.9 * sum(r[label] == positive for r in got)
+    assert caught >= 0.9 * sum(r["predicted"] == positive for r in got)
 
 
 # 4 language model
