@@ -2,7 +2,8 @@
 
 A page becomes a list of text blocks. Each block pays one of two costs: to be content or to be boilerplate, from its
 classifier (nearest sectioning ancestors, class and id words, link density, length). These are the capacities to the two
-terminals. Smoothness edges join neighbours in page order and blocks under the same container, weaker with DOM distance.
+terminals. Smoothness edges join neighbours in page order and blocks under the same container, weaker with DOM distance; they
+outweigh the classifier where it is unsure, so a linked line among paragraphs stays and a lone sentence among links goes.
 The minimum cut of that graph, found by maximum flow, is the labelling of least total cost.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements whose text is never shown or never prose.
-SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas select option button textarea input label head title".split())
+SKIPPED = frozenset("script style noscript template svg iframe object embed canvas select option button textarea input head title".split())
 #: Elements that end a block.
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -48,8 +49,16 @@ BAD_NAMES = re.compile(
     r"pagination|pager|toolbar|search|legal|copyright|disclaimer|tags?|outbrain|taboola|rail|teaser|alert|skip|complementary|contentinfo)(?![a-z])"
 )
 GOOD_NAMES = re.compile(r"(?<![a-z])(article|content|post|entry|story|main|body|text|prose)(?![a-z])")
-#: Ancestor distance that still counts as close.
+#: A whole class or id that names the content's wrapper: further names of the element say nothing against it.
+WRAPPER = re.compile(r"(article|content|post|entry|story|main|page)(-(article|content|post|body|text|inner|wrap|wrapper|main))*")
+#: Classes on layout or state, of an element that may hold anything.
+MODIFIER = re.compile(r"(with|without|has|have|no|is|js|type|tag|category|format)-.*")
+#: On <article> and <main> only these names count against.
+COMMENT_ITEM = re.compile(r"(?<![a-z])(comments?|commentlist|reply|replies|disqus)(?![a-z])")
+#: Ancestor distance that still counts as close; weight of an edge between neighbours in page order, divided by one more than their
+#: distance, and between blocks of one container.
 PROXIMITY = 6
+NEIGHBOURS, TOGETHER = 6.0, 0.6
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
@@ -72,11 +81,11 @@ class Block:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Blocks in page order. A path entry is (number, element, cost against content, cost against boilerplate)."""
+    """Blocks in page order. A path entry is (number, element, cost against content, cost against boilerplate, hidden)."""
     out: list[Block] = []
     stack: list[tuple] = []
     parts: list[str] = []
-    linked = links = count = 0
+    linked = links = count = muted = 0
     at, end = 0, len(page or "")
 
     def flush() -> None:
@@ -89,12 +98,13 @@ def blocks_of(page: str | None) -> list[Block]:
         linked = 0
 
     def close_to(depth: int) -> None:
-        nonlocal links
+        nonlocal links, muted
         for s in stack[depth:]:
             if s[1] == "a":
                 links -= 1
             elif s[1] in BLOCKS:
                 flush()
+            muted -= s[4]
         del stack[depth:]
 
     while at < end:
@@ -103,7 +113,7 @@ def blocks_of(page: str | None) -> list[Block]:
         name = m[2]
         if name is None:
             piece = m[0]
-            if piece[0] != "<" or piece == "<":
+            if not muted and (piece[0] != "<" or piece == "<"):
                 parts.append(piece)
                 if links:
                     linked += len(piece.strip())
@@ -115,14 +125,13 @@ def blocks_of(page: str | None) -> list[Block]:
                     close_to(depth)
                     break
             continue
-        if name in SKIPPED or (m[3] and HIDDEN.search(m[3])):
-            if name in RAW_END:
-                close = RAW_END[name].search(page, at)
-                at = close.end() if close else end
-                continue
-            if name not in VOID and name != "head":
-                at = _skip(page, at, name)
+        if name in RAW_END:
+            close = RAW_END[name].search(page, at)
+            at = close.end() if close else end
+            continue
+        if name == "head" or (name in SKIPPED and name in VOID):
             continue
+        mute = name in SKIPPED or bool(m[3] and HIDDEN.search(m[3]))  # until its end, or that of an element around it
         if name in BLOCKS:
             flush()
             if name in CLOSES_P or name in ENDS:
@@ -134,41 +143,40 @@ def blocks_of(page: str | None) -> list[Block]:
                     if stack[depth][1] in BLOCKS:
                         break
         if name in VOID:
-            if name == "br":
+            if name == "br" and not muted:
                 parts.append(" ")
             continue
         against, favour = AGAINST.get(name, 0.0), IN_FAVOUR.get(name, 0.0)
         if m[3] and name not in ("html", "body"):
-            names = " ".join(a or b or c for a, b, c in NAMED.findall(m[3])).lower().replace("_", " ")
-            if names:
-                if COMMENT_NAMES.search(names):
-                    against += COMMENT
-                elif BAD_NAMES.search(names):
-                    against += BAD_NAME_COST
-                elif GOOD_NAMES.search(names):
-                    favour += 1.5
+            more = named_costs(name, " ".join(a or b or c for a, b, c in NAMED.findall(m[3])).lower().replace("_", "-"))
+            against, favour = against + more[0], favour + more[1]
         links += name == "a"
-        stack.append((count, name, against, favour))
+        stack.append((count, name, against, favour, mute))
+        muted += mute
         count += 1
     flush()
     return out
 
 
-def _skip(page: str, at: int, name: str) -> int:
-    """Behind the end tag that belongs to an element opened just before `at`."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(page)
+def named_costs(element: str, names: str) -> tuple[float, float]:
+    """(cost against content, cost against boilerplate) by an element's class, id and role names."""
+    if element in IN_FAVOUR:
+        return (COMMENT, 0.0) if COMMENT_ITEM.search(names) else (0.0, 0.0)
+    if COMMENT_NAMES.search(names):
+        return COMMENT, 0.0
+    each = [x for x in names.split() if not MODIFIER.fullmatch(x)]
+    if any(map(WRAPPER.fullmatch, each)):
+        return 0.0, 1.5
+    if any(map(BAD_NAMES.search, each)):
+        return BAD_NAME_COST, 0.0
+    return 0.0, 1.5 * any(map(GOOD_NAMES.search, each))
 
 
 def costs(block: Block, in_article: bool) -> tuple[float, float]:
     """(cost of calling it content, cost of calling it boilerplate). in_article: the page has an article or main element."""
     against = favour = 0.0
     inside = False
-    for _, name, a, f in block.path:
+    for _, name, a, f, _ in block.path:
         favour += f if name not in IN_FAVOUR or (not inside and against < COMMENT) else 0.0
         if name in IN_FAVOUR and not inside and against < COMMENT:
             inside = True
@@ -299,11 +307,11 @@ def label(blocks: list[Block]) -> list[bool]:
                 shared += 1
             apart = len(one) + len(other) - 2 * shared
             if apart <= PROXIMITY:
-                edges.append((i - 1, i, 0.8 / (1 + apart)))
+                edges.append((i - 1, i, NEIGHBOURS / (1 + apart)))
         for s in b.path[-2:]:  # the nearest containers
             if s[1] not in ("html", "body"):
                 if s[0] in last_in and last_in[s[0]] != i - 1:
-                    edges.append((last_in[s[0]], i, 0.3))
+                    edges.append((last_in[s[0]], i, TOGETHER))
                 last_in[s[0]] = i
     return cut_reduced([p[0] for p in priced], [p[1] for p in priced], edges)
 

@@ -45,6 +45,38 @@ def test_html_main_text():
     assert html_mincut.main_text(page) == "Title First & second. Third bold."
 
 
+PARAGRAPH = "This is a long paragraph of an article, with many words in it. "
+WRAPPERS = [
+    "<article class='post type-post tag-news'>", "<article class='review'>", "<main class='has-sidebar'>", "<div id='main' class='with-sidebar'>",
+    "<div class='post-content social-share'>", "<article class='legal-news'>", "<section class='entry_content'>", "<div>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_wrappers_keep_their_text(wrapper):
+    page = f"<html><body><nav><a href=x>Home</a></nav>{wrapper}{f'<p>{PARAGRAPH * 4}</p>' * 3}</{wrapper[1:].split()[0].rstrip('>')}><footer>me</footer>"
+    assert html_mincut.main_text(page) == " ".join([(PARAGRAPH * 4).strip()] * 3)
+
+
+def test_html_cut_decides_unsure_blocks():
+    """A linked line among paragraphs stays, a lone sentence among links goes; their own costs say otherwise."""
+    link = "<p><a href='/x'>A linked line about all of it</a></p>"
+    items = "".join(f"<li><a href='/{i}'>Some other page here {i}</a></li>" for i in range(3))
+    page = f"<body><p>{PARAGRAPH * 4}</p>{link}<p>{PARAGRAPH * 4}</p><ul>{items}<li>Read on.</li>{items}</ul></body>"
+    blocks = html_mincut.blocks_of(page)
+    alone = [b.text for b in blocks if html_mincut.costs(b, False)[1] > html_mincut.costs(b, False)[0]]
+    kept = html_mincut.main_text(page)
+    assert "A linked line" not in " ".join(alone) and "Read on." in alone
+    assert "A linked line about all of it" in kept and "Read on." not in kept and "Some other" not in kept
+
+
+def test_html_hidden_and_inline():
+    assert html_mincut.main_text("<body><section><div hidden>secret<p>more</section><p>Shown text here, <label>a label</label> and <math>x</math>.</p>") == "Shown text here, a label and x."
+    assert html_mincut.main_text("<body><article><p>One two three.</p><svg><title>t</title></svg><button>Go<p>Four five.</p></article>") == "One two three."
+    long = html_mincut.main_text("<article>" + f"<p>{PARAGRAPH}</p>" * 5000 + "</article>")
+    assert len(long) == 5000 * len(PARAGRAPH) - 1
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p class='x", "<div><", "&am", "<!-- open", "<script>never closed", "</p></div>", "<p>" * 3000])
 def test_html_odd_pages(page):
     html_mincut.main_text(page)
