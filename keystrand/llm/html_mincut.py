@@ -34,10 +34,14 @@ CLOSES_P = frozenset(
 #: An element and what its start tag ends.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Cost of calling a block content, by an ancestor's element.
-AGAINST = {"nav": 12.0, "menu": 12.0, "footer": 12.0, "aside": 12.0, "form": 12.0, "fieldset": 10.0, "dialog": 12.0, "address": 1.0}
+AGAINST = {"nav": 20.0, "menu": 20.0, "footer": 20.0, "aside": 20.0, "form": 20.0, "fieldset": 20.0, "dialog": 20.0, "address": 1.0}
 #: The same for <header>, by whether it stands inside an article.
-HEADER_INSIDE, HEADER_OUTSIDE = 0.5, 6.0
-BAD_NAME_COST = 12.0
+HEADER_INSIDE, HEADER_OUTSIDE = 0.5, 12.0
+BAD_NAME_COST = 20.0
+#: Of a block outside the article where there is one.
+OUTSIDE = 8.0
+#: Characters that are worth 1 to a block, and what they are worth at most.
+WORTH, MOST = 50.0, 5.0
 #: Of reader comments; more than any other, as an <article> inside them is none.
 COMMENT = 40.0
 #: Cost of calling a block boilerplate, by an ancestor's element.
@@ -186,10 +190,11 @@ def costs(block: Block, in_article: bool) -> tuple[float, float]:
         against += a
     n = len(block.text)
     density = min(1.0, block.linked / n) if n else 0.0
-    against += 4.0 * density
+    length = min(MOST, n / WORTH)
+    against += density * (4.0 + length)
     if in_article and not inside:
-        against += 3.0
-    favour += 1.0 + min(2.0, n / 200.0)
+        against += OUTSIDE
+    favour += 1.0 + length
     if not inside and n < 25 and block.text[-1:] not in ".!?:…»\"”":
         against += 1.0
     return against, favour
