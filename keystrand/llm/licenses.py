@@ -88,8 +88,12 @@ def all_templates() -> list[tuple[str, str, bool]]:
 
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 THRESHOLD = 0.75
-#: Words of ordinary prose: they become anchors only where a template can't do without.
-COMMON = frozenset("a all and by code free general in into is of program public software source subject terms the this to under use work".split())
+#: Words of ordinary prose, the commonest and others: they become anchors only where a template can't do without.
+COMMONEST = frozenset("a an and are as at be but by do for from in is it not of on or that the this to was with you".split())
+COMMON = frozenset(
+    "a above all an and any are as at be both but by can code copies copy either every fee following for form free from general if in into is it its later law may must name no not of on or "
+    "other out own person program public rights shall software source subject such terms than that the their these this to under use version was will with without work works you your".split()
+)
 #: Keys up to which a table of notices or directories is broadcast.
 MAX_BROADCAST_KEYS = 200_000
 
@@ -113,7 +117,7 @@ def anchors(parts: list[tuple[int, str, float]], threshold: float) -> list[str]:
     found: set[str] = set()
     for name in {p[0] for p in parts}:
         light = 0.0
-        for _, w, token in sorted((t not in COMMON, w, t) for n, t, w in parts if n == name):
+        for _, w, token in sorted((0 if t in COMMONEST else 1 if t in COMMON else 2, w, t) for n, t, w in parts if n == name):
             light += w * w
             if light >= threshold * threshold:
                 found.add(token)
@@ -153,8 +157,10 @@ def notices(files: DataFrame, templates: list[tuple[str, str, bool]] | None = No
     text = F.col("text")
     lines, blocks = F.split(text, "\n"), F.split(F.regexp_replace(text, r"\n[ \t\r]*(?=\n)", "\n"), "\n\n+")
     shown = F.filter(lines, lambda x: F.length(F.regexp_replace(x, r"[ \t\r]", "")) > 0)
-    paragraphs = F.when(F.size(blocks) > 1, F.filter(blocks, lambda x: F.instr(x, "\n") > 0)).otherwise(F.array().cast("array<string>"))
-    units = files.where(_anchored(text, words)).select(*text_key(text), F.posexplode(F.concat(F.array(text, F.array_join(F.slice(shown, 1, 2), "\n")), shown, paragraphs)).alias("unit", "body"))
+    none = F.array().cast("array<string>")
+    head = F.when(F.size(shown) > 2, F.array_join(F.slice(shown, 1, 2), "\n")).otherwise("")  # what is the whole text isn't looked at again
+    paragraphs = F.when(F.size(blocks) > 1, F.filter(blocks, lambda x: F.instr(x, "\n") > 0)).otherwise(none)
+    units = files.where(_anchored(text, words)).select(*text_key(text), F.posexplode(F.concat(F.array(text, head), F.when(F.size(shown) > 1, shown).otherwise(none), paragraphs)).alias("unit", "body"))
     units = units.where((F.col("unit") == 0) | _anchored(F.col("body"), words))
     tokens = units.select(*KEY, "unit", F.explode(F.regexp_extract_all(ascii_lower(F.col("body")), F.lit(TOKEN), F.lit(0))).alias("token"))
     vector = tokens.groupBy(*KEY, "unit", "token").agg(F.count("*").alias("tf")).join(idf_table, "token", "left").select(*KEY, "unit", "token", (F.col("tf") * F.coalesce("idf", F.lit(other))).alias("x"))
@@ -219,7 +225,7 @@ part(template, license, title, token, weight) AS (VALUES {part_rows}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {path} AS path, regexp_extract({path}, '^(.*)/[^/]*$', 1) AS dir FROM documents),
 split AS (SELECT rid, text, list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[ \t\r]', '', 'g')) > 0) AS shown,
   string_split_regex(regexp_replace(text, '\n([ \t\r]*\n)+', chr(10) || chr(10), 'g'), '\n\n+') AS blocks FROM d),
-bodies AS (SELECT rid, list_concat([text, array_to_string(shown[1:2], chr(10))], shown, CASE WHEN len(blocks) > 1 THEN list_filter(blocks, lambda x: contains(x, chr(10))) ELSE [] END) AS b FROM split),
+bodies AS (SELECT rid, list_concat([text, CASE WHEN len(shown) > 2 THEN array_to_string(shown[1:2], chr(10)) ELSE '' END], CASE WHEN len(shown) > 1 THEN shown ELSE [] END, CASE WHEN len(blocks) > 1 THEN list_filter(blocks, lambda x: contains(x, chr(10))) ELSE [] END) AS b FROM split),
 unit AS (SELECT rid, unnest(range(0, len(b))) AS unit, unnest(b) AS body FROM bodies),
 tok AS (SELECT rid, unit, unnest(regexp_extract_all({lower % 'body'}, '{TOKEN}')) AS token FROM unit),
 vec AS (SELECT rid, unit, token, count(*) * coalesce(any_value(idf), {other!r}::DOUBLE) AS x FROM tok LEFT JOIN idf USING (token) GROUP BY 1, 2, 3),
