@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, ascii_lower
+from .common import NOT_WORD, ascii_lower, cut
 
 WINDOW = 10
 #: Windows (about 150 bytes each) in a broadcast part of the set, about.
@@ -51,24 +51,24 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_
     """All columns of `documents` but the text, plus n_words, hit_positions (0-based, sorted) and items (sorted ids).
 
     Null and empty texts: no words, no hits. Repeated rows are judged one by one. Ties can't arise: every window that
-    occurs counts. Clashing column names are safe as all inner names start with an underscore. `documents` has to be a table scan:
-    rows are numbered in every scan.
+    occurs counts. Own columns replace columns of the same name, other names can't clash. An empty benchmark or table is no
+    special case. Rows are numbered once: where several scans need the number it is written first.
     """
     windows = benchmark_windows(benchmark, window)
     lengths = sorted((r["w_len"], r["n"]) for r in windows.groupBy("w_len").agg(F.count("*").alias("n")).collect())  # at most `window` rows
-    keep = [c for c in documents.columns if c != text_col]
-    base = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_pad")).alias("_row"),
-        words(F.col(text_col)).alias("_w"),
-        F.monotonically_increasing_id().alias("_rid"),
-    )
+    keep = [c for c in documents.columns if c not in (text_col, "n_words", "hit_positions", "items")]
+    rounds = math.ceil(sum(n for _, n in lengths) / max_broadcast_windows)
+    base = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_pad")).alias("_row"), F.col(f"`{text_col}`").alias("_text"), F.monotonically_increasing_id().alias("_rid"))
+    if rounds > 1:
+        base = cut(base, "decontaminate-rows")
+    base = base.select("_row", words(F.col("_text")).alias("_w"), "_rid")
     if not lengths:
-        return base.select("_row.*", F.size("_w").cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_positions"), F.array().cast("array<bigint>").alias("items")).drop("_pad")
+        none = F.array().cast(windows.schema["w_items"].dataType)
+        return base.select("_row.*", F.size("_w").cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_positions"), none.alias("items")).drop("_pad")
     keyed = windows.select(
         "w_words", "w_items", "w_len",
         reduce(lambda a, n: F.when(F.col("w_len") == n, F.xxhash64(*[F.get("w_words", F.lit(k)) for k in range(n)])).otherwise(a), [n for n, _ in lengths], F.lit(None).cast("long")).alias("_key"),
     )
-    rounds = math.ceil(sum(n for _, n in lengths) / max_broadcast_windows)
     spots = base.select("_row", "_rid", "_w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)))).alias("_pos"))
     probes = [_hash_at("_w", "_pos", n) for n, _ in lengths]
     if len(probes) == 1:

@@ -2,9 +2,9 @@
 
 Every document of a source starts with the same expected number of copies (target / source size). Its fractional part is a
 probability; pairs of documents transfer word mass at random, in expectation without change, until one of the two is
-integral. Chunks of bounded size do this side by side and leave at most one fractional document each; those meet in a
-reduction tree of fixed fan-in until each source has at most one, which is drawn. A hot source has many chunks, so no task
-holds more than CHUNK_ROWS rows.
+integral. Chunks do this side by side and leave at most one fractional document each; those meet in a reduction tree of fixed
+fan-in until each source has at most one, which is drawn. A hot source has many chunks of about CHUNK_ROWS rows. Documents
+without words take no part; other rows that are equal in id and text have equal draws and share a chunk.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import SPACED_WORD, cut
 CHUNK_ROWS = 8192
 FAN_IN = 64
 MAX_COPIES = 3
+#: Sources up to which their targets are broadcast.
+MAX_BROADCAST_SOURCES = 500_000
 WEIGHTS = (1, 2, 3)
 
 
@@ -86,18 +88,18 @@ def settle(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, max_copies: int = MAX_COPIES) -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN, max_copies: int = MAX_COPIES, row_id: str | None = None) -> DataFrame:
     """(_rid, doc_id, source, size, source_size, target, copies) for every row of `documents`.
 
     Null and empty texts have size 0 and no copies. Null ids and repeated rows are rounded like any other; exact repeats are
-    interchangeable, so reruns give the same rows. An empty table gives an empty result. _rid is the row's
-    monotonically_increasing_id in `documents`, which has to be a table scan for the caller to join on it.
+    interchangeable, so reruns give the same rows. An empty table gives an empty result. _rid is `row_id` (a column of
+    numbers of `documents`) if given, else a number of the row's own.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     draw = F.xxhash64(F.col(id_col), text, F.lit(seed))
     sized = cut(
         documents.select(
-            F.monotonically_increasing_id().alias("_rid"),
+            (F.monotonically_increasing_id() if row_id is None else F.col(row_id)).alias("_rid"),
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.regexp_count(text, F.lit(SPACED_WORD)).cast("long").alias("size"),
@@ -110,6 +112,8 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     chunks = F.ceil(F.col("n_docs") / chunk_rows)
     to = targets.withColumnRenamed("source", "_source")
+    if targets.count() <= MAX_BROADCAST_SOURCES:
+        to = F.broadcast(to)  # else a hot source is split by the adaptive skew join
     rows = sized.join(to, F.col("source").eqNullSafe(F.col("_source"))).select(
         "_rid", "doc_id", "source", "size", "source_size", "target",
         F.floor(ratio).cast("int").alias("base"),
@@ -128,8 +132,8 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         u = F.shiftrightunsigned(F.xxhash64("_draw", F.lit(2 * level)), 11) / float(2**53)
         return rows.withColumn("u", u).withColumn("v", F.xxhash64("_draw", F.lit(2 * level + 1)))
 
-    level = cut(drawn(rows, 0).groupBy("source", "chunk").applyInPandas(chunked, schema), "mix-level")
-    done = [level.where("p IS NULL")]
+    level = cut(drawn(rows.where("size > 0"), 0).groupBy("source", "chunk").applyInPandas(chunked, schema), "mix-level")
+    done = [rows.where("size = 0").withColumn("extra", F.lit(0)), level.where("p IS NULL")]
     rest = level.where("p IS NOT NULL")
     n, depth = math.ceil(most / chunk_rows), 0
     while n > 1:
@@ -151,6 +155,14 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 
 def take(documents: DataFrame, **options) -> DataFrame:
-    """The documents the mix takes, each once, with `copies`; documents with no copy go."""
-    copies = mix(documents, **options).where("copies > 0").select("_rid", "copies")
-    return documents.withColumn("_rid", F.monotonically_increasing_id()).join(copies, "_rid").drop("_rid")
+    """The documents the mix takes, each once, with `copies` (which replaces a column of that name); documents with no copy go.
+
+    Rows are numbered once, in a written table that both sides of the join read.
+    """
+    own = [c for c in documents.columns if c != "copies"]
+    numbered = cut(documents.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), *[F.col(f"`{options.get(o, c)}`").alias(c) for o, c in COLUMNS.items()], F.monotonically_increasing_id().alias("_of")), "mix-rows")
+    copies = mix(numbered, row_id="_of", **{k: v for k, v in options.items() if k not in COLUMNS}).where("copies > 0").select("_rid", "copies")
+    return numbered.select("_row", "_of").join(copies, F.col("_of") == F.col("_rid")).select("_row.*", "copies")
+
+
+COLUMNS = {"id_col": "doc_id", "text_col": "text", "source_col": "source"}

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut
+from .common import cut, discard
 
 RADIUS = 4
 SHINGLE = 4
@@ -273,8 +273,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         offers = near.select(F.explode(F.array(F.struct("node", F.least("grand", "least").alias("root")), F.struct(F.col("parent").alias("node"), F.col("least").alias("root")), F.struct(F.col("parent").alias("node"), F.col("grand").alias("root")))).alias("o")).select("o.*")
         found = cut(offers.groupBy("node").agg(F.min("root").alias("root")), "parents")
         changed = found.join(parent.withColumnRenamed("root", "_before"), "node").where(F.col("root") != F.col("_before")).limit(1).count()
+        discard(grand, parent)
         parent = found
         if not changed:
+            discard(both)
             return parent
 
 

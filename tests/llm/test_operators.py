@@ -363,6 +363,22 @@ def test_decontaminate_edges_against_sql(spark):
     assert decontaminate.scan(d.limit(0), b).count() == 0
 
 
+def test_decontaminate_clashing_columns(spark):
+    d = docs(spark, [(1, "alpha beta"), (1, "alpha beta"), (2, "gamma")]).withColumn("n_words", F.lit("x")).withColumn("items", F.lit("y")).withColumn("hit_positions", F.lit(1)).withColumn("_w", F.lit("w"))
+    for b in ([("i", "alpha")], []):
+        out = decontaminate.scan(d, spark.createDataFrame(b, "item_id string, text string"))
+        rows = sorted(out.collect(), key=str)
+        assert out.schema["items"].dataType.simpleString() == "array<string>" and [r["_w"] for r in rows] == ["w"] * 3
+        assert sorted((r["doc_id"], r["n_words"], r["items"]) for r in rows) == [(1, 2, ["i"] if b else [])] * 2 + [(2, 1, [])]
+
+
+def test_decontaminate_parts_agree_after_a_new_split(spark):
+    d = docs(spark, [(i, f"w{i % 40} alpha{i % 7} beta") for i in range(200)])
+    b = spark.createDataFrame([(k, f"w{k} alpha{k % 7} beta") for k in range(40)], "item_id bigint, text string")
+    one = sorted(map(str, decontaminate.digest(decontaminate.scan(d, b)).collect()))
+    assert one == sorted(map(str, decontaminate.digest(decontaminate.scan(d.repartition(9), b, max_broadcast_windows=7)).collect()))
+
+
 # 6 urls
 
 
@@ -606,6 +622,18 @@ def test_mix_targets_and_rounding(spark):
     assert pivotal_mix.mix(df.limit(0)).count() == 0
 
 
+def test_mix_takes_the_rows_it_rounded(spark):
+    rng = random.Random(16)
+    rows = [(i if i % 9 else None, "w " * rng.randint(0, 9), "en", rng.choice("abc"), i) for i in range(600)] + [(7, "same text", "en", "a", 7)] * 50 + [(8, "long " * 30_000, "en", "b", 8)]
+    df = spark.createDataFrame(rows, DOC).withColumn("copies", F.lit("x")).withColumn("_rid", F.lit(5))
+    taken = pivotal_mix.take(df).collect()
+    assert all(1 <= r["copies"] <= 3 and r["_rid"] == 5 and (r["text"] or "").strip() for r in taken)
+    want = sorted((str(r["doc_id"]), r["source"], r["copies"]) for r in pivotal_mix.mix(df).where("copies > 0").collect())
+    assert want == sorted((str(r["doc_id"]), r["source"], r["copies"]) for r in taken)
+    assert want == sorted((str(r["doc_id"]), r["source"], r["copies"]) for r in pivotal_mix.take(df.repartition(11)).collect())
+    assert pivotal_mix.take(df.limit(0)).count() == 0
+
+
 def test_pivotal_rounding_keeps_expectations():
     import pandas as pd
 
