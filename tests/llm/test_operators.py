@@ -651,18 +651,85 @@ def test_pivotal_rounding_keeps_expectations():
 
 
 def test_pipeline_stages(spark):
+    """Every stage against a version that looks at one text, or all of them, in the driver."""
     docs_now = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs_now.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r["doc_id"]: r["text"] for r in docs_now.collect()}
         after = stage(spark, docs_now, SF)
-        kept = {r["doc_id"] for r in after.collect()}
+        rows = after.collect()
+        kept = {r["doc_id"] for r in rows}
         assert kept <= set(before) and kept, name
         if k < len(corpus_pipeline.STAGES) - 1:
             assert after.columns == columns
-            docs_now = corpus_pipeline.cut(after, "test-stage")
+            next_docs = corpus_pipeline.cut(after, "test-stage")
+        if name == "toxicity":
+            grammar = entry.toxicity_grammar(spark, SF, docs_now)
+            mass = lambda t: mass_by_force(grammar, t or "")
+            rated = {i: grammar.floor if not mass(t) else 1 / (1 + math.exp(-(grammar.slope * math.log1p(mass(t)) + grammar.offset))) for i, t in before.items()}
+            assert kept == {i for i, s in rated.items() if s < entry.PREDICT_AT}
+        if name == "quality classifier":
+            model = entry.quality_model(spark, SF, docs_now)
+            assert kept == {i for i, t in before.items() if vote_by_force(model, t) >= entry.PREDICT_AT}
         if name == "SimHash near-dedup":
             assert kept == jaccard_kept(list(before.items()))
         if name == "benchmark decontamination":
-            bad = decontaminate.digest(decontaminate.scan(spark.createDataFrame(list(before.items()), "doc_id bigint, text string"), spark.read.parquet(f"{SF}/benchmark.parquet")))
-            assert kept == {r["doc_id"] for r in bad.where("NOT contaminated").collect()}
+            grams = set()
+            for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+                w = plain_words(r["text"])
+                grams |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+            sizes = {len(g) for g in grams}
+            clean = lambda w: not any(tuple(w[i : i + n]) in grams for n in sizes for i in range(len(w) - n + 1))
+            assert kept == {i for i, t in before.items() if clean(plain_words(t))}
+        if name == "mixing sources to target weights":
+            sizes, taken = Counter(), Counter()
+            for r in docs_now.collect():
+                sizes[r["source"]] += len((r["text"] or "").split())
+            for r in rows:
+                assert 1 <= r["copies"] <= 3
+                taken[r["source"]] += r["copies"] * len((r["text"] or "").split())
+            longest = max(len((t or "").split()) for t in before.values())
+            assert all(abs(taken[x] - t) <= longest for x, t in water(dict(sizes)).items())
+        docs_now = next_docs
+
+
+def plain_words(text):
+    """Words of a text for decontamination, by character."""
+    out, word = [], ""
+    for c in (text or "") + " ":
+        if c >= "\x80" or c in "0123456789" or "a" <= c <= "z" or "A" <= c <= "Z":
+            word += c.lower() if c < "\x80" else c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def vote_by_force(model, text):
+    """The neighbours' vote for one text, by one cosine at a time."""
+    features = knn_quality.Features().vector(text)
+    if not np.abs(features).sum():
+        return 0.0
+    x = features.astype(np.float64) @ model.basis
+    x /= max(np.linalg.norm(x), 1e-12)
+    near = sorted(((float(v @ x), -k) for k, v in enumerate(model.vectors.astype(np.float64))), reverse=True)[: knn_quality.NEIGHBOURS]
+    weight = [max(c, 0.0) ** knn_quality.SHARPNESS * (1.0 if model.votes[-k] > 0.5 else model.prior / max(1e-6, 1 - model.prior)) for c, k in near]
+    return (sum(w * model.votes[-k] for w, (_, k) in zip(weight, near, strict=True)) + 1e-3 * model.prior) / (sum(weight) + 1e-3)
+
+
+def test_quality_against_brute_force(spark):
+    sf_docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = entry.quality_model(spark, SF, sf_docs)
+    got = {r["doc_id"]: r["score"] for r in entry.QUERIES["op9_quality"](spark, SF).collect()}
+    off = [abs(got[r["doc_id"]] - vote_by_force(model, r["text"])) for r in sf_docs.collect()]
+    assert np.mean(np.array(off) > 1e-3) < 0.02  # equal cosines may be taken in another order
+    assert knn_quality.score(sf_docs.limit(0), model).count() == 0
+
+
+def test_pipeline_odd_documents(spark):
+    odd = docs(spark, [*ODD, (4, "a"), (7, "word " * 50_000)]).withColumn("score", F.lit("x")).withColumn("_row", F.lit("y")).withColumn("items", F.lit(1))
+    for rows in (odd, odd.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, SF)
+            assert out.columns == rows.columns and out.count() <= rows.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() <= rows.count()
