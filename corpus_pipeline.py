@@ -13,24 +13,28 @@ from keystrand.llm import decontaminate, knn_quality, pivotal_mix, simhash_simil
 from keystrand.llm.common import cut, read_table
 from keystrand.llm.entry import PREDICT_AT, quality_model, toxicity_grammar
 
-TEXT = "_text"
+TEXT, ROW = "_text", "_row"
 
 
-def _scored(docs: DataFrame, score, model) -> DataFrame:
-    """docs with _score; the text is handed over twice as the scorers take it away."""
-    return score(docs.withColumn(TEXT, F.col("text")), model, TEXT).withColumnRenamed("score", "_score")
+def _packed(docs: DataFrame) -> DataFrame:
+    """(_row, _text): the documents' columns out of the way of any column of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), F.col("text").alias(TEXT))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select(f"{ROW}.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go."""
     grammar = toxicity_grammar(spark, sf_dir, docs)
-    return _scored(docs, toxicity.score, grammar).where(F.col("_score") < PREDICT_AT).select(*docs.columns)
+    return _unpacked(toxicity.score(_packed(docs), grammar, TEXT).where(F.col("score") < PREDICT_AT))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is under the threshold go."""
     model = quality_model(spark, sf_dir, docs)
-    return _scored(docs, knn_quality.score, model).where(F.col("_score") >= PREDICT_AT).select(*docs.columns)
+    return _unpacked(knn_quality.score(_packed(docs), model, TEXT).where(F.col("score") >= PREDICT_AT))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    scanned = decontaminate.scan(docs.withColumn(TEXT, F.col("text")), read_table(spark, sf_dir, "benchmark"), text_col=TEXT)
-    return scanned.where(F.size("hit_positions") == 0).select(*docs.columns)
+    scanned = decontaminate.scan(_packed(docs), read_table(spark, sf_dir, "benchmark"), text_col=TEXT)
+    return _unpacked(scanned.where(F.size("hit_positions") == 0))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ STAGES = [
     ("mixing sources to target weights", mixed),
 ]
 
-#: SQL has no learned grammar, SimHash or pivotal rounding; tests/llm checks every stage against brute force.
+#: SQL has no learned grammar, SimHash or pivotal rounding; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
