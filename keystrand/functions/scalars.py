@@ -104,4 +104,28 @@ def rfc3339_s(seconds: Column, zulu: bool = True) -> Column:
 
 
 def decayed(value: Column, elapsed_s: Column, half_life_s: float = 120.0) -> Column:
-    return value * F.pow(F.lit(2.0), -elapsed_s / half_life_s)
+    """A whole number decayed by its age, cut to a whole number."""
+    return F.floor(value * F.pow(F.lit(2.0), -elapsed_s / half_life_s))
+
+
+def _both_at(a: Column, b: Column, half_life_s: float) -> tuple[Column, Column, Column]:
+    at = F.greatest(a["at_ms"], b["at_ms"])
+    return at, *(decayed(x["value"], (at - x["at_ms"]) / 1000.0, half_life_s) for x in (a, b))
+
+
+def decayed_sum(a: Column, b: Column, half_life_s: float = 120.0) -> Column:
+    """Sum of two decaying numbers, structs (value, at_ms), measured at the later instant."""
+    at, x, y = _both_at(a, b, half_life_s)
+    return F.struct((x + y).alias("value"), at.alias("at_ms"))
+
+
+def decayed_difference(a: Column, b: Column, half_life_s: float = 120.0) -> Column:
+    """Difference of two decaying numbers at the later instant, at least 0."""
+    at, x, y = _both_at(a, b, half_life_s)
+    return F.struct(F.greatest(x - y, F.lit(0)).alias("value"), at.alias("at_ms"))
+
+
+def decayed_compare(a: Column, b: Column, half_life_s: float = 120.0) -> Column:
+    """-1, 0 or 1: how two decaying numbers compare at the later instant."""
+    _, x, y = _both_at(a, b, half_life_s)
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)

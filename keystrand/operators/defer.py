@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUEUE = ("topic", "part", "key")
@@ -38,38 +38,74 @@ def visible_times(active: DataFrame, deferred: DataFrame) -> DataFrame:
     return active.select(*cols).union(deferred.select(*cols)).distinct()
 
 
-def replay(events: DataFrame, base_s: int = 1, max_s: int = 86_400) -> DataFrame:
-    """One row per step of each key's deferral from events (topic, part, key, ord, off, outcome).
+def bound_s(retry: int, base_s: int = 1, max_s: int = 86_400) -> int:
+    """Longest wait before the next try after `retry` failed ones; none before the first."""
+    return 0 if retry == 0 else max(1, min(base_s * 2 ** min(retry - 1, 62), max_s))
 
-    Handled messages that fail transiently start the key's queue; while it exists, later messages join it and the head is
-    retried by the outcome of each arriving event: success and permanent errors take it off and reset the retry count,
-    transient ones raise it. wait_s is the bound of the next retry's wait.
+
+def busy_for(fails: int, base_s: int = 1, max_s: int = 86_400) -> int:
+    """Seconds from a message becoming the head until its last try, after `fails` transient ones."""
+    return sum(bound_s(r, base_s, max_s) for r in range(1, fails + 1))
+
+
+def step(busy: int | None, at_s: int, outcome: str, fails: int, defers: bool = True, base_s: int = 1, max_s: int = 86_400) -> tuple[str, int | None]:
+    """(action, busy) of a message that arrives while its key's queue lasts until `busy`.
+
+    A key with a queue appends. A head's retry timer is due at once, then after waits that grow with its failures; each
+    message that ends hands over to the next, so a queue lasts until all its messages have ended. Without one, the
+    handler decides: a transient failure starts a queue, unless the decider is against it.
     """
+    if busy is not None and at_s < busy:
+        return "queued", busy + busy_for(fails, base_s, max_s)
+    if outcome != "transient":
+        return "handled", None
+    return ("deferred", at_s + busy_for(fails, base_s, max_s)) if defers else ("failed", None)
 
-    def bound(n: int) -> int:
-        return 0 if n == 0 else max(1, min(base_s * 2 ** (n - 1), max_s))
+
+def replay(events: DataFrame, keys: tuple[str, ...] = QUEUE, base_s: int = 1, max_s: int = 86_400) -> DataFrame:
+    """What becomes of each message: columns of `events` plus action (handled, failed, deferred or queued) and done_s, when its
+    last try ends (null where it never was deferred).
+
+    events: key columns, ord, at_s, outcome (of a call on arrival), fails (transient tries from its queue) and, if there,
+    defers (what the decider says). A lost or refused load is a try like any other. Waits are taken at their bounds. Order
+    matters within a key only, so each is folded by itself; timers are deferred alike, with ord their original time.
+    """
+    rows = events if "defers" in events.columns else events.withColumn("defers", F.lit(True))
+    rows = rows.withColumn("action", F.lit("")).withColumn("done_s", F.lit(None).cast("long"))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        queue: list[int] = []
-        retry = 0
-        out = []
-        for off, outcome in part.sort_values("ord")[["off", "outcome"]].itertuples(index=False):
-            if not queue:
-                if outcome == "transient":
-                    queue, retry, action = [off], 0, "deferred"
-                else:
-                    action = "handled"
-            else:
-                queue.append(off)
-                if outcome == "transient":
-                    retry, action = retry + 1, "retried"
-                else:
-                    queue.pop(0)
-                    retry, action = 0, "advanced" if queue else "drained"
-            out.append((off, action, queue[0] if queue else None, len(queue), retry, bound(retry) if queue else None))
-        rows = pd.DataFrame(out, columns=["off", "action", "head", "waiting", "retry_count", "wait_s"]).astype({"head": "Int64", "wait_s": "Int64"})
-        for c in reversed(QUEUE):
-            rows.insert(0, c, part.iloc[0][c])
-        return rows
-
-    return events.groupBy(*QUEUE).applyInPandas(fold, "topic string, part int, key string, off bigint, action string, head bigint, waiting bigint, retry_count bigint, wait_s bigint")
+        part = part.sort_values("ord")
+        busy, actions, done = None, [], []
+        for at, outcome, fails, defers in part[["at_s", "outcome", "fails", "defers"]].itertuples(index=False):
+            action, busy = step(busy, int(at), outcome, int(fails), bool(defers), base_s, max_s)
+            actions.append(action)
+            done.append(busy)
+        part["action"], part["done_s"] = actions, pd.array(done, dtype="Int64")
+        return part
+
+    return rows.groupBy(*keys).applyInPandas(fold, rows.schema)
+
+
+def waits(retry: Column, base_s: int = 1, max_s: int = 86_400) -> Column:
+    """Sum of the bounds of the waits before the first `retry` tries."""
+    each = lambda r: F.greatest(F.lit(1), F.least(F.pow(F.lit(2.0), r - 1) * base_s, F.lit(max_s))).cast("long")
+    return F.when(retry > 0, F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(retry, F.lit(1))), each), F.lit(0).cast("long"), lambda a, b: a + b)).otherwise(F.lit(0).cast("long"))
+
+
+def retries(replayed: DataFrame, base_s: int = 1, max_s: int = 86_400) -> DataFrame:
+    """One row for each try of a deferred or queued message: attempt (from 0), at_s and whether it failed."""
+    fails = F.col("fails").cast("int")
+    rows = replayed.where(F.col("action").isin("deferred", "queued")).withColumn("attempt", F.explode(F.sequence(F.lit(0), fails)))
+    begun = F.col("done_s") - waits(fails, base_s, max_s)
+    return rows.withColumn("at_s", begun + waits(F.col("attempt"), base_s, max_s)).withColumn("failed", F.col("attempt") < fails)
+
+
+def decided(strategy: str, rate: Column | None = None, threshold: float = 0.9, trace: Column | None = None) -> Column:
+    """Whether a transient failure is deferred: always, never, by a column of given answers (trace), or by the failure rate."""
+    if strategy in ("always", "never"):
+        return F.lit(strategy == "always")
+    if strategy == "trace":
+        return F.coalesce(trace, F.lit(True))
+    if strategy == "rate":
+        return rate < threshold
+    raise ValueError(strategy)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrand.functions.scalars import NAMESPACE_OID, NAMESPACE_URL, slab_end, slab_of, slab_start, uuid5
@@ -63,7 +63,7 @@ def listed_times(timers: DataFrame) -> DataFrame:
 
 
 def apply_command(times: dict[int, str], op: str, time_s: int) -> list[str]:
-    """One command on the times of a (key, type), each scheduled, firing or firing_rescheduled; returns telemetry events."""
+    """One command on the times of a (key, type), each scheduled, firing, firing_rescheduled or stored; returns telemetry events."""
     if op == "schedule":
         state = times.get(time_s)
         if state in ("firing", "firing_rescheduled"):
@@ -75,19 +75,18 @@ def apply_command(times: dict[int, str], op: str, time_s: int) -> list[str]:
         state = times.get(time_s)
         if state == "firing_rescheduled":
             times[time_s] = "firing"
-        if state != "scheduled":
+        if state not in ("scheduled", "stored"):
             return []
         del times[time_s]
         return ["cancelled"]
     if op == "clear":
         return [e for t in sorted(times) for e in apply_command(times, "unschedule", t)]
     if op == "clear_and_schedule":
-        had = times.get(time_s)
-        out = apply_command(times, "schedule", time_s) if had != "scheduled" else []
-        for t in sorted(times):
-            if t != time_s:
-                out += apply_command(times, "unschedule", t)
-        return out
+        others = sorted(t for t in times if t != time_s)
+        for t in others:
+            apply_command(times, "unschedule", t)
+        apply_command(times, "schedule", time_s)
+        return ["cancelled"] * len(others) + ["scheduled"]
     if op == "fire":  # only scheduled timers fire, cancelled ones are gone
         if times.get(time_s) == "scheduled":
             times[time_s] = "firing"
@@ -101,7 +100,11 @@ def apply_command(times: dict[int, str], op: str, time_s: int) -> list[str]:
             if op == "complete":
                 del times[time_s]
             else:
-                times[time_s] = "scheduled"  # the row stays and fires again after a reload
+                times[time_s] = "stored"  # the row stays, but fires again after a reload only
+        return []
+    if op == "reload":
+        if times.get(time_s) == "stored":
+            times[time_s] = "scheduled"
         return []
     raise ValueError(op)
 
@@ -120,3 +123,40 @@ def replay(commands: DataFrame) -> DataFrame:
         return pd.DataFrame([(first["part"], first["key"], first["timer_type"], t, s) for t, s in sorted(times.items())], columns=["part", "key", "timer_type", "time_s", "state"])
 
     return commands.groupBy("part", "key", "timer_type").applyInPandas(fold, "part int, key string, timer_type int, time_s bigint, state string")
+
+
+def scheduled_after(commands: DataFrame) -> DataFrame:
+    """(part, key, timer_type, time_s) left by the commands schedule, unschedule, clear and clear_and_schedule.
+
+    A time stays if it was added after all that removes it: its own unschedule, a clear, or the last clear_and_schedule to
+    another time (one to the same time is an add itself). Two grouped maxima and a join, no fold by key.
+    """
+    key = ["part", "key", "timer_type"]
+    last = lambda *ops: F.max(F.when(F.col("op").isin(*ops), F.col("ord")))
+    times = commands.groupBy(*key, "time_s").agg(last("schedule", "clear_and_schedule").alias("_added"), last("unschedule").alias("_removed")).where("_added IS NOT NULL")
+    cleared = commands.groupBy(*key).agg(last("clear").alias("_cleared"), F.max(F.when(F.col("op") == "clear_and_schedule", F.struct("ord", "time_s"))).alias("_reset"))
+    reset = F.when(F.col("_reset.time_s") != F.col("time_s"), F.col("_reset.ord"))
+    after = F.coalesce(F.greatest("_removed", "_cleared", reset), F.lit(-(1 << 62)))
+    return times.join(cleared, key).where(F.col("_added") > after).select(*key, "time_s")
+
+
+def load_plan(ticks: DataFrame, preload_s: int, size_s: int) -> DataFrame:
+    """(part, now_s, first_slab, last_slab, wait_s): what the loader of a partition loads at each tick, and how long it waits then.
+
+    It loads up to the slab that holds now plus the preload window, from the one after the highest it has loaded (0 at
+    first; first > last: nothing), and waits until the next slab comes into the window.
+    """
+    target = slab_of(F.col("now_s") + preload_s, size_s)
+    highest = F.max("last_slab").over(Window.partitionBy("part").orderBy("now_s").rowsBetween(Window.unboundedPreceding, -1))
+    planned = ticks.withColumn("last_slab", target).withColumn("first_slab", F.coalesce(highest + 1, F.lit(0)))
+    return planned.withColumn("wait_s", F.greatest(F.lit(0), slab_end(F.col("last_slab"), size_s) - F.col("now_s") - preload_s))
+
+
+def preload_s(size_s: int, jitter: float) -> int:
+    """Preload window: a minute, and up to the rest of the slab more by a jitter in [0, 1]."""
+    return 60 + round(max(0, size_s - 60) * jitter)
+
+
+def write_slabs(timers: DataFrame, path: str, size_s: int) -> None:
+    """The timers table partitioned by slab, so that a slab scan reads the slabs' folders alone."""
+    timers.withColumn("slab_id", slab_of(F.col("time_s"), size_s)).repartition("slab_id").write.mode("overwrite").partitionBy("slab_id").parquet(path)

@@ -62,10 +62,14 @@ def class_time(runs: DataFrame, now_ms: int, half_life_s: float = HALF_LIFE_S) -
 
 
 def priorities(tasks: DataFrame, now_ms: int, wait_weight: float = 200.0, max_wait_s: float = 120.0) -> DataFrame:
-    """Adds priority and rank in class: virtual time less a bonus that grows with the square of the wait."""
+    """Adds priority: virtual time less a bonus that grows with the square of the wait."""
     wait = (F.lit(now_ms) - F.col("enqueue_ms")) / 1000.0
     share = F.least(wait / max_wait_s, F.lit(1.0))
-    rated = tasks.withColumn("priority", F.col("vt_ms") / 1000.0 - wait_weight * share * share)
+    return tasks.withColumn("priority", F.col("vt_ms") / 1000.0 - wait_weight * share * share)
+
+
+def ranked(rated: DataFrame) -> DataFrame:
+    """Adds rank: the order in which a class's tasks are picked."""
     return rated.withColumn("rank", F.row_number().over(Window.partitionBy("demand").orderBy("priority", "enqueue_ms", "off")))
 
 
@@ -76,9 +80,11 @@ def next_class(class_times: DataFrame, failure_weight: float = 0.3) -> DataFrame
 
 
 def schedule_pick(ranked: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The first task of the chosen class, or of the other where that has none."""
-    first = ranked.where("rank = 1").join(chosen.select(F.col("demand").alias("_chosen")), how="cross")  # one row each side
-    return first.orderBy((F.col("demand") != F.col("_chosen")).cast("int")).limit(1).drop("_chosen")
+    """The first task of the chosen class, or of the other where that has none: a minimum per class, without a sort."""
+    order = F.struct("priority", "enqueue_ms", "off")
+    columns = F.struct(*[c for c in ranked.columns if c != "rank"])
+    first = ranked.groupBy(F.col("demand").alias("_class")).agg(F.min_by(columns, order).alias("_task")).join(chosen.select(F.col("demand").alias("_chosen")), how="cross")  # a row per class
+    return first.orderBy((F.col("_class") != F.col("_chosen")).cast("int")).limit(1).select("_task.*")
 
 
 def heartbeat_edges(beats: DataFrame, threshold_s: int = 300) -> DataFrame:

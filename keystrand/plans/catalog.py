@@ -181,10 +181,11 @@ def dedup_producer(s, d):
     return dedup.produced(_ids(s, d)).select("part", "off", "id")
 
 
-@query("dedup_store", f"WITH {LOG}, {IDS}, {IDENT}, st AS (SELECT DISTINCT part, key, by_id, identity FROM ident WHERE off < 500 AND outcome IN ('success', 'permanent')) SELECT part, off FROM ident i WHERE off >= 500 AND NOT EXISTS (SELECT 1 FROM st WHERE st.part = i.part AND st.key = i.key AND st.by_id = i.by_id AND st.identity = i.identity)")
+@query("dedup_store", f"WITH {LOG}, {IDS}, {IDENT}, st AS (SELECT DISTINCT part, key, by_id, identity FROM ident WHERE event_id % 3 = 0 AND outcome IN ('success', 'permanent')) SELECT part, off FROM ident i WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.part = i.part AND st.key = i.key AND st.by_id = i.by_id AND st.identity = i.identity)")
 def dedup_store(s, d):
+    """All of the log against a store that holds what another run recorded of it."""
     log = _ids(s, d)
-    return dedup.unseen(log.where("off >= 500"), dedup.stored(log.where("off < 500"))).select("part", "off")
+    return dedup.unseen(log, dedup.stored(log.withColumn("outcome", F.when(F.col("event_id") % 3 == 0, F.col("outcome"))))).select("part", "off")
 
 
 @query("dedup_expiry", f"WITH {LOG}, {IDS}, {IDENT} SELECT part, key, identity, by_id, min(ts_us) AS inserted_us, min(ts_us) + 604800000000 AS expires_us FROM ident WHERE outcome IN ('success', 'permanent') GROUP BY 1, 2, 3, 4")
@@ -253,7 +254,8 @@ def timeout_flag(s, d):
 def dlq_route(s, d):
     rows = logs.event_log(s, d).withColumn("category", F.when(F.col("outcome") != "success", F.col("outcome"))).withColumn("kind", F.when(F.col("event_id") % 5 == 0, "timer").otherwise("message"))
     out = sinks.failure_records(rows.withColumn("error", F.concat(F.lit("handler failed: "), "outcome")), GROUP, "failures")
-    return out.withColumn("headers", F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"])), ";"))
+    text = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ";")
+    return out.select("topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("payload"), text.alias("headers"))
 
 
 @query("producer_records", f"WITH {LOG} SELECT topic, key, payload AS value, concat('source-system=', coalesce('{GROUP}', '')) AS headers FROM log")
@@ -364,29 +366,29 @@ def monopolization(s, d):
     return windows.monopolization(_busy(s, d)).select("part", "key", "off", "busy_ms", F.round("ratio", 9).alias("ratio"), "rejected")
 
 
-@query("virtual_time", f"WITH {LOG}, {INV} SELECT part, key, round(sum(duration_ms * pow(2.0, -(({NOW_MS} - 86400000 * 20) - end_ms) / 1000.0 / 86400.0)), 6) AS vt_ms FROM inv WHERE end_ms <= {NOW_MS} - 86400000 * 20 GROUP BY 1, 2")
+@query("virtual_time", f"WITH {LOG}, {INV} SELECT part, key, round(sum(duration_ms * pow(2.0, -({NOW_MS} - end_ms) / 1000.0 / 86400.0)), 6) AS vt_ms FROM inv WHERE end_ms <= {NOW_MS} GROUP BY 1, 2")
 def virtual_time(s, d):
     runs = _invocations(s, d).withColumn("run_ms", F.col("duration_ms"))
-    return windows.virtual_time(runs, NOW_MS - 86_400_000 * 20, 86_400.0).select("part", "key", F.round("vt_ms", 6).alias("vt_ms"))
+    return windows.virtual_time(runs, NOW_MS, 86_400.0).select("part", "key", F.round("vt_ms", 6).alias("vt_ms"))
 
 
 TASKS = f"""vt AS (SELECT part, key, sum(duration_ms * pow(2.0, -({NOW_MS} - end_ms) / 1000.0 / 86400.0)) AS vt_ms FROM inv WHERE end_ms <= {NOW_MS} GROUP BY 1, 2),
-task AS (SELECT part, key, off, demand, start_ms AS enqueue_ms FROM inv ORDER BY start_ms DESC, event_id DESC LIMIT 200),
+task AS (SELECT part, key, off, demand, start_ms AS enqueue_ms FROM inv),
 ranked AS (SELECT task.*, round(coalesce(vt_ms, 0) / 1000.0 - 200 * pow(least(({NOW_MS} - enqueue_ms) / 1000.0 / 2000000.0, 1.0), 2), 6) AS priority FROM task LEFT JOIN vt USING (part, key)),
 cls AS (SELECT demand, sum(duration_ms * pow(2.0, -({NOW_MS} - end_ms) / 1000.0 / 86400.0)) AS class_ms FROM inv WHERE end_ms <= {NOW_MS} GROUP BY 1)"""
 
 
-def _ranked(s, d):
+def _rated(s, d):
     inv = _invocations(s, d)
     vt = windows.virtual_time(inv.withColumn("run_ms", F.col("duration_ms")), NOW_MS, 86_400.0)
-    tasks = inv.orderBy(F.col("start_ms").desc(), F.col("event_id").desc()).limit(200).select("topic", "part", "key", "off", "demand", F.col("start_ms").alias("enqueue_ms"))
+    tasks = inv.select("topic", "part", "key", "off", "demand", F.col("start_ms").alias("enqueue_ms"))
     tasks = tasks.join(vt, ["topic", "part", "key"], "left").withColumn("vt_ms", F.coalesce("vt_ms", F.lit(0.0)))
-    return windows.priorities(tasks, NOW_MS, max_wait_s=2_000_000.0)
+    return windows.priorities(tasks, NOW_MS, max_wait_s=2_000_000.0).withColumn("priority", F.round("priority", 6))
 
 
 @query("schedule_priorities", f"WITH {LOG}, {INV}, {TASKS} SELECT part, key, off, demand, priority, row_number() OVER (PARTITION BY demand ORDER BY priority, enqueue_ms, off) AS rank FROM ranked")
 def schedule_priorities(s, d):
-    return _ranked(s, d).select("part", "key", "off", "demand", F.round("priority", 6).alias("priority"), "rank")
+    return windows.ranked(_rated(s, d)).select("part", "key", "off", "demand", "priority", "rank")
 
 
 @query("class_selection", f"WITH {LOG}, {INV}, {TASKS} SELECT CASE WHEN coalesce(max(class_ms) FILTER (WHERE demand = 'normal'), 0) / 0.7 <= coalesce(max(class_ms) FILTER (WHERE demand = 'failure'), 0) / 0.3 THEN 'normal' ELSE 'failure' END AS demand FROM cls")
@@ -398,7 +400,7 @@ def class_selection(s, d):
 SELECT part, off, ranked.demand FROM ranked, c ORDER BY ranked.demand <> chosen, priority, enqueue_ms, off LIMIT 1""")
 def schedule_pick(s, d):
     chosen = windows.next_class(windows.class_time(_invocations(s, d).withColumn("run_ms", F.col("duration_ms")), NOW_MS, 86_400.0))
-    return windows.schedule_pick(_ranked(s, d), chosen).select("part", "off", "demand")
+    return windows.schedule_pick(_rated(s, d), chosen).select("part", "off", "demand")
 
 
 @query("heartbeat_stall", f"WITH {LOG}, g AS (SELECT part, off, ts_us - lag(ts_us) OVER (PARTITION BY part ORDER BY ts_us, off) AS gap_us FROM log) SELECT part, off, gap_us FROM g WHERE gap_us > 300000000")
@@ -430,10 +432,10 @@ def deferred_load_join(s, d):
     return logs.load(want, logs.event_log(s, d).where("off % 97 <> 0")).select("part", "off", "key", "status")
 
 
-@query("deferred_routing", f"WITH {LOG}, k AS (SELECT DISTINCT part, key FROM log WHERE outcome = 'transient' AND off < 200) SELECT part, key, k.key IS NOT NULL AS queued, count(*) AS n FROM (SELECT * FROM log WHERE off >= 200) l LEFT JOIN k USING (part, key) GROUP BY 1, 2, 3")
+@query("deferred_routing", f"WITH {LOG}, k AS (SELECT DISTINCT part, key FROM log WHERE outcome = 'transient') SELECT part, key, k.key IS NOT NULL AS queued, count(*) AS n FROM log l LEFT JOIN k USING (part, key) GROUP BY 1, 2, 3")
 def deferred_routing(s, d):
     log = logs.event_log(s, d)
-    return defer.routed(log.where("off >= 200"), log.where("outcome = 'transient' AND off < 200")).groupBy("part", "key", "queued").agg(F.count("*").alias("n"))
+    return defer.routed(log, log.where("outcome = 'transient'")).groupBy("part", "key", "queued").agg(F.count("*").alias("n"))
 
 
 @query("scheduled_times_union", f"WITH {LOG}, {CMD}, {TIM} SELECT part, key, time_s FROM tim WHERE timer_type = 0 UNION SELECT part, key, ts_us // 1000000 FROM log WHERE outcome = 'transient'")
@@ -448,14 +450,109 @@ def listed_times(s, d):
     return timers.listed_times(_timers(s, d).withColumn("state", state)).drop("state")
 
 
-@query("timer_replay")
+@query("timer_replay", f"""WITH {LOG}, {CMD}, t AS (SELECT part, key, timer_type, time_s, max(CASE WHEN op IN ('schedule', 'clear_and_schedule') THEN ord END) AS added FROM cmd GROUP BY 1, 2, 3, 4)
+SELECT part, key, timer_type, time_s FROM t WHERE added IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cmd c WHERE c.part = t.part AND c.key = t.key AND c.timer_type = t.timer_type AND c.ord > t.added
+ AND (c.op = 'clear' OR c.op = 'unschedule' AND c.time_s = t.time_s OR c.op = 'clear_and_schedule' AND c.time_s <> t.time_s))""")
 def timer_replay(s, d):
-    return timers.replay(_commands(s, d))
+    return timers.scheduled_after(_commands(s, d))
 
 
-@query("defer_replay")
+#: Waits add up to 0, 1, 3 and 7 seconds for 0 to 3 failed tries.
+BUSY = "[0, 1, 3, 7]"
+ARRIVALS = """arr AS (SELECT part, key, off AS ord, off, ts_us // 1000000 AS at_s, outcome, event_id % 4 AS fails FROM log)"""
+
+
+def _replay_sql(source: str) -> str:
+    """Recursion over each key's messages: a queue lasts until its messages' tries have ended."""
+    took = f"{BUSY}[fails + 1] * 3600"
+    return f"""o AS (SELECT *, {took} AS took, row_number() OVER (PARTITION BY part, key ORDER BY ord) AS r FROM {source}),
+f AS (SELECT part, key, r, CASE WHEN outcome = 'transient' THEN 'deferred' ELSE 'handled' END AS action, CASE WHEN outcome = 'transient' THEN at_s + took END AS done_s FROM o WHERE r = 1
+ UNION ALL SELECT o.part, o.key, o.r, CASE WHEN o.at_s < coalesce(f.done_s, -1) THEN 'queued' WHEN o.outcome = 'transient' THEN 'deferred' ELSE 'handled' END,
+  CASE WHEN o.at_s < coalesce(f.done_s, -1) THEN f.done_s + o.took WHEN o.outcome = 'transient' THEN o.at_s + o.took END
+ FROM o JOIN f ON o.part = f.part AND o.key = f.key AND o.r = f.r + 1),
+replayed AS (SELECT o.*, action, done_s FROM o JOIN f USING (part, key, r))"""
+
+
+def _replayed(s, d):
+    log = logs.event_log(s, d)
+    events = log.select("topic", "part", "key", "off", F.col("off").alias("ord"), F.floor(F.col("ts_us") / 1_000_000).alias("at_s"), "outcome", (F.col("event_id") % 4).alias("fails"))
+    return defer.replay(events, base_s=3600)
+
+
+@query("defer_replay", f"WITH RECURSIVE {LOG}, {ARRIVALS}, {_replay_sql('arr')} SELECT part, key, off, action, done_s FROM replayed")
 def defer_replay(s, d):
-    return defer.replay(logs.event_log(s, d).withColumn("ord", F.col("off")))
+    return _replayed(s, d).select("part", "key", "off", "action", "done_s")
+
+
+@query("deferred_retries", f"""WITH RECURSIVE {LOG}, {ARRIVALS}, {_replay_sql('arr')}, a AS (SELECT *, unnest(range(0, fails + 1)) AS attempt FROM replayed WHERE action IN ('deferred', 'queued'))
+SELECT part, key, off, CAST(attempt AS INT) AS attempt, done_s - took + {BUSY}[attempt + 1] * 3600 AS at_s, attempt < fails AS failed FROM a""")
+def deferred_retries(s, d):
+    return defer.retries(_replayed(s, d), base_s=3600).select("part", "key", "off", "attempt", "at_s", "failed")
+
+
+FIRED = """fired AS (SELECT part, key, time_s AS ord, time_s AS at_s, CASE WHEN time_s // 60 % 3 = 0 THEN 'transient' ELSE 'success' END AS outcome, time_s // 60 % 4 AS fails FROM tim WHERE timer_type = 0)"""
+
+
+@query("timer_defer_replay", f"WITH RECURSIVE {LOG}, {CMD}, {TIM}, {FIRED}, {_replay_sql('fired')} SELECT part, key, ord AS original_time_s, action, done_s FROM replayed")
+def timer_defer_replay(s, d):
+    """Application timers whose handler fails transiently wait in their key's queue under their original time."""
+    minute = F.floor(F.col("time_s") / 60)
+    fired = _timers(s, d).where("timer_type = 0").select("part", "key", F.col("time_s").alias("ord"), F.col("time_s").alias("at_s"), F.when(minute % 3 == 0, "transient").otherwise("success").alias("outcome"), (minute % 4).alias("fails"))
+    return defer.replay(fired, ("part", "key"), base_s=3600).select("part", "key", F.col("ord").alias("original_time_s"), "action", "done_s")
+
+
+@query("defer_strategies", f"""WITH {LOG}, r AS (SELECT *, event_id % 100 / 100.0 AS rate FROM log WHERE outcome = 'transient')
+SELECT part, off, strategy, CASE strategy WHEN 'always' THEN true WHEN 'never' THEN false WHEN 'trace' THEN coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 2 = 0 END, true) ELSE rate < 0.9 END AS defers FROM r, (VALUES ('always'), ('never'), ('trace'), ('rate')) t(strategy)""")
+def defer_strategies(s, d):
+    eid = F.col("event_id")
+    trace = F.when(eid % 5 != 0, eid % 2 == 0)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), defer.decided(n, (eid % 100) / 100.0, trace=trace).alias("defers")) for n in ("always", "never", "trace", "rate")]))
+    return logs.event_log(s, d).where("outcome = 'transient'").select("part", "off", each.alias("s")).select("part", "off", "s.*")
+
+
+@query("decayed_algebra", f"""WITH {LOG}, v AS (SELECT part, off, duration_ms * 1000 AS x, off * 250 AS x_at, event_id % 911 * 1000 AS y, event_id % 60000 AS y_at FROM log),
+w AS (SELECT *, greatest(x_at, y_at) AS at_ms, CAST(floor(x * pow(2.0, -((greatest(x_at, y_at) - x_at) / 1000.0) / 120.0)) AS BIGINT) AS dx, CAST(floor(y * pow(2.0, -((greatest(x_at, y_at) - y_at) / 1000.0) / 120.0)) AS BIGINT) AS dy FROM v)
+SELECT part, off, at_ms, dx + dy AS sum, greatest(dx - dy, 0) AS difference, sign(dx - dy)::INT AS compared FROM w""")
+def decayed_algebra(s, d):
+    eid = F.col("event_id")
+    a = F.struct((F.col("duration_ms") * 1000).alias("value"), (F.col("off") * 250).alias("at_ms"))
+    b = F.struct((eid % 911 * 1000).alias("value"), (eid % 60_000).alias("at_ms"))
+    total = fn.decayed_sum(a, b)
+    return logs.event_log(s, d).select("part", "off", total["at_ms"].alias("at_ms"), total["value"].alias("sum"), fn.decayed_difference(a, b)["value"].alias("difference"), fn.decayed_compare(a, b).alias("compared"))
+
+
+@query("slab_load_plan", f"""WITH {LOG}, tick AS (SELECT DISTINCT part, ts_us // 1000000 // 900 * 900 AS now_s FROM log), p AS (SELECT *, (now_s + 1830) // {SLAB} AS last_slab FROM tick)
+SELECT part, now_s, coalesce(max(last_slab) OVER (PARTITION BY part ORDER BY now_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS first_slab, last_slab, greatest(0, (last_slab + 1) * {SLAB} - now_s - 1830) AS wait_s FROM p""")
+def slab_load_plan(s, d):
+    ticks = logs.event_log(s, d).select("part", (F.floor(F.col("ts_us") / 900_000_000) * 900).alias("now_s")).distinct()
+    return timers.load_plan(ticks, timers.preload_s(SLAB, 0.5), SLAB)
+
+
+TIMER_EVENTS = """te AS (SELECT part, key, time_s, CASE timer_type WHEN 0 THEN 'application' WHEN 1 THEN 'deferredMessage' ELSE 'deferredTimer' END AS timer_type,
+  unnest(['timer.scheduled', 'timer.dispatched', CASE WHEN time_s // 60 % 5 = 0 THEN 'timer.failed' ELSE 'timer.succeeded' END]) AS type, unnest([time_s * 1000 - 60000, time_s * 1000, time_s * 1000 + 250]) AS at_ms FROM tim)"""
+
+
+def _rfc(us: str) -> str:
+    return f"concat(strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S.'), lpad(CAST({us} % 1000000 // 1000 AS VARCHAR), 3, '0'), 'Z')"
+
+
+@query("timer_lifecycle_json", f"""WITH {LOG}, {CMD}, {TIM}, {TIMER_EVENTS}
+SELECT key, concat('{{"type":"', type, '","eventTime":"', {_rfc("CAST(at_ms * 1000 AS BIGINT)")}, '","scheduledTime":"', strftime(make_timestamp(CAST(time_s * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ'), '","timerType":"', timer_type,
+ '","topic":"events","partition":', part, ',"key":"', key, '","source":"{GROUP}","hostname":"host-1"', CASE WHEN type <> 'timer.scheduled' THEN ',"demandType":"normal"' ELSE '' END,
+ CASE WHEN type = 'timer.failed' THEN concat(',"errorCategory":"transient","exception":"late by ', time_s % 7, '"') ELSE '' END, ',"traceParent":"00-', time_s, '-01"}}') AS value FROM te""")
+def timer_lifecycle_json(s, d):
+    t = F.col("time_s")
+    last = F.when(F.floor(t / 60) % 5 == 0, "timer.failed").otherwise("timer.succeeded")
+    each = [(F.lit("timer.scheduled"), t * 1000 - 60_000), (F.lit("timer.dispatched"), t * 1000), (last, t * 1000 + 250)]
+    events = _timers(s, d).withColumn("timer_type", fn.timer_type_name(F.col("timer_type"))).select("*", F.explode(F.array(*[F.struct(k.alias("type"), at.alias("at_ms")) for k, at in each])).alias("e")).select("*", "e.*")
+    events = events.withColumn("topic", F.lit("events")).withColumn("demand", F.lit("normal")).withColumn("category", F.lit("transient"))
+    events = events.withColumn("exception", F.concat(F.lit("late by "), (t % 7).cast("string"))).withColumn("trace", F.create_map(F.lit("traceparent"), F.concat(F.lit("00-"), t.cast("string"), F.lit("-01"))))
+    return telemetry.timer_json(events, GROUP, "host-1")
+
+
+@query("sent_json", f"""WITH {LOG} SELECT key, concat('{{"type":"message.sent","eventTime":"', {_rfc("ts_us")}, '","topic":"', topic, '","partition":', part, ',"offset":', off, ',"key":"', key, '","source":"{GROUP}","hostname":"host-1"}}') AS value FROM log""")
+def sent_json(s, d):
+    return telemetry.sent_json(logs.event_log(s, d).withColumn("at_ms", F.floor(F.col("ts_us") / 1000)), GROUP, "host-1")
 
 
 @query("delete_records", f"WITH {LOG} SELECT part, count(*) AS n, min(off) AS first_off FROM log WHERE off >= CASE part WHEN 0 THEN 100 WHEN 2 THEN 50 ELSE 0 END GROUP BY 1")

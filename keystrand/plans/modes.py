@@ -12,6 +12,7 @@ from keystrand.config import ConsumerSettings, MonopolizationSettings
 from keystrand.operators import decode, dedup, filters, offsets, outcome, windows
 from keystrand.sources import sinks
 from keystrand.sources.log import kafka_log
+from keystrand.streaming.processors import dedup_stream
 
 #: A handler adds column outcome (success, transient, permanent, terminal) to accepted rows.
 Handler = Callable[[DataFrame], DataFrame]
@@ -37,7 +38,9 @@ def pipeline(log: DataFrame, handler: Handler, settings: ConsumerSettings, dedup
         rated = windows.monopolization(windows.disjoint(runs), int(gate.window_s * 1000), gate.threshold)
         rows = rows.join(rated.select("topic", "part", "key", "off", "rejected"), ["topic", "part", "key", "off"])
         rows = rows.withColumn("outcome", F.when(F.col("rejected"), "transient").otherwise(F.col("outcome")))
-    return _resolved(dedup.outcome_aware(rows) if deduplicate else rows, "pipeline")
+    if deduplicate:  # a stream keeps what was seen in state, a table sees all rows at once
+        rows = dedup_stream(rows) if rows.isStreaming else dedup.outcome_aware(rows)
+    return _resolved(rows, "pipeline")
 
 
 def low_latency(log: DataFrame, handler: Handler, settings: ConsumerSettings) -> DataFrame:

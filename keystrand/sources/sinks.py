@@ -18,7 +18,8 @@ def producer_records(messages: DataFrame, source_system: str, trace: Column | No
 
 
 def failure_records(outcomes: DataFrame, group: str, failure_topic: str) -> DataFrame:
-    """Original key and payload of messages that failed other than terminally, with seven headers on where they come from."""
+    """(topic, key, value, headers) of messages that failed other than terminally, as write_kafka takes them: original key and
+    payload, and seven headers on where they come from."""
     failed = outcomes.where((F.col("kind") == "message") & F.col("category").isin("transient", "permanent"))
     values = {
         "source-kind": F.lit("message"),
@@ -29,8 +30,8 @@ def failure_records(outcomes: DataFrame, group: str, failure_topic: str) -> Data
         "source-group-id": F.lit(group),
         "source-error": F.col("error"),
     }
-    headers = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
-    return failed.select(F.lit(failure_topic).alias("topic"), "key", "payload", headers.alias("headers"))
+    headers = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value")) for k, v in values.items()])
+    return failed.select(F.lit(failure_topic).alias("topic"), F.col("key").cast("binary").alias("key"), F.col("payload").cast("binary").alias("value"), headers.alias("headers"))
 
 
 def write_kafka(records: DataFrame, servers: str, options: dict[str, str] | None = None) -> None:

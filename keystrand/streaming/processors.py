@@ -13,22 +13,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from keystrand.operators.defer import step
 from keystrand.operators.dedup import MAX_TTL_S, MIN_TTL_S, TTL_S
 from keystrand.operators.timers import apply_command
 
 LOG_SCHEMA = "topic string, part int, key string, off bigint, ts_us bigint, id string, outcome string"
 TIMER_SCHEMA = "part int, key string, timer_type int, time_s bigint, event string"
-DEFER_SCHEMA = "topic string, part int, key string, off bigint, action string, waiting bigint, retry_count bigint"
+DEFER_SCHEMA = "topic string, part int, key string, off bigint, action string, done_s bigint"
+#: How long a queue is remembered at least, so that a log that is replayed late still finds it.
+GRACE_MS = 3_600_000
 
 
 class DedupProcessor(StatefulProcessor):
-    """Keeps rows up to the first recorded outcome of their identity; forgets it ttl_s of event time later."""
+    """Keeps rows up to the first recorded outcome of their identity; forgets it ttl_s of event time later. The state store drops
+    an entry when as much processing time has passed, so state is bounded by what arrives in a TTL."""
 
     def __init__(self, ttl_s: int = TTL_S):
         self.ttl_us = min(max(ttl_s, MIN_TTL_S), MAX_TTL_S) * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "by_id boolean, identity string", "until bigint")
+        self.seen = handle.getMapState("seen", "by_id boolean, identity string", "until bigint", self.ttl_us // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values("off")
@@ -89,37 +93,34 @@ class TimerProcessor(StatefulProcessor):
 
 
 class DeferProcessor(StatefulProcessor):
-    """The deferral of operators.defer.replay over a stream: queue of offsets and retry count per key."""
+    """The deferral of operators.defer over a stream: per key one number, until when its queue lasts. A timer removes it once that
+    instant has passed, so keys without a queue hold no state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.queue = handle.getListState("queue", "off bigint")
-        self.retry = handle.getValueState("retry", "n bigint")
+        self.handle = handle
+        self.busy = handle.getValueState("busy", "until_s bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        queue = [x[0] for x in self.queue.get()] if self.queue.exists() else []
-        retry = self.retry.get()[0] if self.retry.exists() else 0
-        out = []
-        for off, outcome in pd.concat(list(rows)).sort_values("off")[["off", "outcome"]].itertuples(index=False):
-            if not queue:
-                if outcome == "transient":
-                    queue, retry, action = [int(off)], 0, "deferred"
-                else:
-                    action = "handled"
+        busy = self.busy.get()[0] if self.busy.exists() else None
+        had, out = busy, []
+        for off, at, outcome, fails in pd.concat(list(rows)).sort_values("off")[["off", "at_s", "outcome", "fails"]].itertuples(index=False):
+            action, busy = step(busy, int(at), outcome, int(fails))
+            out.append((*key, off, action, busy))
+        if busy != had:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due.timestamp if hasattr(due, "timestamp") else due)
+            if busy is None:
+                self.busy.clear()
             else:
-                queue.append(int(off))
-                if outcome == "transient":
-                    retry, action = retry + 1, "retried"
-                else:
-                    queue.pop(0)
-                    retry, action = 0, "advanced" if queue else "drained"
-            out.append((*key, off, action, len(queue), retry))
-        if queue:
-            self.queue.put([(x,) for x in queue])
-            self.retry.update((retry,))
-        else:
-            self.queue.clear()
-            self.retry.clear()
-        yield pd.DataFrame(out, columns=["topic", "part", "key", "off", "action", "waiting", "retry_count"]).astype({"part": "int32"})
+                self.busy.update((busy,))
+                self.handle.registerTimer(max(busy * 1000, timerValues.getCurrentProcessingTimeInMs() + GRACE_MS))
+        found = pd.DataFrame(out, columns=["topic", "part", "key", "off", "action", "done_s"])
+        yield found.astype({"part": "int32", "done_s": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.busy.exists() and self.busy.get()[0] * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.busy.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -128,7 +129,7 @@ class DeferProcessor(StatefulProcessor):
 def dedup_stream(log: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     """Deduplicated rows of a stream with the columns of LOG_SCHEMA."""
     columns = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
-    return log.select(*columns).groupBy("topic", "part", "key").transformWithStateInPandas(DedupProcessor(ttl_s), LOG_SCHEMA, "Append", "none")
+    return log.select(*columns).groupBy("topic", "part", "key").transformWithStateInPandas(DedupProcessor(ttl_s), LOG_SCHEMA, "Append", "ProcessingTime")
 
 
 def timer_stream(commands: DataFrame) -> DataFrame:
@@ -137,4 +138,5 @@ def timer_stream(commands: DataFrame) -> DataFrame:
 
 
 def defer_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("topic", "part", "key").transformWithStateInPandas(DeferProcessor(), DEFER_SCHEMA, "Append", "none")
+    """What becomes of each message of a stream (topic, part, key, off, at_s, outcome, fails)."""
+    return events.groupBy("topic", "part", "key").transformWithStateInPandas(DeferProcessor(), DEFER_SCHEMA, "Append", "ProcessingTime")

@@ -113,8 +113,14 @@ def test_timer_commands_while_firing():
     assert times == {60: "scheduled"}
     timers.apply_command(times, "fire", 60)
     timers.apply_command(times, "abort", 60)
-    assert times == {60: "scheduled"}
-    assert timers.apply_command(times, "clear_and_schedule", 90) == ["scheduled", "cancelled"] and times == {90: "scheduled"}
+    assert times == {60: "stored"}
+    timers.apply_command(times, "fire", 60)
+    assert times == {60: "stored"}
+    timers.apply_command(times, "reload", 60)
+    timers.apply_command(times, "schedule", 70)
+    assert times == {60: "scheduled", 70: "scheduled"}
+    assert timers.apply_command(times, "clear_and_schedule", 90) == ["cancelled", "cancelled", "scheduled"] and times == {90: "scheduled"}
+    assert timers.apply_command(times, "clear_and_schedule", 90) == ["scheduled"] and times == {90: "scheduled"}
 
 
 def test_timer_replay_against_sets(spark):
@@ -130,17 +136,77 @@ def test_timer_replay_against_sets(spark):
         else:
             want[key] = set() if op == "clear" else {t}
     df = spark.createDataFrame(rows, "part int, key string, timer_type int, ord bigint, op string, time_s bigint")
-    got = defaultdict(set)
-    for r in timers.replay(df).collect():
-        got[r["key"]].add(r["time_s"])
-    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    for replayed in (timers.replay(df), timers.scheduled_after(df)):
+        got = defaultdict(set)
+        for r in replayed.collect():
+            got[r["key"]].add(r["time_s"])
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def queue_by_force(rows, base_s):
+    """Per key a list of waiting messages whose head is tried by its timer, second by second of events."""
+    done, actions, queue, due, tries = {}, {}, [], None, 0
+
+    def fire(until):
+        nonlocal due, tries
+        while queue and due <= until:
+            off, fails = queue[0]
+            if tries < fails:
+                tries += 1
+                due += defer.bound_s(tries, base_s)
+            else:
+                done[off] = due
+                queue.pop(0)
+                tries = 0
+
+    for off, at, outcome, fails in rows:
+        fire(at)
+        if queue:
+            queue.append((off, fails))
+            actions[off] = "queued"
+        elif outcome == "transient":
+            queue.append((off, fails))
+            due, tries, actions[off] = at, 0, "deferred"
+        else:
+            actions[off] = "handled"
+    fire(10**9)
+    return {off: (a, done.get(off)) for off, a in actions.items()}
 
 
-def test_defer_replay_fifo(spark):
-    rows = [("t", 0, "k", i, i, o) for i, o in enumerate(["success", "transient", "transient", "success", "permanent", "success", "success", "success"])]
-    df = spark.createDataFrame(rows, "topic string, part int, key string, ord bigint, off bigint, outcome string")
-    got = [(r["action"], r["head"], r["retry_count"]) for r in defer.replay(df).orderBy("off").collect()]
-    assert got[:4] == [("handled", None, 0), ("deferred", 1, 0), ("retried", 1, 1), ("advanced", 2, 0)]
+def test_defer_replay_against_a_queue(spark):
+    rng = random.Random(17)
+    rows, want = [], {}
+    for k in range(20):
+        at, own = 0, []
+        for off in range(30):
+            at += rng.choice([1, 1, 2, 9, 40])
+            own.append((off, at, rng.choice(["success", "permanent", "transient"]), rng.randint(0, 4)))
+        rows += [("t", 0, f"k{k}", off, off, at, o, f) for off, at, o, f in own]
+        want |= {(f"k{k}", off): x for off, x in queue_by_force(own, 2).items()}
+    df = spark.createDataFrame(rows, "topic string, part int, key string, ord bigint, off bigint, at_s bigint, outcome string, fails int")
+    replayed = defer.replay(df, base_s=2)
+    got = {(r["key"], r["off"]): (r["action"], r["done_s"]) for r in replayed.collect()}
+    assert got == want and len({a for a, _ in got.values()}) == 3
+    last = {(r["key"], r["off"]): r["at_s"] for r in defer.retries(replayed, base_s=2).where("NOT failed").collect()}
+    assert last == {k: d for k, (a, d) in got.items() if a != "handled"}
+    never = defer.replay(df.withColumn("defers", F.lit(False)))
+    assert {r["action"] for r in never.collect()} == {"handled", "failed"} and never.where("done_s IS NOT NULL").count() == 0
+
+
+def test_failure_records_suit_the_writer(spark):
+    from keystrand.sources import sinks
+
+    df = spark.createDataFrame([("t", 0, 5, "k", "{}", "message", "permanent", "boom", 1_000_000)], "topic string, part int, off bigint, key string, payload string, kind string, category string, error string, ts_us bigint")
+    out = sinks.failure_records(df, "g", "dead")
+    assert out.dtypes == [("topic", "string"), ("key", "binary"), ("value", "binary"), ("headers", "array<struct<key:string,value:binary>>")]
+
+
+def test_slab_table_prunes(spark, tmp_path):
+    df = spark.createDataFrame([(0, "k", 0, 60 * i) for i in range(100)], "part int, key string, timer_type int, time_s bigint")
+    timers.write_slabs(df, str(tmp_path / "slabs"), 600)
+    scan = timers.slab_scan(spark.read.parquet(str(tmp_path / "slabs")), 2, 3)
+    assert scan.count() == 20 and len(scan.inputFiles()) == 10
+    assert "PartitionFilters: [isnotnull(slab_id" in scan._jdf.queryExecution().toString()
 
 
 def test_empty_log(spark):
