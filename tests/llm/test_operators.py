@@ -395,6 +395,19 @@ def test_url_rules_and_templates(spark):
     assert url_templates.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_url_siblings_merge_by_their_shares(spark):
+    """Five sections without bad urls and three with only bad ones make two branches; one in between stays by itself."""
+    rows = []
+    for k, bad in enumerate([0] * 5 + [200] * 3 + [100]):
+        rows += [(f"http://h.io/{'abcdefghi'[k] * 3}/p", int(i < bad)) for i in range(200)]
+    df = spark.createDataFrame([*rows, (None, None), ("http://h.io/" + "deep/" * 2000, None), (rows[0][0], 0)], "url string, bad int").withColumn("_group", F.lit(1))
+    got = url_templates.judge(df, label=F.col("bad")).collect()
+    assert len(got) == len(rows) + 3
+    kinds = {r["path"][1]: (r["template"], r["verdict"]) for r in got if r["path"].endswith("/p")}
+    assert len({kinds[c] for c in "abcde"}) == len({kinds[c] for c in "fgh"}) == 1
+    assert kinds["a"][1] == "allow" and kinds["f"][1] == "block" and kinds["i"][0].startswith("/iii") and len({v[0] for v in kinds.values()}) == 3
+
+
 # 7 simhash
 
 
