@@ -7,7 +7,8 @@ distinct instant.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from keystrand.operators.defer import step
 from keystrand.operators.dedup import MAX_TTL_S, MIN_TTL_S, TTL_S
+from keystrand.operators.runtime import EVENT_SCHEMA, KeyHandler, KeyRunner, KeyState, Message, Policy, TerminalError, rows_of
 from keystrand.operators.timers import apply_command
 
 LOG_SCHEMA = "topic string, part int, key string, off bigint, ts_us bigint, id string, outcome string"
@@ -126,6 +128,104 @@ class DeferProcessor(StatefulProcessor):
         pass
 
 
+class StateMapping(MutableMapping):
+    """A state store's map of single columns as a mapping; entries are read and written one by one."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __getitem__(self, k):
+        if not self.state.containsKey((k,)):
+            raise KeyError(k)
+        return self.state.getValue((k,))[0]
+
+    def __setitem__(self, k, value):
+        self.state.updateValue((k,), (value,))
+
+    def __delitem__(self, k):
+        self.state.removeKey((k,))
+
+    def __iter__(self):
+        return (k[0] for k in self.state.keys())
+
+    def __len__(self):
+        return sum(1 for _ in self)
+
+
+class HandlerProcessor(StatefulProcessor):
+    """A user's handler in operators.runtime's stack. One timer stands for whatever a key has due next; a terminal error ends
+    the query, so that nothing of its batch is committed."""
+
+    def __init__(self, handler: Callable[[], KeyHandler], policy: Policy):
+        self.handler, self.policy = handler, policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rest = handle.getValueState("rest", "text string")
+        self.messages = JsonMapping(StateMapping(handle.getMapState("messages", "n bigint", "entry string")))
+        self.blocked = JsonMapping(StateMapping(handle.getMapState("blocked", "n bigint", "entry string")))
+        self.seen = StateMapping(handle.getMapState("seen", "identity string", "until bigint", max(self.policy.dedup_ttl_s, 1) * 1000))
+
+    def _runner(self) -> KeyRunner:
+        text = self.rest.get()[0] if self.rest.exists() else None
+        return KeyRunner(self.handler(), self.policy, KeyState.loads(text, self.messages, self.blocked, self.seen))
+
+    def _store(self, key, runner: KeyRunner, now_ms: int) -> pd.DataFrame:
+        runner.advance(now_ms)
+        runner.forget(now_ms)
+        if any(row[4] == "terminal" for row in runner.rows):
+            raise TerminalError(f"terminal error of key {key}")
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due.timestamp if hasattr(due, "timestamp") else due)
+        if runner.state.idle():
+            self.rest.clear()
+        else:
+            self.rest.update((runner.state.dumps(),))
+            due = runner.next_due_ms()
+            self.handle.registerTimer(max(now_ms + 1, now_ms + self.policy.gate_window_ms if due is None else due))
+        return rows_of(runner, *key)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, runner = timerValues.getCurrentProcessingTimeInMs(), self._runner()
+        for off, us, id_, payload in pd.concat(list(rows)).sort_values("off")[["off", "ts_us", "id", "payload"]].itertuples(index=False):
+            runner.message(Message(int(off), int(us) // 1000, id_ if isinstance(id_, str) else None, payload if isinstance(payload, str) else None), now)
+        yield self._store(key, runner, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._store(key, self._runner(), timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+class JsonMapping(MutableMapping):
+    """Lists kept as JSON in a mapping of texts."""
+
+    def __init__(self, texts: MutableMapping):
+        self.texts = texts
+
+    def __getitem__(self, k):
+        return json.loads(self.texts[k])
+
+    def __setitem__(self, k, value):
+        self.texts[k] = json.dumps(value)
+
+    def __delitem__(self, k):
+        del self.texts[k]
+
+    def __iter__(self):
+        return iter(self.texts)
+
+    def __len__(self):
+        return len(self.texts)
+
+
+def handler_stream(log: DataFrame, handler: Callable[[], KeyHandler], policy: Policy | None = None) -> DataFrame:
+    """Rows of EVENT_SCHEMA for a stream (topic, part, key, off, ts_us, id, payload); handler makes a handler for a key."""
+    rows = log.select("topic", "part", "key", "off", "ts_us", "id", "payload")
+    return rows.groupBy("topic", "part", "key").transformWithStateInPandas(HandlerProcessor(handler, policy or Policy()), EVENT_SCHEMA, "Append", "ProcessingTime")
+
+
 def dedup_stream(log: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
     """Deduplicated rows of a stream with the columns of LOG_SCHEMA."""
     columns = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
