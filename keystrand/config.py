@@ -108,6 +108,61 @@ class StorageSettings(Settings):
     retention_s: float = _setting(31_557_600, "RETENTION", duration, high=630_720_000)
 
 
+@dataclass
+class FailureTopicSettings(Settings):
+    topic: str = _setting("", "FAILURE_TOPIC")
+
+    def __post_init__(self):
+        super().__post_init__()
+        if not self.topic:
+            raise ValueError("no failure topic")
+
+
+@dataclass
+class DedupSettings(Settings):
+    ttl_s: float = _setting(604_800, "DEDUP_TTL", duration, low=60, high=630_720_000)
+    cache_size: int = _setting(8192, "DEDUP_CACHE_SIZE", int, low=0)
+
+
+#: Settings each mode reads besides the consumer's and the scheduler's.
+MODES: dict[str, dict[str, type[Settings]]] = {
+    "pipeline": {"retry": RetrySettings, "monopolization": MonopolizationSettings, "defer": DeferSettings, "dedup": DedupSettings},
+    "low-latency": {"retry": RetrySettings, "failure_topic": FailureTopicSettings},
+    "best-effort": {},
+}
+
+
+@dataclass
+class ModeSettings:
+    """A mode with all it needs; parts holds its settings by name. Storage is None in memory, as a mock consumer uses it."""
+
+    mode: str
+    consumer: ConsumerSettings
+    parts: dict[str, Settings]
+    storage: StorageSettings | None
+
+    @classmethod
+    def from_env(cls, mode: str, mock: bool = False, prefix: str = "KEYSTRAND_", env: Mapping[str, str] | None = None) -> ModeSettings:
+        """Validates what the mode needs, and only that."""
+        if mode not in MODES:
+            raise ValueError(f"no mode: {mode}")
+        read = lambda settings: settings.from_env(prefix, env)
+        consumer = read(ConsumerSettings)
+        if not consumer.group_id:
+            raise ValueError("no group_id")
+        parts = {name: read(kind) for name, kind in MODES[mode].items()}
+        return cls(mode, consumer, parts | {"scheduler": read(SchedulerSettings)}, None if mock else read(StorageSettings))
+
+    def topics(self) -> list[str]:
+        """All topics that have to exist: those subscribed and, in low-latency mode, the failure topic."""
+        failure = self.parts.get("failure_topic")
+        return [*(self.consumer.topics or []), *([failure.topic] if failure else [])]
+
+    def store_path(self, base: str, store: str) -> str | None:
+        """Where a store's table lies (timers, message_defer, timer_defer, dedup); None in memory."""
+        return f"{base}/{self.storage.keyspace}/{store}" if self.storage else None
+
+
 @dataclass
 class TelemetrySettings(Settings):
     topic: str = _setting("telemetry-events", "TELEMETRY_TOPIC")

@@ -50,6 +50,11 @@ def slab_end(slab: Column, size: Column | int) -> Column:
     return F.least((slab + 1) * size, F.lit(MAX_SECONDS))
 
 
+def slab_plus(slab: Column, n: int) -> Column:
+    """The slab n on (the next: 1, the previous: -1); null where there is none."""
+    return checked_add(slab, F.lit(n))
+
+
 def retry_bound_ms(attempt: Column, base_ms: int = 20, max_ms: int = 300_000) -> Column:
     """Upper bound of the wait before attempt+1, attempts from 1."""
     return F.least(F.lit(float(base_ms)) * F.pow(F.lit(2.0), attempt), F.lit(float(max_ms))).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,23 @@ def string_field(variant: Column, name: str) -> Column:
     return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(variant, f"$.{name}", "string"))
 
 
+#: Payload formats.
+CODECS = ("json", "binary", "json_binary")
+
+
+def encode(payload: Column, codec: str = "json") -> Column:
+    """Bytes of a payload: JSON is written anew without white space, null where it isn't valid; other bytes stay."""
+    if codec not in CODECS:
+        raise ValueError(codec)
+    return F.to_json(F.try_parse_json(payload)).cast("binary") if codec == "json" else payload.cast("binary")
+
+
+def extracted(log: DataFrame, extractor: Callable[[Column], Column]) -> DataFrame:
+    """Adds id and type by a user's extractor: a function (or Pandas UDF) from the payload to a struct of both; a null struct is a
+    payload that can't be read, and its row goes."""
+    return log.withColumn("_x", extractor(F.col("payload"))).where("_x IS NOT NULL").withColumn("id", F.col("_x.id")).withColumn("type", F.col("_x.type")).drop("_x")
+
+
 def identify(log: DataFrame) -> DataFrame:
     """Adds id and type, parsed once from the JSON payload."""
     return log.withColumn("_v", F.try_parse_json("payload")).withColumn("id", string_field(F.col("_v"), "id")).withColumn("type", string_field(F.col("_v"), "type")).drop("_v")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrand.functions.scalars import row_ttl
+
 QUEUE = ("topic", "part", "key")
 
 
@@ -100,6 +102,17 @@ def retries(replayed: DataFrame, base_s: int = 1, max_s: int = 86_400) -> DataFr
     return rows.withColumn("at_s", begun + waits(F.col("attempt"), base_s, max_s)).withColumn("failed", F.col("attempt") < fails)
 
 
+def waiting_at(replayed: DataFrame, at_s: int) -> DataFrame:
+    """What is in a queue at an instant: arrived by then, deferred or queued, and not ended."""
+    return replayed.where(F.col("action").isin("deferred", "queued") & (F.col("at_s") <= at_s) & (F.col("done_s") > at_s))
+
+
+def timer_heads(waiting: DataFrame, now_s: int, retention_s: int) -> DataFrame:
+    """(part, key, head_s, waiting, ttl_s): a timers' queue leads with its least original time, whose own time sets how long it is kept."""
+    heads = waiting.groupBy("part", "key").agg(F.min("ord").alias("head_s"), F.count("*").alias("waiting"))
+    return heads.withColumn("ttl_s", row_ttl(F.col("head_s"), now_s, retention_s))
+
+
 def decided(strategy: str, rate: Column | None = None, threshold: float = 0.9, trace: Column | None = None) -> Column:
     """Whether a transient failure is deferred: always, never, by a column of given answers (trace), or by the failure rate."""
     if strategy in ("always", "never"):

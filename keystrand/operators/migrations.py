@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrand.functions.scalars import row_ttl
+from keystrand.operators.timers import key_states
+
 
 def ordered(files: DataFrame) -> DataFrame:
     """Migrations (filename, sql) by their 8-digit date prefix."""
@@ -43,6 +46,14 @@ def upgraded_timers(v1: DataFrame, slab_size_s: int) -> DataFrame:
     return v1.withColumn("timer_type", F.lit(0).cast("tinyint")).withColumn("slab_id", F.floor(F.col("time_s") / slab_size_s)).withColumn("version", F.greatest(F.coalesce("version", F.lit(1)), F.lit(3)))
 
 
+def backfilled_states(timers: DataFrame, now_s: int, retention_s: int) -> DataFrame:
+    """Key states of typed timers, as the last upgrade writes them: one time stands inline, of several only that they overflow,
+    kept as long as their latest."""
+    states = key_states(timers).where("n > 0")
+    inline = F.when(F.col("state") == "inline", F.col("latest_s"))
+    return states.select("part", "key", "timer_type", "state", inline.alias("inline_s"), row_ttl(F.col("latest_s"), now_s, retention_s).alias("ttl_s"))
+
+
 def segments(rows: DataFrame) -> DataFrame:
     """Get-or-create: one row per deterministic segment id."""
     return rows.dropDuplicates(["id"])

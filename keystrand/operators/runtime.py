@@ -64,8 +64,7 @@ class Timer(NamedTuple):
 class KeyHandler:
     """What a user writes. Hooks: after_commit follows an event's last call, after_abort each call that another will follow."""
 
-    def on_message(self, context: Context, message: Message) -> None:
-        raise NotImplementedError
+    def on_message(self, context: Context, message: Message) -> None: ...
 
     def on_timer(self, context: Context, timer: Timer) -> None: ...
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keystrand.config import ConsumerSettings
 from keystrand.functions import scalars as fn
-from keystrand.operators import decode, dedup, defer, filters, migrations, offsets, outcome, telemetry, timers, windows
+from keystrand.operators import decode, dedup, defer, filters, migrations, offsets, outcome, runtime, telemetry, timers, windows
 from keystrand.plans import modes
 from keystrand.sources import log as logs
 from keystrand.sources import sinks
@@ -123,6 +123,25 @@ def decode_json_binary(s, d):
     return logs.event_log(s, d).groupBy(decode.reject_reason(F.col("key"), F.col("payload"), "json_binary").alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("encode_json", """SELECT event_id, concat('{', CASE WHEN event_id % 7 = 0 THEN concat('"id":', event_id, ',') WHEN event_id % 7 <> 1 THEN concat('"id":"', event_type, '-', day(ts), '",') ELSE '' END,
+ '"seq":', event_id, CASE WHEN event_id % 11 <> 0 THEN concat(',"type":"', event_type, '.v', event_id % 2 + 1, '"') ELSE '' END, '}') AS value FROM events""")
+def encode_json(s, d):
+    spaced = F.replace(F.col("payload"), F.lit(","), F.lit(" ,\n "))
+    return logs.event_log(s, d).select("event_id", decode.encode(spaced).cast("string").alias("value"))
+
+
+@query("binary_extractor", f"""WITH {LOG} SELECT part, off, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 11 <> 0 THEN event_type END AS type FROM log WHERE event_id % 10 <> 7""")
+def binary_extractor(s, d):
+    """Payloads whose number ends in 7 are unreadable to this extractor."""
+
+    def extract(payload):
+        text = payload.cast("string")
+        type_ = F.nullif(F.regexp_extract(text, r'"type":"(\w+)\.', 1), F.lit(""))
+        return F.when(~text.rlike(r'"seq":\d*7\b'), F.struct(F.regexp_extract(text, r'"seq":(\d+)', 1).alias("id"), type_.alias("type")))
+
+    return decode.extracted(logs.event_log(s, d).withColumn("payload", F.col("payload").cast("binary")), extract).select("part", "off", "id", "type")
+
+
 @query("filter_stale", f"""WITH {LOG}, arr AS (SELECT part, off, off * 1000 AS arrival FROM log UNION ALL SELECT part, off, (off + 10) * 1000 + 1 FROM log WHERE off % 50 = 0)
 SELECT part, off, arrival, off <= coalesce(max(off) OVER (PARTITION BY part ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS stale FROM arr""")
 def filter_stale(s, d):
@@ -203,17 +222,23 @@ def dedup_ttl(s, d):
     return dedup.with_ttl(_ids(s, d).select("topic", "part", "key", "off", "ts_us", "id", "outcome"), 6 * 3600).select("part", "off")
 
 
-CODES = ["Fatal", "BadMessage", "RequestTimedOut", "Fenced", "InvalidRecord", "BrokerTransportFailure", "MessageSizeTooLarge", "LeaderNotAvailable", "Syntax", "Config", "Io", "Oversize"]
-FAMILIES = ["broker"] * 8 + ["store", "producer", "io", "store"]
+#: Errors of each family with the category they must have.
+ERRORS = [
+    *[("broker", c, "terminal") for c in ("Fatal", "Fenced", "FencedInstanceId", "ProducerFenced", "CriticalSystemResource")],
+    *[("broker", c, "permanent") for c in ("BadMessage", "InvalidMessage", "InvalidRecord", "MessageSizeTooLarge", "InvalidMessageSize", "KeySerialization", "ValueSerialization", "KeyDeserialization", "ValueDeserialization", "BadCompression", "UnsupportedCompressionType", "InvalidTimestamp", "InvalidDifferentRecord")],
+    *[("broker", c, "transient") for c in ("RequestTimedOut", "BrokerTransportFailure", "LeaderNotAvailable", "NotCoordinator", "QueueFull")],
+    ("store", "Syntax", "terminal"), ("store", "Invalid", "terminal"), ("store", "TypeCheck", "terminal"), ("store", "Serialization", "permanent"), ("store", "Oversize", "permanent"), ("store", "Timeout", "transient"),
+    ("producer", "Config", "terminal"), ("producer", "Hostname", "terminal"), ("producer", "Serialization", "permanent"), ("producer", "Clock", "transient"),
+    ("infallible", "Infallible", "terminal"), ("io", "Io", "transient"), ("defer", "Config", "terminal"), ("context", "InvalidContext", "permanent"),
+]
+ERRORS_SQL = ", ".join(f"({i}, '{f}', '{c}', '{k}')" for i, (f, c, k) in enumerate(ERRORS))
 
 
-@query("classify_errors", f"""SELECT family, code, CASE WHEN code IN ('Fatal', 'Fenced') OR (family, code) IN (('store', 'Syntax'), ('producer', 'Config')) THEN 'terminal'
- WHEN code IN ('BadMessage', 'InvalidRecord', 'MessageSizeTooLarge', 'Oversize') THEN 'permanent' ELSE 'transient' END AS category, count(*) AS n
-FROM (SELECT {FAMILIES}[event_id % 12 + 1] AS family, {CODES}[event_id % 12 + 1] AS code FROM events) GROUP BY 1, 2, 3""")
+@query("classify_errors", f"SELECT family, code, category, count(*) AS n FROM events JOIN (VALUES {ERRORS_SQL}) e(i, family, code, category) ON event_id % {len(ERRORS)} = i GROUP BY 1, 2, 3")
 def classify_errors(s, d):
-    at = (F.col("event_id") % 12 + 1).cast("int")
-    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), at)
-    rows = logs.event_log(s, d).select(pick(FAMILIES).alias("family"), pick(CODES).alias("code"))
+    at = (F.col("event_id") % len(ERRORS) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(e[k]) for e in ERRORS]), at)
+    rows = logs.event_log(s, d).select(pick(0).alias("family"), pick(1).alias("code"))
     return rows.groupBy("family", "code", outcome.classify(F.col("family"), F.col("code")).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -269,6 +294,13 @@ def timer_slab_assign(s, d):
     return timers.with_slab(_timers(s, d), SLAB)
 
 
+@query("slab_neighbours", f"WITH {LOG}, sl AS (SELECT DISTINCT CASE WHEN off % 5 = 0 THEN 0 WHEN off % 5 = 1 THEN 4294967295 ELSE ts_us // 3600000000 END AS slab_id FROM log) SELECT slab_id, CASE WHEN slab_id < 4294967295 THEN slab_id + 1 END AS following, CASE WHEN slab_id > 0 THEN slab_id - 1 END AS previous, CASE WHEN slab_id <= 4294967195 THEN slab_id + 100 END AS later FROM sl")
+def slab_neighbours(s, d):
+    slab = F.when(F.col("off") % 5 == 0, 0).when(F.col("off") % 5 == 1, fn.MAX_SECONDS).otherwise(F.floor(F.col("ts_us") / 3_600_000_000))
+    slabs = logs.event_log(s, d).select(slab.alias("slab_id")).distinct()
+    return slabs.select("slab_id", *[fn.slab_plus(F.col("slab_id"), n).alias(name) for n, name in ((1, "following"), (-1, "previous"), (100, "later"))])
+
+
 @query("timer_slab_scan", f"WITH {LOG}, {CMD}, {TIM} SELECT part, key, timer_type, time_s FROM tim WHERE time_s // {SLAB} BETWEEN 473500 AND 473800")
 def timer_slab_scan(s, d):
     return timers.slab_scan(timers.with_slab(_timers(s, d), SLAB), 473_500, 473_800).select("part", "key", "timer_type", "time_s")
@@ -432,6 +464,14 @@ def deferred_load_join(s, d):
     return logs.load(want, logs.event_log(s, d).where("off % 97 <> 0")).select("part", "off", "key", "status")
 
 
+@query("load_undecodable", f"""WITH {LOG}, {QUEUE}, broken AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN left(payload, 5) ELSE payload END AS found FROM log WHERE off % 97 <> 0)
+SELECT q.part, q.off, CASE WHEN b.off IS NULL THEN 'deleted' WHEN NOT json_valid(b.found) THEN 'undecodable' ELSE 'found' END AS status FROM queue q LEFT JOIN broken b USING (part, off)""")
+def load_undecodable(s, d):
+    broken = F.when(F.col("event_id") % 5 == 0, F.expr("left(payload, 5)")).otherwise(F.col("payload"))
+    log = logs.event_log(s, d).where("off % 97 <> 0").withColumn("payload", broken)
+    return logs.load(_queue(s, d).select("topic", "part", "off", "key"), log).select("part", "off", "status")
+
+
 @query("deferred_routing", f"WITH {LOG}, k AS (SELECT DISTINCT part, key FROM log WHERE outcome = 'transient') SELECT part, key, k.key IS NOT NULL AS queued, count(*) AS n FROM log l LEFT JOIN k USING (part, key) GROUP BY 1, 2, 3")
 def deferred_routing(s, d):
     log = logs.event_log(s, d)
@@ -462,9 +502,9 @@ BUSY = "[0, 1, 3, 7]"
 ARRIVALS = """arr AS (SELECT part, key, off AS ord, off, ts_us // 1000000 AS at_s, outcome, event_id % 4 AS fails FROM log)"""
 
 
-def _replay_sql(source: str) -> str:
+def _replay_sql(source: str, base: int = 3600) -> str:
     """Recursion over each key's messages: a queue lasts until its messages' tries have ended."""
-    took = f"{BUSY}[fails + 1] * 3600"
+    took = f"{BUSY}[fails + 1] * {base}"
     return f"""o AS (SELECT *, {took} AS took, row_number() OVER (PARTITION BY part, key ORDER BY ord) AS r FROM {source}),
 f AS (SELECT part, key, r, CASE WHEN outcome = 'transient' THEN 'deferred' ELSE 'handled' END AS action, CASE WHEN outcome = 'transient' THEN at_s + took END AS done_s FROM o WHERE r = 1
  UNION ALL SELECT o.part, o.key, o.r, CASE WHEN o.at_s < coalesce(f.done_s, -1) THEN 'queued' WHEN o.outcome = 'transient' THEN 'deferred' ELSE 'handled' END,
@@ -496,9 +536,64 @@ FIRED = """fired AS (SELECT part, key, time_s AS ord, time_s AS at_s, CASE WHEN
 @query("timer_defer_replay", f"WITH RECURSIVE {LOG}, {CMD}, {TIM}, {FIRED}, {_replay_sql('fired')} SELECT part, key, ord AS original_time_s, action, done_s FROM replayed")
 def timer_defer_replay(s, d):
     """Application timers whose handler fails transiently wait in their key's queue under their original time."""
+    return _replayed_timers(s, d).select("part", "key", F.col("ord").alias("original_time_s"), "action", "done_s")
+
+
+def _replayed_timers(s, d):
     minute = F.floor(F.col("time_s") / 60)
     fired = _timers(s, d).where("timer_type = 0").select("part", "key", F.col("time_s").alias("ord"), F.col("time_s").alias("at_s"), F.when(minute % 3 == 0, "transient").otherwise("success").alias("outcome"), (minute % 4).alias("fails"))
-    return defer.replay(fired, ("part", "key"), base_s=3600).select("part", "key", F.col("ord").alias("original_time_s"), "action", "done_s")
+    return defer.replay(fired, ("part", "key"), base_s=3600)
+
+
+WAITING_S = 1_705_000_000
+WAITING = f"waiting AS (SELECT * FROM replayed WHERE action IN ('deferred', 'queued') AND at_s <= {WAITING_S} AND done_s > {WAITING_S})"
+
+
+@query("deferred_times", f"WITH RECURSIVE {LOG}, {CMD}, {TIM}, {FIRED}, {_replay_sql('fired')}, {WAITING} SELECT part, key, ord AS original_time_s FROM waiting")
+def deferred_times(s, d):
+    return defer.waiting_at(_replayed_timers(s, d), WAITING_S).select("part", "key", F.col("ord").alias("original_time_s"))
+
+
+@query("timer_defer_heads", f"""WITH RECURSIVE {LOG}, {CMD}, {TIM}, {FIRED}, {_replay_sql('fired')}, {WAITING}
+SELECT part, key, min(ord) AS head_s, count(*) AS waiting, CASE WHEN greatest(min(ord) - {WAITING_S - 9000}, 0) + 630716000 < 630720000 THEN greatest(min(ord) - {WAITING_S - 9000}, 0) + 630716000 END AS ttl_s FROM waiting GROUP BY 1, 2""")
+def timer_defer_heads(s, d):
+    return defer.timer_heads(defer.waiting_at(_replayed_timers(s, d), WAITING_S), WAITING_S - 9000, 630_716_000)
+
+
+class _Scripted(runtime.KeyHandler):
+    """A call on arrival ends as the payload says; then so many tries from the queue fail as its number says."""
+
+    def __init__(self):
+        self.tries: dict[int, int] = {}
+
+    def on_message(self, context, message):
+        result, fails = message.payload.split()
+        if context.demand == "failure":
+            self.tries[message.off] = self.tries.get(message.off, 0) + 1
+            if self.tries[message.off] <= int(fails):
+                raise runtime.HandlerError
+        elif result != "success":
+            raise runtime.PermanentError if result == "permanent" else runtime.HandlerError
+
+
+@query("handler_run", f"""WITH RECURSIVE {LOG}, arr AS (SELECT part, key, off AS ord, off, ts_us // 1000 AS at_s, outcome, event_id % 4 AS fails FROM log), {_replay_sql('arr', 3_600_000)},
+a AS (SELECT *, unnest(range(0, fails + 1)) AS attempt FROM replayed WHERE action IN ('deferred', 'queued'))
+SELECT part, key, off, at_s AS at_ms, 'normal' AS demand, CASE WHEN action = 'handled' THEN outcome END AS outcome, CASE WHEN action = 'handled' THEN 'done' ELSE action END AS action FROM replayed
+UNION ALL SELECT part, key, off, done_s - took + {BUSY}[attempt + 1] * 3600000, 'failure', CASE WHEN attempt < fails THEN 'transient' ELSE 'success' END, CASE WHEN attempt < fails THEN 'deferred' ELSE 'done' END FROM a""")
+def handler_run(s, d):
+    """Every call of a handler over the log, those from its queues included."""
+    told = F.concat("outcome", F.lit(" "), (F.col("event_id") % 4).cast("string"))
+    log = logs.event_log(s, d).withColumn("id", F.lit(None).cast("string")).withColumn("payload", told)
+    rows = runtime.run(log, _Scripted, runtime.Policy(dedup_ttl_s=0, defer_base_s=3600), NOW_MS * 2)
+    return rows.select("part", "key", F.col("id").alias("off"), "at_ms", "demand", "outcome", "action")
+
+
+@query("mode_handled", f"""WITH {LOG}, {IDS}, {DROPS}, i AS (SELECT *, id IS NOT NULL AS by_id, coalesce(id, CAST(off AS VARCHAR)) AS identity FROM drops WHERE reason IS NULL)
+SELECT part, off, CASE WHEN row_number() OVER (PARTITION BY part, key, by_id, identity ORDER BY off) = 1 THEN 'done' ELSE 'duplicate' END AS action FROM i""")
+def mode_handled(s, d):
+    """Filters, then a handler that succeeds behind deduplication: each identity reaches it once."""
+    rows = modes.handled(logs.event_log(s, d), runtime.KeyHandler, _settings(), runtime.Policy(dedup_ttl_s=630_720_000))
+    return rows.select("part", F.col("id").alias("off"), "action")
 
 
 @query("defer_strategies", f"""WITH {LOG}, r AS (SELECT *, event_id % 100 / 100.0 AS rate FROM log WHERE outcome = 'transient')
@@ -560,7 +655,7 @@ def delete_records(s, d):
     return logs.delete_records(logs.event_log(s, d), {0: 100, 2: 50}).groupBy("part").agg(F.count("*").alias("n"), F.min("off").alias("first_off"))
 
 
-@query("missing_topics", "SELECT * FROM (VALUES ('unknown_type')) t(topic)")
+@query("missing_topics", "SELECT DISTINCT topic FROM (VALUES ('click'), ('^vi.*'), ('unknown_type'), ('view')) t(topic) WHERE NOT starts_with(topic, '^') AND topic NOT IN (SELECT event_type FROM events)")
 def missing_topics(s, d):
     existing = logs.event_log(s, d).select(F.col("event_type").alias("topic")).distinct()
     return logs.missing_topics(s.createDataFrame([("click",), ("^vi.*",), ("unknown_type",), ("view",)], "topic string"), existing)
@@ -598,7 +693,8 @@ def pending_migrations(s, d):
     return migrations.ordered(migrations.pending(_files(s), applied)).select("filename", migrations.checksum(migrations.substituted(F.col("sql"), {"ks": "app"})).alias("checksum"))
 
 
-@query("validated_migrations", "SELECT * FROM (VALUES ('20251126_create_offsets.cql', 'ok'), ('20260319_create_dedup.cql', 'changed'), ('20240101_gone.cql', 'unknown')) t(filename, status)")
+@query("validated_migrations", f"""WITH {FILES_SQL}, applied AS (SELECT filename, CASE WHEN filename LIKE '2026%' THEN 'other' ELSE sha256(sql) END AS checksum FROM f WHERE filename NOT LIKE '202506%' UNION ALL SELECT '20240101_gone.cql', 'x')
+SELECT a.filename, CASE WHEN f.filename IS NULL THEN 'unknown' WHEN a.checksum <> sha256(f.sql) THEN 'changed' ELSE 'ok' END AS status FROM applied a LEFT JOIN f USING (filename)""")
 def validated_migrations(s, d):
     import hashlib
 
@@ -607,7 +703,7 @@ def validated_migrations(s, d):
     return migrations.validated(_files(s), applied)
 
 
-@query("migration_statements", "SELECT * FROM (VALUES ('20250613_create_timers.cql', 2), ('20251126_create_offsets.cql', 1), ('20260319_create_dedup.cql', 1)) t(filename, n)")
+@query("migration_statements", f"WITH {FILES_SQL} SELECT filename, CAST(len(list_filter(string_split(sql, chr(10)), lambda l: regexp_matches(l, ';\\s*$') AND NOT starts_with(trim(l), '--'))) AS INT) AS n FROM f")
 def migration_statements(s, d):
     return _files(s).select("filename", F.size(migrations.statements(F.col("sql"))).alias("n"))
 
@@ -618,6 +714,12 @@ def upgraded_timers(s, d):
     return migrations.upgraded_timers(v1, 3600)
 
 
+@query("backfilled_key_states", f"""WITH {LOG}, {CMD}, {TIM}, st AS (SELECT part, key, timer_type, count(*) AS n, max(time_s) AS latest_s FROM tim GROUP BY 1, 2, 3)
+SELECT part, key, timer_type, CASE WHEN n = 1 THEN 'inline' ELSE 'overflow' END AS state, CASE WHEN n = 1 THEN latest_s END AS inline_s, CASE WHEN greatest(latest_s - 1705000000, 0) + 630000000 < 630720000 THEN greatest(latest_s - 1705000000, 0) + 630000000 END AS ttl_s FROM st""")
+def backfilled_key_states(s, d):
+    return migrations.backfilled_states(_timers(s, d), 1_705_000_000, 630_000_000)
+
+
 def _settings():
     return ConsumerSettings(group_id=GROUP, allowed_events=PREFIXES)
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrand.config import ConsumerSettings, MonopolizationSettings
-from keystrand.operators import decode, dedup, filters, offsets, outcome, windows
+from keystrand.config import ConsumerSettings, DedupSettings, DeferSettings, MonopolizationSettings, RetrySettings
+from keystrand.operators import decode, dedup, filters, offsets, outcome, runtime, windows
+from keystrand.operators.runtime import KeyHandler, Policy
 from keystrand.sources import sinks
 from keystrand.sources.log import kafka_log
-from keystrand.streaming.processors import dedup_stream
+from keystrand.streaming.processors import dedup_stream, handler_stream
 
 #: A handler adds column outcome (success, transient, permanent, terminal) to accepted rows.
 Handler = Callable[[DataFrame], DataFrame]
@@ -43,6 +45,23 @@ def pipeline(log: DataFrame, handler: Handler, settings: ConsumerSettings, dedup
     return _resolved(rows, "pipeline")
 
 
+def policy_of(retry: RetrySettings, defer: DeferSettings, gate: MonopolizationSettings, dedup_settings: DedupSettings) -> Policy:
+    """The handler stack's policy from the settings of pipeline mode."""
+    return Policy(
+        dedup_ttl_s=int(dedup_settings.ttl_s) if dedup_settings.cache_size else 0, defers=defer.enabled, defer_base_s=int(defer.base_s), defer_max_s=int(defer.max_s),
+        gate_share=gate.threshold if gate.enabled else None, gate_window_ms=int(gate.window_s * 1000), retry_base_ms=int(retry.base_s * 1000), retry_max_ms=int(retry.max_delay_s * 1000),
+    )
+
+
+def handled(log: DataFrame, handler: Callable[[], KeyHandler], settings: ConsumerSettings, policy: Policy | None = None, until_ms: int | None = None) -> DataFrame:
+    """Pipeline mode around a handler with timers and hooks: the filters, then its stack for each key; what became of each event.
+
+    A stream runs on processing time, a table on the clock of its messages and then until until_ms.
+    """
+    rows = prepared(log, settings)
+    return handler_stream(rows, handler, policy) if rows.isStreaming else runtime.run(rows, handler, policy, until_ms)
+
+
 def low_latency(log: DataFrame, handler: Handler, settings: ConsumerSettings) -> DataFrame:
     """Filters and handler; failures other than terminal ones go to the failure topic (failures())."""
     return _resolved(handler(prepared(log, settings)), "low-latency")
@@ -78,7 +97,7 @@ class Engine:
             log = decode.decode(kafka_log(self.spark, self.servers, self.settings.topics or [], options={"maxOffsetsPerTrigger": str(self.settings.max_uncommitted * 1000)}))
         writer = plan(log).writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"}))
         self.query = (writer.foreachBatch(sink) if sink else writer.format("noop")).start()
-        self.state = State.RUNNING
+        self.state, self._heard = State.RUNNING, datetime.now(UTC)
         return self.query
 
     def unsubscribe(self) -> None:
@@ -95,7 +114,17 @@ class Engine:
         return self.query is not None and self.query.isActive and self.query.lastProgress is not None
 
     def live(self) -> bool:
-        return self.query is None or self.query.exception() is None
+        """No error, and a sign of life within the stall threshold."""
+        return self.query is None or (self.query.exception() is None and not self.stalled())
+
+    def stalled(self, now: datetime | None = None) -> bool:
+        """The query's last progress, or its start, is further back than the stall threshold."""
+        if self.query is None:
+            return False
+        progress = self.query.lastProgress
+        if progress is not None:
+            self._heard = max(self._heard, datetime.fromisoformat(progress["timestamp"]) + timedelta(milliseconds=progress["batchDuration"]))
+        return ((now or datetime.now(UTC)) - self._heard).total_seconds() > self.settings.stall_threshold_s
 
     @staticmethod
     def watermarks(resolved: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keystrand.operators.decode import reject_reason
+
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 #: Constant "now" of the canonical log, 2024-01-31T00:00:00Z.
 NOW_US = 1_706_659_200_000_000
@@ -51,15 +53,15 @@ def missing_topics(configured: DataFrame, existing: DataFrame) -> DataFrame:
     return configured.where(~F.startswith("topic", F.lit("^"))).select("topic").distinct().join(existing.select("topic"), "topic", "left_anti")
 
 
-def load(wanted: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows (topic, part, off, key, ...) wanted, with the log's payload and a status: found, deleted or key_mismatch.
+def load(wanted: DataFrame, log: DataFrame, codec: str = "json") -> DataFrame:
+    """Rows (topic, part, off, key, ...) wanted, with the log's payload and a status: found, deleted, key_mismatch or undecodable.
 
-    Requests for one offset are joined once and fanned out again.
+    Requests for one offset are joined once and fanned out again. What can't be decoded is a permanent failure.
     """
     at = ["topic", "part", "off"]
-    found = wanted.select(*at).distinct().join(log.select(*at, F.col("key").alias("_log_key"), "payload"), at)
-    status = F.when(F.col("_log_key").isNull(), "deleted").when(F.col("_log_key") != F.col("key"), "key_mismatch").otherwise("found")
-    return wanted.join(found, at, "left").withColumn("status", status).drop("_log_key")
+    found = wanted.select(*at).distinct().join(log.select(*at, F.col("off").alias("_log_off"), F.col("key").alias("_log_key"), "payload", reject_reason(F.col("key"), F.col("payload"), codec).alias("_bad")), at)
+    status = F.when(F.col("_log_off").isNull(), "deleted").when(F.col("_bad").isNotNull(), "undecodable").when(F.col("_log_key") != F.col("key"), "key_mismatch").otherwise("found")
+    return wanted.join(found, at, "left").withColumn("status", status).drop("_log_off", "_log_key", "_bad")
 
 
 def delete_records(log: DataFrame, before: dict[int, int]) -> DataFrame:

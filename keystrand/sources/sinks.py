@@ -34,7 +34,16 @@ def failure_records(outcomes: DataFrame, group: str, failure_topic: str) -> Data
     return failed.select(F.lit(failure_topic).alias("topic"), F.col("key").cast("binary").alias("key"), F.col("payload").cast("binary").alias("value"), headers.alias("headers"))
 
 
-def write_kafka(records: DataFrame, servers: str, options: dict[str, str] | None = None) -> None:
-    """Append records to Kafka with the producer's fixed settings; needs the connector package."""
-    settings = {"kafka.bootstrap.servers": servers, "kafka.compression.type": "lz4", "kafka.enable.idempotence": "true", "includeHeaders": "true"} | (options or {})
+def producer_options(servers: str, mode: str = "pipeline", send_timeout_s: float = 1.0) -> dict[str, str]:
+    """Settings of the producer: pipeline mode waits without end, the others send_timeout_s for a delivery."""
+    fixed = {"kafka.bootstrap.servers": servers, "kafka.compression.type": "lz4", "kafka.enable.idempotence": "true", "includeHeaders": "true"}
+    if mode == "pipeline":
+        return fixed | {"kafka.delivery.timeout.ms": str(2**31 - 1)}
+    ms = str(int(send_timeout_s * 1000))  # a request may take no longer than a delivery
+    return fixed | {"kafka.delivery.timeout.ms": ms, "kafka.request.timeout.ms": ms, "kafka.linger.ms": "0"}
+
+
+def write_kafka(records: DataFrame, servers: str, options: dict[str, str] | None = None, mode: str = "pipeline") -> None:
+    """Append records to Kafka with the mode's settings; needs the connector package."""
+    settings = producer_options(servers, mode) | (options or {})
     records.write.format("kafka").options(**settings).save()
