@@ -225,3 +225,60 @@ def test_settings():
     with pytest.raises(ValueError):
         StorageSettings(retention_s=1e9)
     assert Engine(None, ConsumerSettings()).state is State.CONFIGURATION_FAILED
+
+
+def test_mode_settings_validate_what_the_mode_needs():
+    from keystrand.config import FailureTopicSettings, ModeSettings
+
+    env = {"K_GROUP_ID": "g", "K_SUBSCRIBED_TOPICS": "a, b", "K_FAILURE_TOPIC": "failed", "K_KEYSPACE": "ks", "K_DEFER_BASE": "2s"}
+    low = ModeSettings.from_env("low-latency", prefix="K_", env=env)
+    assert low.topics() == ["a", "b", "failed"] and "defer" not in low.parts and low.store_path("/t", "timers") == "/t/ks/timers"
+    pipe = ModeSettings.from_env("pipeline", mock=True, prefix="K_", env=env)
+    assert pipe.topics() == ["a", "b"] and pipe.parts["defer"].base_s == 2 and pipe.storage is None and pipe.store_path("/t", "timers") is None
+    assert set(ModeSettings.from_env("best-effort", prefix="K_", env=env).parts) == {"scheduler"}
+    for mode, bad in (("low-latency", {"K_GROUP_ID": "g"}), ("pipeline", {}), ("pipeline", {"K_GROUP_ID": "g", "K_DEDUP_TTL": "1s"}), ("other", env)):
+        with pytest.raises(ValueError):
+            ModeSettings.from_env(mode, prefix="K_", env=bad)
+    assert ModeSettings.from_env("best-effort", prefix="K_", env={"K_GROUP_ID": "g", "K_DEDUP_TTL": "1s"})  # not a setting of this mode
+    with pytest.raises(ValueError):
+        FailureTopicSettings()
+
+
+def test_policy_of_settings():
+    from keystrand.config import DedupSettings, MonopolizationSettings, RetrySettings
+    from keystrand.plans.modes import policy_of
+
+    policy = policy_of(RetrySettings(), DeferSettings(enabled=False), MonopolizationSettings(enabled=False), DedupSettings(cache_size=0))
+    assert (policy.dedup_ttl_s, policy.defers, policy.gate_share, policy.retry_base_ms, policy.retry_max_ms) == (0, False, None, 20, 300_000)
+    assert policy_of(RetrySettings(), DeferSettings(), MonopolizationSettings(), DedupSettings()).gate_share == 0.9
+
+
+def test_producers_wait_by_mode():
+    from keystrand.sources.sinks import producer_options
+
+    assert producer_options("h:1")["kafka.delivery.timeout.ms"] == "2147483647"
+    assert producer_options("h:1", "low-latency")["kafka.delivery.timeout.ms"] == "1000" == producer_options("h:1", "best-effort")["kafka.request.timeout.ms"]
+
+
+def test_a_silent_query_is_stalled():
+    from datetime import UTC, datetime, timedelta
+
+    class Query:
+        lastProgress = {"timestamp": "2024-01-01T00:00:00.000Z", "batchDuration": 500}
+
+    engine = Engine(None, ConsumerSettings(group_id="g", stall_threshold_s=60))
+    assert not engine.stalled() and engine.live()
+    engine.query, engine._heard = Query(), datetime(2024, 1, 1, tzinfo=UTC)
+    assert not engine.stalled(datetime(2024, 1, 1, 0, 1, tzinfo=UTC))
+    assert engine.stalled(datetime(2024, 1, 1, 0, 1, 1, tzinfo=UTC))
+    Query.lastProgress = None
+    engine._heard = datetime.now(UTC) - timedelta(seconds=30)
+    assert not engine.stalled()
+
+
+@pytest.mark.parametrize(("codec", "payload", "want"), [("json", '{"b": 1, "a": [ ]}', b'{"a":[],"b":1}'), ("json", "{", None), ("json", None, None), ("binary", "{", b"{"), ("json_binary", "x", b"x")])
+def test_encode(spark, codec, payload, want):
+    found = one(spark, decode.encode(F.lit(payload).cast("string"), codec))
+    assert (None if found is None else bytes(found)) == want
+    with pytest.raises(ValueError):
+        decode.encode(F.lit("x"), "xml")
