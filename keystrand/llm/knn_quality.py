@@ -30,6 +30,8 @@ REPEATS = 6
 WIDTH = SHAPES + PAIRS + WORDS + REPEATS
 #: Share of each block in the squared length of a vector.
 SHARES = (0.35, 0.2, 0.1, 0.35)
+#: Cosines that differ by less are equal: rounding of the products depends on the shape of a block.
+TIE = 1e-6
 #: Documents in a block of the products.
 BLOCK = 512
 
@@ -103,7 +105,8 @@ class Model:
     prior: float
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors, for each row."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors, for each row; all that are as near as the last
+        of them vote too, so their order doesn't matter."""
         if not len(self.votes):
             return np.full(len(features), self.prior)
         folded = _unit(features @ self.basis)
@@ -111,11 +114,13 @@ class Model:
         k = min(NEIGHBOURS, len(self.votes))
         for at in range(0, len(features), BLOCK):
             cosine = folded[at : at + BLOCK] @ self.vectors.T
-            near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            weight = np.clip(np.take_along_axis(cosine, near, 1), 0, None).astype(np.float64) ** SHARPNESS
+            last = np.partition(cosine, len(self.votes) - k, axis=1)[:, len(self.votes) - k]
+            row, near = np.nonzero(cosine >= last[:, None] - TIE)
+            weight = np.clip(cosine[row, near], 0, None).astype(np.float64) ** SHARPNESS
             votes = self.votes[near]
             weight *= np.where(votes > 0.5, 1.0, self.prior / max(1e-6, 1 - self.prior))  # the rarer label's votes count for more
-            out[at : at + BLOCK] = ((weight * votes).sum(1) + 1e-3 * self.prior) / (weight.sum(1) + 1e-3)
+            total = lambda w, n=len(cosine): np.bincount(row, w, minlength=n)  # noqa: B023, E731
+            out[at : at + BLOCK] = (total(weight * votes) + 1e-3 * self.prior) / (total(weight) + 1e-3)
         return np.where(np.abs(features).sum(1) > 0, out, 0.0)  # a text without tokens has no neighbours and no use
 
 
@@ -145,8 +150,8 @@ def fit(labelled: DataFrame, label: str = "quality", rank: int = RANK) -> Model:
 def score(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of `documents` but the text, plus score (0 to 1).
 
-    Only the text is looked at, whole. Null and blank texts score 0. Ties among neighbours are broken by the order of the
-    labelled vectors, which is sorted. Repeated rows score alike; a column named score is replaced.
+    Only the text is looked at, whole. Null and blank texts score 0. Labelled vectors as near as the last neighbour all vote.
+    Repeated rows score alike; a column named score is replaced.
     """
     keep = [f for f in documents.schema.fields if f.name not in (text_col, "score")]
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType())])
