@@ -1,12 +1,13 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts every token, then every pair of neighbours, once or more often. Token counts stay exact. Pair counts are
-quantised to powers of two; a pair of level q goes into the filter q times, as (pair, 1) to (pair, q), so a count comes back by
-probing level after level until one misses. Pairs meet in groups by their hash; a group adds up its counts and builds its
-segment of the filter, with BITS_PER_ENTRY bits for every entry. Segments are broadcast together, in parts of bounded size: each part
-scores the pairs that belong to it in a scan of its own, and as a text's score is the sum over its tokens the parts' sums add
-up. A token's probability mixes the filter's pair estimate with the exact add-one unigram; how much, by the predecessor's
-count, is fitted on all training pairs with one occurrence taken out.
+Texts are read and split once, into chunks: the codes of a bounded number of tokens, packed, with the hashes of the chunk's
+distinct tokens. Training counts every token, then every pair of neighbours, once or more often. Token counts stay exact. Pair
+counts are quantised to powers of two; a pair of level q goes into the filter q times, as (pair, 1) to (pair, q), so a count
+comes back by probing level after level until one misses. Pairs meet in groups by their hash; a group adds up its counts and
+builds its segment of the filter, with BITS_PER_ENTRY bits for every entry. No segment leaves its group: a chunk sends each group
+the distinct pairs it asks about and gets their levels back, so what a task holds is bounded by a chunk or a group, at any size
+of the filter. A token's probability mixes the filter's pair estimate with the exact add-one unigram; how much, by the
+predecessor's count, is fitted on all training pairs with one occurrence taken out.
 """
 
 from __future__ import annotations
@@ -17,26 +18,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import cut
+from .common import cut, discard
 
-#: Exact token counts up to which they are broadcast (12 bytes each); beyond it they are joined by token.
+#: Exact token counts that are broadcast, the largest ones (12 bytes each); the others are joined by token.
 MAX_BROADCAST_TOKENS = 8_000_000
-#: Bits for each entry, bound of a part of the filter (128 MB), and bits of an entry, all in one word.
+#: Bits for each entry, bound of a part of the filter that is looked at as one (128 MB), and bits of an entry, all in one word.
 BITS_PER_ENTRY = 16
 MAX_PART_BITS = 1 << 30
 PROBES = 4
 #: Training tokens whose pairs meet in a group, about.
 GROUP_TOKENS = 500_000
 MAX_LEVEL = 62
-#: Pairs a task gathers before it hands on their counts.
-FLUSH = 750_000
+#: Tokens of a chunk, about, and its distinct tokens: a chunk ends with the text that reaches either.
+CHUNK_TOKENS = 1_500_000
+CHUNK_TYPES = 250_000
 BUCKETS = 32
-#: Tokens scored at a time, about.
-BLOCK_TOKENS = 100_000
 #: Weights tried (never 0: a pair that was seen always counts), and the bins (STEPS for each doubling) of the ratio of both
 #: estimates by which their gain is added up.
 GRID = np.linspace(0.02, 0.98, 25)
@@ -85,36 +87,6 @@ class Codes(dict):
         return code
 
 
-class Tokens:
-    """Codes of tokens seen by a worker, with their hashes and training counts; forgets all when it has too many."""
-
-    def __init__(self, bound: int = 250_000):
-        self.bound = bound
-        self.forget()
-
-    def codes(self, tokens: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(self.code.__getitem__, tokens), np.int64, len(tokens))
-        if fresh := self.code.fresh:
-            first = len(self.code) - len(fresh)
-            while len(self.code) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.hashes[first : len(self.code)] = [hash_of(t) for t in fresh]
-            fresh.clear()
-        return found
-
-    def numbers(self, model: Model) -> np.ndarray:
-        """Exact training counts by code."""
-        if len(self.counted) < len(self.code):
-            self.counted = np.concatenate([self.counted, model.unigram(self.hashes[len(self.counted) : len(self.code)])])
-        return self.counted
-
-    def forget(self) -> None:
-        self.code, self.hashes, self.counted = Codes(), np.zeros(1 << 12, np.uint64), np.zeros(0, np.int64)
-
-    def full(self) -> bool:
-        return len(self.code) > self.bound
-
-
 def packed(x: np.ndarray) -> bytes:
     """The low five bytes of each number: with the group's bits above them one collision in 10^5 pairs at 10^9 pairs."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -200,45 +172,168 @@ def segment(key: np.ndarray, group: int, level: np.ndarray) -> np.ndarray:
     return part
 
 
-def token_counts(train: DataFrame) -> DataFrame:
-    """(h, n): hashes of tokens with their exact training counts."""
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers under 2^32, byte by byte of all of them, compressed."""
+    return _ZSTD.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(_ZSTD.decompress(data, 4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel()
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _row(documents: DataFrame, text_col: str) -> Column:
+    """All columns but the text as one."""
+    return F.struct(*[F.col(f"`{f.name}`") for f in documents.schema.fields if f.name != text_col], F.lit(0).alias("_pad")).alias("_row")
+
+
+def encode(documents: DataFrame, text_col: str = "text", train: Column | None = None) -> DataFrame:
+    """Chunks of whole texts: (chunk, rows, n_rows, sizes, train, n, codes, hashes).
+
+    rows: all columns but the text; sizes: tokens of each text; train: whether it belongs to the training texts (all, if it isn't
+    given); codes: n tokens as places in hashes, the chunk's distinct ones.
+    """
+    flag = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    rows = documents.select(_row(documents, text_col), F.col(f"`{text_col}`").alias("text"), flag.alias("train"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, total = Tokens(), np.zeros(0, np.int64)
+        first, chunk = TaskContext.get().partitionId() << 32, 0
+        codes, held, kept, flags, size = Codes(), [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            some = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(made.hashes[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
+            hashes = np.fromiter(map(hash_of, codes.fresh), np.uint64, len(codes.fresh))
+            table = pa.Table.from_batches(kept)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            values = (first + chunk, sink.getvalue().to_pybytes(), len(held), squeezed(np.array([len(x) for x in held])), np.concatenate(flags).tobytes(), size, squeezed(np.concatenate(held)), hashes.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, CHUNK_TYPES_OF, strict=True)], names=CHUNK_COLUMNS)
 
         for batch in batches:
-            texts = batch.column(0)
-            for at in range(0, len(texts), 64):
-                more = np.bincount(np.concatenate([made.codes(tokens_of(x.as_py())) for x in texts.slice(at, 64)]), minlength=len(total))
-                more[: len(total)] += total
-                total = more
-                if made.full():
+            texts, of = batch.column(1), pa.RecordBatch.from_arrays([batch.column(0)], names=["_row"])
+            flagged = np.asarray(batch.column(2)).astype(np.uint8)
+            begin = 0
+            for at in range(len(texts)):
+                words = tokens_of(texts[at].as_py())
+                held.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
+                size += len(words)
+                if size >= CHUNK_TOKENS or len(codes) >= CHUNK_TYPES or at == len(texts) - 1:
+                    kept.append(of.slice(begin, at + 1 - begin))
+                    flags.append(flagged[begin : at + 1])
+                    begin = at + 1
+                if size >= CHUNK_TOKENS or len(codes) >= CHUNK_TYPES:
                     yield out()
-                    made, total = Tokens(), np.zeros(0, np.int64)
-        yield out()
+                    codes, held, kept, flags, size, chunk = Codes(), [], [], [], 0, chunk + 1
+        if held:
+            yield out()
+
+    return cut(rows.mapInArrow(run, CHUNK_SCHEMA), "lm-chunks")
+
 
-    return train.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+CHUNK_SCHEMA = "chunk bigint, rows binary, n_rows bigint, sizes binary, train binary, n bigint, codes binary, hashes binary"
+CHUNK_COLUMNS = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+CHUNK_TYPES_OF = [pa.int64() if c.endswith("bigint") else pa.binary() for c in CHUNK_SCHEMA.split(", ")]
+
+
+@dataclass
+class Chunk:
+    """A chunk's texts: tokens of each and whether it's for training; the tokens' codes, and by code their hashes."""
+
+    at: int
+    sizes: np.ndarray
+    train: np.ndarray
+    codes: np.ndarray
+    hashes: np.ndarray
+    known: tuple[np.ndarray, np.ndarray] | None = None
+
+    def counts(self, model: Model) -> np.ndarray:
+        """Exact training counts by code: the broadcast ones, and of the others those that were joined."""
+        found = model.unigram(self.hashes)
+        if self.known is not None and len(self.known[0]):
+            hashes, counts = self.known
+            order = np.argsort(hashes)
+            at = np.minimum(np.searchsorted(hashes, self.hashes, sorter=order), len(hashes) - 1)
+            found = np.where(hashes[order[at]] == self.hashes, counts[order[at]], found)
+        return found
+
+    def training(self) -> Chunk:
+        if self.train.all():
+            return self
+        return Chunk(self.at, self.sizes[self.train], self.train[self.train], self.codes[np.repeat(self.train, self.sizes)], self.hashes, self.known)
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct pair hashes, one place of each, order of all places by pair). Which of equal pairs stands for them
+        doesn't matter, they have the same tokens."""
+        pair = pair_hashes(self.hashes[self.codes], self.starts()) if len(self.codes) else np.zeros(0, np.uint64)
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(firsts(pair))
+        return pair[first], first, order
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array's runs begin."""
+    return np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
+
+
+def chunks_of(batch: pa.RecordBatch | pa.Table) -> Iterator[Chunk]:
+    """The chunks of a batch of encode(), with the counts that were joined if there are any."""
+    col = {name: batch.column(name) for name in batch.schema.names}
+    get = lambda name, r: col[name][r].as_py()
+    for r in range(batch.num_rows):
+        n, n_rows = get("n", r), get("n_rows", r)
+        known = None
+        if "hs" in col and col["hs"][r].is_valid:
+            known = np.asarray(col["hs"][r].values, np.int64).view(np.uint64), np.asarray(col["cs"][r].values, np.int64)
+        yield Chunk(get("chunk", r), unsqueezed(get("sizes", r), n_rows).astype(np.int64), np.frombuffer(get("train", r), bool), unsqueezed(get("codes", r), n), np.frombuffer(get("hashes", r), np.uint64), known)
+
+
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """cut(), and the files of its shuffles are deleted when it's written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def token_counts(encoded: DataFrame) -> DataFrame:
+    """(h, n): hashes of tokens with their exact training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks_of(batch):
+                total = np.bincount(chunk.training().codes, minlength=len(chunk.hashes))
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.hashes[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
+
+    return encoded.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """total: training tokens; types: distinct ones; unigrams: sorted hashes and counts, None where they are joined; groups of
-    the pairs, and where the filter's parts begin among them."""
+    """total: training tokens; types: distinct ones; unigrams: sorted hashes and counts of the tokens that stand `least` times or
+    oftener, the others are joined; groups of the pairs, and where the filter's parts begin among them."""
 
     total: int
     types: int
     weights: np.ndarray
-    hashes: np.ndarray | None
-    unigrams: np.ndarray | None
+    hashes: np.ndarray
+    unigrams: np.ndarray
+    least: int = 1
     groups: int = 2
     starts: tuple[int, ...] = (0,)
 
     def unigram(self, h: np.ndarray) -> np.ndarray:
-        """Exact training counts of token hashes."""
+        """Exact training counts of token hashes, 0 for those that are joined."""
         if not len(self.hashes):
             return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -263,47 +358,30 @@ def ratio_bin(log_ratio: np.ndarray) -> np.ndarray:
     return (1 + np.clip(log_ratio - LOW * STEPS, 0, BINS - 1)).astype(np.int64)
 
 
-def built_segments(texts: DataFrame, tokens: DataFrame, model: Model) -> DataFrame:
+def built_segments(encoded: DataFrame, model: Model) -> DataFrame:
     """(grp, size, words, at, n): each group's segment, and by bucket and ratio bin (at) how many occurrences (n) its pairs have.
 
     Tasks hand on packed partial counts by group: pairs (5 bytes), counts (4), the logarithm of what one count of the pair adds to
     the ratio of both estimates (2) and the predecessor's bucket (1).
     """
     groups = model.groups
-    rows, joined = _with_counts(texts, tokens, model)
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
     names = ["grp", "pairs", "count", "unit", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, made = shared.value, Tokens()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            pair, unit, bucket = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 3
-            order = np.argsort(pair)  # which of equal pairs comes first doesn't matter, they have the same unit and bucket
-            pair = pair[order]
-            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(pair)))
-            pair, unit, bucket = pair[first], unit[order[first]].astype(np.int16), bucket[order[first]].astype(np.uint8)
-            group = group_of(pair, groups)
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(pair) else np.zeros(0, np.int64)
-            ends = [*starts[1:].tolist(), len(pair)]
-            cut_at = lambda x, of: pa.array([of(x[a:b]) for a, b in zip(starts.tolist(), ends, strict=False)], pa.binary())
-            raw = np.ndarray.tobytes
-            return pa.RecordBatch.from_arrays([pa.array(group[starts]), cut_at(pair, packed), cut_at(n.astype(np.uint32), raw), cut_at(unit, raw), cut_at(bucket, raw)], names=names)
-
-        size = 0
+        m = shared.value
         for batch in batches:
-            for h, c, starts in _blocks(m, batch, 0, joined, made):
-                single, before = _unigram_parts(m, c, starts)
-                unit = np.where(before > 1, np.round(-np.log2(np.maximum(before - 1, 1) * single) * STEPS), -(1 << 14))
-                held.append((pair_hashes(h, starts), unit, bucket_of(before)))
-                size += len(h)
-                if size >= FLUSH:
-                    yield out()
-                    held.clear()
-                    size = 0
-        yield out()
+            for chunk in chunks_of(batch):
+                part = chunk.training()
+                pair, first, order = part.pairs()
+                n = np.diff(np.append(first, len(order)))
+                single, before = _unigram_parts(m, part.counts(m), part.codes, part.starts(), order[first])
+                unit = np.where(before > 1, np.round(-np.log2(np.maximum(before - 1, 1) * single) * STEPS), -(1 << 14)).astype(np.int16)
+                bucket = bucket_of(before).astype(np.uint8)
+                group, cuts = _by_group(pair, groups)
+                cut_at = lambda x, of, cuts=cuts: pa.array([of(x[a:b]) for a, b in cuts], pa.binary())
+                raw = np.ndarray.tobytes
+                yield pa.RecordBatch.from_arrays([pa.array(group), cut_at(pair, packed), cut_at(n.astype(np.uint32), raw), cut_at(unit, raw), cut_at(bucket, raw)], names=names)
 
     def add(table: pa.Table) -> pa.Table:
         group = table.column("grp")[0].as_py()
@@ -324,7 +402,7 @@ def built_segments(texts: DataFrame, tokens: DataFrame, model: Model) -> DataFra
         total = np.bincount(which, n, len(at)).astype(np.int64)
         return pa.table({"grp": pa.array([group], pa.int64()), "size": pa.array([len(words)], pa.int64()), "words": pa.array([words.tobytes()], pa.binary()), "at": pa.array([at.tolist()], pa.list_(pa.int64())), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-    partial = rows.mapInArrow(run, "grp bigint, pairs binary, count binary, unit binary, bucket binary")
+    partial = encoded.mapInArrow(run, "grp bigint, pairs binary, count binary, unit binary, bucket binary")
     return partial.groupBy("grp").applyInArrow(add, "grp bigint, size bigint, words binary, at array<bigint>, n array<bigint>")
 
 
@@ -343,13 +421,29 @@ def _unigrams(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(train: DataFrame, text_col: str = "text", max_broadcast_tokens: int = MAX_BROADCAST_TOKENS, max_part_bits: int = MAX_PART_BITS, group_tokens: int = GROUP_TOKENS) -> Trained:
     """The model of all texts of `train`. No pair is left out and the filter is as large as its entries need."""
-    texts = train.select(F.col(text_col).alias("text"))
-    tokens = cut(token_counts(texts), "lm-tokens")
+    trained, counted = _fit(encode(train.select(F.col(text_col).alias("text"))), max_broadcast_tokens, max_part_bits, group_tokens)
+    discard(counted)
+    return trained
+
+
+def _fit(encoded: DataFrame, max_broadcast_tokens: int = MAX_BROADCAST_TOKENS, max_part_bits: int = MAX_PART_BITS, group_tokens: int = GROUP_TOKENS) -> tuple[Trained, DataFrame]:
+    """The model of the training texts of encode(), and its chunks with the counts they need."""
+    tokens = _freed(token_counts(encoded), "lm-tokens")
     total, types = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hashes, numbers = _unigrams(tokens) if types <= max_broadcast_tokens else (None, None)
+    least = 1
+    if types > max_broadcast_tokens:  # the largest counts that there is room for
+        level = F.ceil(F.log2(F.col("n") + 1))
+        held, least = 0, 1 << 62
+        for r in tokens.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+            held += r["count"]
+            if held > max_broadcast_tokens:
+                break
+            least = 1 << (r["level"] - 1)
+    hashes, numbers = _unigrams(tokens.where(F.col("n") >= least))
     groups = 1 << max(1, math.ceil(math.log2(max(1, total / group_tokens))))
-    model = Model(total, types, np.full(BUCKETS, GRID[0]), hashes, numbers, groups)
-    segments = cut(built_segments(texts, tokens, model), "lm-segments")
+    model = Model(total, types, np.full(BUCKETS, GRID[0]), hashes, numbers, least, groups)
+    counted = _with_counts(encoded, tokens, model)
+    segments = _freed(built_segments(counted, model), "lm-segments")
     sizes = np.zeros(groups, np.int64)
     for r in segments.select("grp", "size").collect():  # one number for each GROUP_TOKENS tokens
         sizes[r["grp"]] = r["size"]
@@ -365,7 +459,7 @@ def fit(train: DataFrame, text_col: str = "text", max_broadcast_tokens: int = MA
     for r in pairs.groupBy("x.at").agg(F.sum("x.n").alias("n")).collect():  # at most as many as the table has
         table[divmod(r["at"], BINS + 1)] = r["n"]
     model.weights = best_weights(table)
-    return Trained(model, tokens, segments.select("grp", "size", "words"))
+    return Trained(model, tokens, segments.select("grp", "size", "words")), counted
 
 
 def filter_part(trained: Trained, part: int) -> Filter:
@@ -384,30 +478,50 @@ def filter_part(trained: Trained, part: int) -> Filter:
     return Filter(model.groups, first, sizes, words)
 
 
-def _unigram_parts(model: Model, c: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unigram probability, predecessor's count) for each token of texts that begin at `starts`."""
-    before = np.empty(len(c))
-    before[1:] = c[:-1]
-    before[starts] = 0
-    return (c + 1.0) / (model.total + model.types + 1.0), before
+def _unigram_parts(model: Model, c: np.ndarray, *at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unigram probability, predecessor's count) of tokens.
+
+    Either c has the tokens' counts and `at` the starts of the texts, or c has the counts by code and `at` the tokens' codes, the
+    starts of the texts and the places that are asked for.
+    """
+    if len(at) == 1:
+        codes, starts, places = np.arange(len(c)), at[0], np.arange(len(c))
+    else:
+        codes, starts, places = at
+    before = c[codes[places - 1]].astype(np.float64) if len(places) else np.zeros(0)
+    begins = np.zeros(len(codes), bool)
+    begins[starts] = True
+    before[begins[places]] = 0
+    return (c[codes[places]] + 1.0) / (model.total + model.types + 1.0), before
 
 
-def _with_counts(rows: DataFrame, tokens: DataFrame, model: Model) -> tuple[DataFrame, bool]:
-    """rows (..., text), or with the counts joined: (..., text, hs, cs) where they can't be broadcast."""
-    if model.hashes is not None:
-        return rows, False
+def _by_group(pair: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Groups of sorted pairs, with the range of each one's pairs."""
+    group = group_of(pair, groups)
+    starts = np.flatnonzero(firsts(group))
+    return group[starts], list(zip(starts.tolist(), [*starts[1:].tolist(), len(pair)], strict=False))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_counts(encoded: DataFrame, tokens: DataFrame, model: Model) -> DataFrame:
+    """Chunks with the counts (hs, cs) of those of their tokens that aren't broadcast, in place of the chunks; as they are if all are."""
+    if model.least <= 1:
+        return encoded
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            for r, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.unique(np.fromiter(map(hash_of, tokens_of(x.as_py())), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), r)), pa.array(h.view(np.int64))], names=["_of", "h"])
+            for at, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(hashes.as_py(), np.uint64)
+                h = h[m.unigram(h) == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at)), pa.array(h.view(np.int64))], names=["_of", "h"])
 
-    numbered = cut(rows.withColumn("_lm", F.monotonically_increasing_id()), "lm-rows")
-    spread_rows = numbered.select("_lm", "text").mapInArrow(spread, "_of bigint, h bigint")
-    found = spread_rows.join(tokens, "h").groupBy("_of").agg(F.collect_list(F.struct("h", "n")).alias("known"))
-    joined = numbered.join(found, F.col("_lm") == F.col("_of"), "left").select(*rows.columns, F.col("known.h").alias("hs"), F.col("known.n").alias("cs"))
-    return cut(joined, "lm-counted"), True
+    asked = encoded.select("chunk", "hashes").mapInArrow(ask, "_of bigint, h bigint")
+    found = asked.join(tokens.where(F.col("n") < model.least), "h").groupBy("_of").agg(F.collect_list(F.struct("h", "n")).alias("known"))
+    joined = encoded.join(found, F.col("chunk") == F.col("_of"), "left").select(*CHUNK_COLUMNS, F.col("known.h").alias("hs"), F.col("known.n").alias("cs"))
+    counted = _freed(joined, "lm-counted")
+    discard(encoded)
+    return counted
 
 
 def best_weights(table: np.ndarray) -> np.ndarray:
@@ -417,32 +531,32 @@ def best_weights(table: np.ndarray) -> np.ndarray:
     return GRID[np.argmax(table @ gain.T, axis=1)]
 
 
-def _blocks(model: Model, batch: pa.RecordBatch, text_at: int, joined: bool, made: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, exact counts, starts of the texts) for some texts of a batch at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for k in range(batch.num_rows):
-        code = made.codes(tokens_of(batch.column(text_at)[k].as_py()))
-        h = made.hashes[code]
-        c = _joined_counts(h, batch.column(text_at + 1)[k], batch.column(text_at + 2)[k]) if joined else made.numbers(model)[code]
-        if made.full():
-            made.forget()
-        held.append((h, c))
-        size += len(h)
-        if size >= BLOCK_TOKENS or k == batch.num_rows - 1:
-            hashes = np.concatenate([x[0] for x in held])
-            numbers = np.concatenate([x[1] for x in held])
-            yield hashes, numbers, np.cumsum([0, *(len(x[0]) for x in held[:-1])])
-            held, size = [], 0
-
-
-def _joined_counts(h: np.ndarray, hs: pa.Scalar, cs: pa.Scalar) -> np.ndarray:
-    known = np.asarray(hs.values if hs.is_valid else [], dtype=np.int64).view(np.uint64)
-    if not len(known):
-        return np.zeros(len(h), np.int64)
-    order = np.argsort(known)
-    at = np.minimum(np.searchsorted(known[order], h), len(known) - 1)
-    return np.where(known[order][at] == h, np.asarray(cs.values, dtype=np.int64)[order][at], 0)
+def _levels(chunks: DataFrame, trained: Trained) -> DataFrame:
+    """(chunk, grp, levels): the levels of a chunk's distinct pairs of a group, in the order of their hashes (one byte each)."""
+    groups = trained.model.groups
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks_of(batch):
+                pair = chunk.pairs()[0]
+                group, cuts = _by_group(pair, groups)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.full(len(group), chunk.at)), pa.array([packed(pair[a:b]) for a, b in cuts], pa.binary())], names=["grp", "chunk", "pairs"])
+
+    def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        pairs = asked.column("pairs").to_pylist()
+        if segment.num_rows and pairs:
+            group = segment.column("grp")[0].as_py()
+            words = np.frombuffer(segment.column("words")[0].as_py(), np.uint64)
+            top = np.uint64(group << (64 - groups.bit_length() + 1))
+            found = Filter(groups, group, np.array([len(words)]), words).levels(unpacked(b"".join(pairs)) | top).astype(np.uint8).tobytes()
+        else:
+            found = bytes(sum(map(len, pairs)) // 5)
+        ends = np.cumsum([len(p) // 5 for p in pairs], dtype=np.int64).tolist()
+        levels = [found[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return pa.table({"chunk": asked.column("chunk"), "grp": asked.column("grp"), "levels": pa.array(levels, pa.binary())})
+
+    asked = chunks.mapInArrow(ask, "grp bigint, chunk bigint, pairs binary").groupBy("grp")
+    return asked.cogroup(trained.segments.groupBy("grp")).applyInArrow(answer, "chunk bigint, grp bigint, levels binary")
 
 
 def score(documents: DataFrame, trained: Trained, text_col: str = "text") -> DataFrame:
@@ -452,48 +566,44 @@ def score(documents: DataFrame, trained: Trained, text_col: str = "text") -> Dat
     alone. Texts are read whole; repeated rows score alike; an empty table gives an empty result; own columns replace columns
     of the same name.
     """
-    own = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    passed = [f.name for f in documents.schema.fields if f.name != text_col and f.name not in own]
-    model, context = trained.model, documents.sparkSession.sparkContext
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in passed], F.lit(0).alias("_pad")).alias("_row"), F.col(f"`{text_col}`").alias("text"))
-    if len(model.starts) > 1:
-        rows = cut(rows.withColumn("_rid", F.monotonically_increasing_id()), "lm-numbered")
-        texts = rows.select("_rid", "text")
-    else:
-        texts = rows
-    name = texts.columns[0]
-    counted, joined = _with_counts(texts, trained.tokens, model)
-    shared = context.broadcast(model)
-    schema = f"{name} {texts.schema[name].dataType.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    made_of = None
-    for part in range(len(model.starts)):
-        sent = context.broadcast(filter_part(trained, part))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            m, made = shared.value, Tokens()
-            for batch in batches:
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for h, c, starts in _blocks(m, batch, 1, joined, made):
-                    single, before = _unigram_parts(m, c, starts)
-                    hashed = pair_hashes(h, starts)
-                    mine = sent.value.mine(hashed)
-                    pair = np.zeros(len(h))
-                    pair[mine] = count_of(sent.value.levels(hashed[mine]))
-                    weight = np.where(before > 0, m.weights[bucket_of(before)], 0.0)
-                    p2 = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1.0)
-                    mixture = np.where(mine, np.log10(weight * p2 + (1 - weight) * single), 0.0)
-                    for k, x in enumerate((np.ones(len(h), np.int64), (c > 0).astype(np.int64), np.log10(single), mixture)):
-                        out[k].append(np.add.reduceat(x, starts))
-                n, known, base, mixture = (np.concatenate(x) if x else np.zeros(0) for x in out)
-                cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base), pa.array(mixture)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[name, *own])
-
-        scored = counted.mapInArrow(run, schema)
-        if len(model.starts) == 1:
-            return scored.select("_row.*", *own).drop("_pad")
-        scored = cut(scored, "lm-part")
-        sent.unpersist()
-        made_of = scored if made_of is None else made_of.unionByName(scored)
-    first = [F.first(c).alias(c) for c in own[:-1]]
-    summed = made_of.groupBy(F.col("_rid").alias("_of")).agg(*first, F.sum("score").alias("score"))
-    return rows.select("_rid", "_row").join(summed, F.col("_rid") == F.col("_of")).select("_row.*", *own).drop("_pad")
+    rows = documents.drop(*OWN)
+    return _score(_with_counts(encode(rows, text_col), trained.tokens, trained.model), trained, rows.select(_row(rows, text_col)).schema.fields)
+
+
+def fit_and_score(documents: DataFrame, train: Column, text_col: str = "text", **options: int) -> DataFrame:
+    """score() of all documents by the fit() of those for which `train` holds; the texts are read once for both."""
+    rows = documents.drop(*OWN)
+    trained, counted = _fit(encode(rows, text_col, train), **options)
+    return _score(counted, trained, rows.select(_row(rows, text_col)).schema.fields)
+
+
+OWN = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _score(chunks: DataFrame, trained: Trained, row: list[T.StructField]) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(trained.model)
+    levels = _freed(_levels(chunks, trained), "lm-levels")
+
+    def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
+        m, chunk = shared.value, next(chunks_of(texts))
+        order = np.argsort(np.asarray(found.column("grp")))
+        blobs = found.column("levels").to_pylist()
+        level = np.frombuffer(b"".join([blobs[k] for k in order.tolist()]), np.uint8)
+        counts = chunk.counts(m)
+        pair, first, order = chunk.pairs()
+        single, before = _unigram_parts(m, counts, chunk.codes, chunk.starts(), order[first])
+        weight = np.where(before > 0, m.weights[bucket_of(before)], 0.0)
+        p2 = np.minimum(np.divide(count_of(level), before, out=np.zeros(len(pair)), where=before > 0), 1.0)
+        mixture = np.empty(len(order))
+        mixture[order] = np.repeat(np.log10(weight * p2 + (1 - weight) * single), np.diff(np.append(first, len(order))))
+        starts = chunk.starts()
+        base = np.add.reduceat(np.log10((counts + 1.0) / (m.total + m.types + 1.0))[chunk.codes], starts)
+        known = np.add.reduceat((counts > 0).astype(np.int64)[chunk.codes], starts)
+        with pa.ipc.open_stream(texts.column("rows")[0].as_py()) as reader:
+            rows = reader.read_all().column("_row")
+        own = [pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(starts), m.total), pa.int64()), pa.array(base), pa.array(np.add.reduceat(mixture, starts))]
+        return pa.table([rows, *own], names=["_row", *OWN])
+
+    own = [T.StructField(c, T.LongType() if k < 3 else T.DoubleType()) for k, c in enumerate(OWN)]
+    schema = T.StructType([*row, *own])
+    return chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(finish, schema).select("_row.*", *OWN).drop("_pad")

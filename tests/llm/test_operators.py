@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -315,6 +316,39 @@ def test_mixing_weights_see_all_training_texts(spark):
     assert (loss <= 1e-3 * np.abs(gain).max(axis=1) + 1e-9).all()  # the bins' rounding
 
 
+def test_language_model_copies_no_text_beyond_its_broadcasts(spark):
+    rng = random.Random(14)
+    df = docs(spark, [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 10**9}" for _ in range(300))) for i in range(400)]).select("doc_id", "text")
+    train, shared = df.where("doc_id % 7 != 2"), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    made, sizes = [], []
+    for options in ({}, {"max_broadcast_tokens": 50, "max_part_bits": 100_000}, {"max_broadcast_tokens": 0, "max_part_bits": 20_000}):
+        before = set(shared.rglob("*.parquet"))
+        trained = ngram_bloom.fit(train, group_tokens=5000, **options)
+        made.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in ngram_bloom.score(df, trained).collect()})
+        assert (len(trained.model.starts) > 1) == bool(options) and len(trained.model.hashes) <= options.get("max_broadcast_tokens", 10**6)
+        sizes.append(sum(f.stat().st_size for f in set(shared.rglob("*.parquet")) - before))
+    assert all(set(m) == set(made[0]) and np.allclose([m[i] for i in made[0]], list(made[0].values()), rtol=1e-9) for m in made)
+    assert 0 < max(sizes) < 2 * sizes[0]
+
+
+def test_texts_cross_chunks_and_batches(spark, monkeypatch):
+    rng = random.Random(15)
+    df = docs(spark, [(i, " ".join(rng.choices("a b c d e f".split(), k=rng.randint(0, 30)))) for i in range(500)] + ODD).select("doc_id", "text", "lang")
+    held = entry.remainder(F.col("doc_id"), 7) == 2
+    whole = ngram_bloom.fit_and_score(df, ~held).collect()
+    apart = ngram_bloom.score(df, ngram_bloom.fit(df.where(~held))).collect()
+    monkeypatch.setattr(ngram_bloom, "CHUNK_TOKENS", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        small = ngram_bloom.fit_and_score(df, ~held, group_tokens=500).collect()
+        assert ngram_bloom.encode(df).count() > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    as_key = lambda r: (str(r["doc_id"]), r["lang"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 1))
+    assert sorted(map(as_key, whole)) == sorted(map(as_key, apart)) and len(whole) == 500 + len(ODD)
+    assert sorted(k[:5] for k in map(as_key, whole)) == sorted(k[:5] for k in map(as_key, small))
+
+
 def test_filter_holds_quantised_counts():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**64, 4000, dtype=np.uint64)
