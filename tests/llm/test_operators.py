@@ -618,6 +618,47 @@ def test_search_skips_blocks():
     assert 0 < index.blocks_read < 0.5 * index.blocks
 
 
+def test_search_starts_later_shards_from_reached_scores(spark):
+    rng = random.Random(16)
+    word = lambda d: f"{'abcde'[d % 5]}{int(rng.paretovariate(0.6)) % 3000}"  # noqa: E731 # five languages
+    rows = [(d, " ".join(word(d) for _ in range(rng.randint(5, 60)))) for d in range(1200)]
+    rows += [(5000 - d, rows[3][1]) for d in range(40)]  # equal scores in early and later shards
+    rng.shuffle(rows)
+    df, asked = docs(spark, rows), [(d, t) for d, t in rows if d < 1200 and d % 40 == 3]
+    got = bmw_search.search(df.repartition(3), spark.createDataFrame(asked, "query_id bigint, text string"), 5, shard_docs=12).collect()
+    for q, text in asked:
+        found = [(r["doc_id"], round(r["score"], 6)) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert found == [(i, pytest.approx(s, abs=2e-6)) for i, s in best_by_force(rows, text, 5)]
+
+
+def test_batches_read_only_groups_that_can_reach():
+    rng = np.random.default_rng(7)
+    made, docs_ = bmw_search.Hashes(), []
+    for d in range(1500):
+        docs_.append(made.counted(" ".join(f"w{int(x)}-{d % 3}" for x in rng.zipf(1.3, 60) if x < 5000)))
+    words, terms = np.unique(np.concatenate([h for h, _ in docs_]), return_inverse=True)
+    counts, sizes, lengths = np.concatenate([n for _, n in docs_]), np.array([len(h) for h, _ in docs_]), np.array([n.sum() for _, n in docs_])
+    idf = np.log(1 + 1500 / (np.bincount(terms) + 0.5))
+    index = bmw_search.Index(np.arange(1500), lengths, sizes, words, terms, counts, words, idf, lengths.mean())
+    queries = [(np.searchsorted(words, docs_[i][0]), docs_[i][1]) for i in range(0, 1500, 10)]
+    cold = index.several(queries, *index.bounds(queries), 10, np.zeros(len(queries)))
+    alone = [index.top(*q, *(x[0] for x in index.bounds([q])), 10, 0.0) for q in queries]
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() and len(a[0]) == 10 for a, b in zip(cold, alone, strict=True))
+    before = index.blocks_read
+    reached = np.array([score[4] for score, _ in cold])  # as if other shards had reached it
+    hot = index.several(queries, *index.bounds(queries), 10, reached)
+    assert all((a[0] == b[0][b[0] >= b[0][4]]).all() for a, b in zip(hot, cold, strict=True))
+    assert index.blocks_read - before < 0.5 * index.blocks / 3  # most of the other two languages is left alone
+
+
+def test_left_over_documents_are_no_shard_of_their_own(spark):
+    df = docs(spark, [(i, f"a b{i}") for i in range(110)]).coalesce(1)
+    packed = bmw_search.shards(df, "doc_id", "text", 100).select("lot", "n").collect()
+    assert [r["n"] for r in packed] == [110]
+    packed = bmw_search.shards(df, "doc_id", "text", 40).select("lot", "n").collect()
+    assert [r["n"] for r in packed] == [40, 40, 30] and len({r["lot"] for r in packed}) == 3
+
+
 # 9 quality
 
 
