@@ -12,13 +12,23 @@ HALF_LIFE_S = 120.0
 def failure_rate(results: DataFrame, window_s: int = 300) -> DataFrame:
     """(at_s, rate): over all keys, the share of failures among results of the last window_s seconds, each second with a result.
 
-    Summed by second first, with partial sums, so the one ordered window runs over seconds and not over results.
+    Summed by second first, with partial sums. A second's results enter a running sum and leave it window_s later, so a row
+    costs the same for any window. The sums run in spans of a window's length; what a span inherits enters at its start.
     """
-    by_second = results.groupBy(F.floor(F.col("ts_us") / 1_000_000).alias("at_s")).agg(
+    span = window_s + 1
+    by_second = results.where("ts_us IS NOT NULL").groupBy(F.floor(F.col("ts_us") / 1_000_000).alias("at_s")).agg(
         F.sum(F.when(F.col("outcome") == "success", 0).otherwise(1)).alias("bad"), F.count("*").alias("n")
-    )
-    w = Window.orderBy("at_s").rangeBetween(-window_s, 0)
-    return by_second.select("at_s", (F.sum("bad").over(w) / F.sum("n").over(w)).alias("rate"))
+    )
+    at = F.col("at_s")
+    change = lambda when, sign, here: F.struct(when.alias("at_s"), (sign * F.col("bad")).alias("bad"), (sign * F.col("n")).alias("n"), F.lit(here).alias("_here"))
+    # leaves at at_s + span: in its own span never, as that is the same place in the next one
+    begin = (F.floor(at / span) + 1) * span
+    changes = by_second.select(F.explode(F.array(change(at, 1, 1), change(begin, 1, 0), change(at + span, -1, 0))).alias("_c"), F.col("at_s").alias("_from"))
+    in_span = F.when(F.col("_c.at_s") == F.col("_from"), F.floor(F.col("_from") / span)).otherwise(F.floor(F.col("_from") / span) + 1)
+    changes = changes.select(in_span.alias("_span"), "_c.*").groupBy("_span", "at_s").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.max("_here").alias("_here"))
+    w = Window.partitionBy("_span").orderBy("at_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = changes.select("at_s", "_here", F.sum("bad").over(w).alias("_bad"), F.sum("n").over(w).alias("_n"))
+    return summed.where("_here = 1").select("at_s", (F.col("_bad") / F.col("_n")).alias("rate"))
 
 
 def defers(rate: Column, threshold: float = 0.9, enabled: bool = True) -> Column:

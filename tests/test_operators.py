@@ -282,3 +282,20 @@ def test_encode(spark, codec, payload, want):
     assert (None if found is None else bytes(found)) == want
     with pytest.raises(ValueError):
         decode.encode(F.lit("x"), "xml")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failure_rate_slides_in_spans(spark):
+    """Against brute force, negative times and a missing one included; no single task sees all seconds."""
+    times = [-1, 0, 0, 1, 9, 10, 11, 12, 21, 22, 32, 33, 34, 500, 511, 512, 1_000_000]
+    log = [(t * 1_000_000 + 5, "success" if i % 3 else "transient") for i, t in enumerate(times)]
+    rows = spark.createDataFrame([*log, (None, "transient")], "ts_us long, outcome string")
+    for window_s in (0, 1, 10, 11, 600):
+        near = {t: [o != "success" for us, o in log if t - window_s <= us // 1_000_000 <= t] for t in times}
+        got = windows.failure_rate(rows, window_s)
+        assert {r["at_s"]: r["rate"] for r in got.collect()} == {t: sum(bad) / len(bad) for t, bad in near.items()}
+        assert got.count() == len(set(times))
+    assert "SinglePartition" not in plan_of(got)
