@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrand.functions.order import numbered, span_of
+
 KEY = ("topic", "part", "key")
 HALF_LIFE_S = 120.0
+#: Spans of priorities in which tasks are ranked.
+RANK_SPANS = 64
 
 
 def failure_rate(results: DataFrame, window_s: int = 300) -> DataFrame:
@@ -79,8 +83,14 @@ def priorities(tasks: DataFrame, now_ms: int, wait_weight: float = 200.0, max_wa
 
 
 def ranked(rated: DataFrame) -> DataFrame:
-    """Adds rank: the order in which a class's tasks are picked."""
-    return rated.withColumn("rank", F.row_number().over(Window.partitionBy("demand").orderBy("priority", "enqueue_ms", "off")))
+    """Adds rank: the order in which a class's tasks are picked.
+
+    Tasks are ranked within spans of priority that hold about equally many. The bounds are approximate quantiles from a first pass;
+    any bounds give the same ranks.
+    """
+    cuts = rated.agg(F.percentile_approx("priority", [i / RANK_SPANS for i in range(1, RANK_SPANS)], 10_000)).first()[0]
+    bounds = sorted({b for b in cuts or [] if b == b})
+    return numbered(rated, "rank", ["demand"], span_of(F.col("priority"), bounds), ["priority", "enqueue_ms", "off"]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def next_class(class_times: DataFrame, failure_weight: float = 0.3) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrand.functions.order import numbered
 from keystrand.operators.decode import reject_reason
 
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -14,19 +15,18 @@ GROUP = "analytics"
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table events as a log of four partitions: what a broker would hand out, offsets included."""
+    """Table events as a log of four partitions: what a broker would hand out, offsets included (counted hour by hour)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
     e = e.select("*", F.expr(MICROS).alias("ts_us"))
-    part = (F.col("user_id") % 4).cast("int")
+    e = numbered(e.withColumn("part", (F.col("user_id") % 4).cast("int")), "number", ["part"], F.floor(F.col("ts_us") / 3_600_000_000), ["ts", "event_id"])
     eid = F.col("event_id")
-    off = F.row_number().over(Window.partitionBy(part).orderBy("ts", "event_id")).cast("long") - 1
     own_id = F.when(eid % 7 == 0, F.concat(F.lit(',"id":'), eid.cast("string"))).when(eid % 7 == 1, "").otherwise(
         F.concat(F.lit(',"id":"'), "event_type", F.lit("-"), F.day("ts").cast("string"), F.lit('"'))
     )
     own_type = F.when(eid % 11 == 0, "").otherwise(F.concat(F.lit(',"type":"'), "event_type", F.lit(".v"), (eid % 2 + 1).cast("string"), F.lit('"')))
     error = F.col("event_type") == "error"
     return e.select(
-        F.lit("events").alias("topic"), part.alias("part"), off.alias("off"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"), "ts_us", "event_id", "event_type",
+        F.lit("events").alias("topic"), "part", (F.col("number") - 1).alias("off"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key"), "ts_us", "event_id", "event_type",
         F.when(eid % 10 == 0, GROUP).when(eid % 10 == 1, F.lit(None)).otherwise(F.concat(F.lit("svc-"), (eid % 3).cast("string"))).alias("source_system"),
         F.concat(F.lit('{"seq":'), eid.cast("string"), own_id, own_type, F.lit("}")).alias("payload"),
         F.when(error & (eid % 3 == 0), "permanent").when(error & (eid % 3 == 1), "transient").otherwise("success").alias("outcome"),

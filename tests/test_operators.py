@@ -5,6 +5,7 @@ import uuid
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keystrand.config import ConsumerSettings, DeferSettings, StorageSettings, duration
@@ -299,3 +300,31 @@ def test_failure_rate_slides_in_spans(spark):
         assert {r["at_s"]: r["rate"] for r in got.collect()} == {t: sum(bad) / len(bad) for t, bad in near.items()}
         assert got.count() == len(set(times))
     assert "SinglePartition" not in plan_of(got)
+
+
+def test_ranks_are_numbered_in_spans(spark):
+    """As one row_number() for each class, with missing classes, missing and odd priorities and ties; no task holds a whole class."""
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0]
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["normal", "failure", None]), rng.choice([*odd, 1.0, 1.0, rng.uniform(-200, 50)]), rng.randrange(9)) for i in range(3000)]
+    tasks = spark.createDataFrame(rows, "off long, demand string, priority double, enqueue_ms long")
+    ranked = windows.ranked(tasks)
+    plain = tasks.withColumn("rank", F.row_number().over(Window.partitionBy("demand").orderBy("priority", "enqueue_ms", "off")))
+    assert sorted(map(str, ranked.collect())) == sorted(map(str, plain.collect()))
+    assert windows.ranked(tasks.where("false")).count() == 0
+    assert windows.ranked(tasks.withColumn("priority", F.lit(None).cast("double"))).count() == 3000
+    assert "windowspecdefinition(demand" not in plan_of(ranked) and "windowspecdefinition(_place" in plan_of(ranked)
+
+
+def test_offsets_are_numbered_in_hours(spark, tmp_path):
+    from keystrand.sources.log import event_log
+
+    rng = random.Random(6)
+    rows = [(i, None if i % 90 == 0 else rng.randrange(30_000), None if i % 40 == 0 else rng.randrange(9), "error") for i in range(2000)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    events.drop("s").write.parquet(f"{tmp_path}/events.parquet")
+    log = event_log(spark, str(tmp_path))
+    plain = events.withColumn("off", F.row_number().over(Window.partitionBy((F.col("user_id") % 4).cast("int")).orderBy("ts", "event_id")) - 1)
+    assert {(r["event_id"], r["off"]) for r in log.collect()} == {(r["event_id"], r["off"]) for r in plain.collect()}
+    assert log.count() == 2000 and "windowspecdefinition(_place" in plan_of(log.select("off"))
+    assert "Join" not in plan_of(log.select("key"))  # nothing is numbered where no offset is asked for
