@@ -11,13 +11,16 @@ A timer set for a time that is past is due at once, so a handler that sets its o
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, MutableMapping
+from collections import OrderedDict
+from collections.abc import Callable, Iterator, MutableMapping
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keystrand.functions.folds import ROWS, columns_of, fold_keys
 from keystrand.operators.defer import bound_s
 from keystrand.operators.dedup import TTL_S
 from keystrand.operators.timers import apply_command
@@ -124,7 +127,7 @@ class KeyState:
     timer_due_ms: int | None = None
     runs: list[list[int]] = field(default_factory=list)
     now_ms: int = 0
-    seen: MutableMapping[str, int] = field(default_factory=dict)
+    seen: MutableMapping[str, int] = field(default_factory=OrderedDict)
 
     def dumps(self) -> str:
         """All but the mappings, as JSON."""
@@ -228,10 +231,15 @@ class KeyRunner:
 
     def forget(self, now_ms: int) -> None:
         """Drop identities past their TTL and runs out of the gate's window."""
-        if isinstance(self.state.seen, dict):  # a state store drops them itself
-            for gone in [i for i, until in self.state.seen.items() if until <= now_ms]:
-                del self.state.seen[gone]
-        self.state.runs = [r for r in self.state.runs if r[1] > now_ms - self.policy.gate_window_ms]
+        seen = self.state.seen
+        if isinstance(seen, OrderedDict):  # in the order of their ends; a state store drops them itself
+            while seen and (first := next(iter(seen.items())))[1] <= now_ms:
+                del seen[first[0]]
+        elif isinstance(seen, dict):
+            for gone in [i for i, until in seen.items() if until <= now_ms]:
+                del seen[gone]
+        if self.state.runs:
+            self.state.runs = [r for r in self.state.runs if r[1] > now_ms - self.policy.gate_window_ms]
 
     def command(self, op: str, time_s: int) -> None:
         for event in apply_command(self.state.times, op, time_s):
@@ -305,6 +313,8 @@ class KeyRunner:
             return None, "duplicate"
         category, action = self._deferring(event, demand, self.state.messages, lambda: self._queue_message(event))
         if self.policy.dedup_ttl_s and category not in ("transient", "terminal"):
+            if isinstance(self.state.seen, OrderedDict):
+                self.state.seen.pop(identity, None)  # a later end goes behind the others
             self.state.seen[identity] = self.state.now_ms + self.policy.dedup_ttl_s * 1000
         return category, action
 
@@ -395,20 +405,41 @@ def run(log: DataFrame, handler: Callable[[], KeyHandler], policy: Policy | None
     """Rows of EVENT_SCHEMA for a table (topic, part, key, off, ts_us, id, payload): each key's messages in offset order, on the
     clock of their times, then whatever is due until until_ms (null: nothing more).
 
-    handler makes a handler for a key. Order matters within a key, so its rows are folded in one task, a row at a time.
+    handler makes a handler for a key. Order matters within a key, so its rows are folded in one task, a row at a time; keys follow
+    each other in one pass, and what became of their events is handed on as it comes.
     """
-    columns = [c.split()[0] for c in EVENT_SCHEMA.split(", ")]
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        first, runner = part.iloc[0], KeyRunner(handler(), policy)
-        for off, us, id_, payload in part.sort_values("off")[["off", "ts_us", "id", "payload"]].itertuples(index=False):
-            runner.message(Message(int(off), int(us) // 1000, id_ if isinstance(id_, str) else None, payload if isinstance(payload, str) else None))
-            runner.forget(runner.state.now_ms)
-        if until_ms is not None:
-            runner.advance(until_ms)
-        return rows_of(runner, first["topic"], first["part"], first["key"])[columns]
-
-    return log.select("topic", "part", "key", "off", "ts_us", "id", "payload").groupBy("topic", "part", "key").applyInPandas(fold, EVENT_SCHEMA)
+    schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[c.split()[1]]) for c in EVENT_SCHEMA.split(", ")])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, runner, out = None, None, []
+
+        def take(end: bool) -> None:
+            if end and runner is not None and until_ms is not None:
+                runner.advance(until_ms)
+            if runner is not None:
+                out.extend((*key, *row) for row in runner.rows)
+                runner.rows.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for off, us, id_, payload, *of in columns_of(batch, ["off", "ts_us", "id", "payload", "topic", "part", "key"]):
+                if of != key:
+                    take(end=True)
+                    key, runner = of, KeyRunner(handler(), policy)
+                runner.message(Message(off, us // 1000, id_, payload))
+                runner.forget(runner.state.now_ms)
+                if len(runner.rows) + len(out) >= ROWS:
+                    take(end=False)
+                    yield batch_of()
+        take(end=True)
+        if out:
+            yield batch_of()
+
+    return fold_keys(log.select("topic", "part", "key", "off", "ts_us", "id", "payload"), ("topic", "part", "key"), "off", fold, EVENT_SCHEMA)
 
 
 def rows_of(runner: KeyRunner, topic: str, part: int, key: str) -> pd.DataFrame:

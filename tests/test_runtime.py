@@ -224,3 +224,50 @@ def test_handler_stream(spark, tmp_path):
     found = spark.table("handler_out")
     assert ended() == n and found.where("action = 'deferred'").count() > 0
     assert found.where("action IN ('done', 'duplicate')").select("part", "id").distinct().count() == n
+
+
+class FailsThrice(KeyHandler):
+    """The first three tries of messages whose payload is x fail."""
+
+    def __init__(self):
+        self.tries = {}
+
+    def on_message(self, context, message):
+        self.tries[message.off] = self.tries.get(message.off, 0) + 1
+        if message.payload == "x" and self.tries[message.off] <= 3:
+            raise OSError
+
+
+def test_run_folds_keys_in_one_pass(spark):
+    """Keys that end within a batch and keys over many batches: the same as each key by itself, and no group is made for a key."""
+    rows = [("t", k % 2 or None, f"k{k}", off, (off * 7 + k) * 300_000, f"i{off % 5}" if off % 3 else None, "x" if (off + k) % 4 == 0 else None) for k in range(12) for off in range(k * k)]
+    log = spark.createDataFrame(rows, "topic string, part int, key string, off bigint, ts_us bigint, id string, payload string").repartition(5)
+    policy, want = Policy(dedup_ttl_s=60), []
+    for k in range(1, 12):
+        runner = KeyRunner(FailsThrice(), policy)
+        for _, _, _, off, us, id_, payload in (r for r in rows if r[2] == f"k{k}"):
+            runner.message(Message(off, us // 1000, id_, payload))
+        runner.advance(10**9)
+        want += [("t", k % 2 or None, f"k{k}", *r) for r in runner.rows]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = runtime.run(log, FailsThrice, policy, 10**9)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r[-1] for r in want} >= {"done", "duplicate", "deferred", "queued"}
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forgetting_looks_only_at_what_has_ended():
+    """An identity that is recorded again ends behind those of the meantime."""
+    r = runner_of(Policy(dedup_ttl_s=10))
+    for off, at_s, id_ in [(0, 0, "a"), (1, 5, "b"), (2, 11, "a"), (3, 12, "c")]:
+        r.message(msg(off, at_s, id_))
+    assert list(r.state.seen) == ["ib", "ia", "ic"]
+    looked = []
+    items = r.state.seen.items
+    r.state.seen = type("Counted", (type(r.state.seen),), {"__delitem__": lambda d, k: (looked.append(k), super(type(d), d).__delitem__(k))})(items())
+    r.forget(20_000)
+    assert looked == ["ib"] and list(r.state.seen) == ["ia", "ic"]
