@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from keystrand.functions.folds import columns_of, fold_keys
 from keystrand.functions.scalars import row_ttl
 
 QUEUE = ("topic", "part", "key")
@@ -73,19 +77,23 @@ def replay(events: DataFrame, keys: tuple[str, ...] = QUEUE, base_s: int = 1, ma
     matters within a key only, so each is folded by itself; timers are deferred alike, with ord their original time.
     """
     rows = events if "defers" in events.columns else events.withColumn("defers", F.lit(True))
-    rows = rows.withColumn("action", F.lit("")).withColumn("done_s", F.lit(None).cast("long"))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        busy, actions, done = None, [], []
-        for at, outcome, fails, defers in part[["at_s", "outcome", "fails", "defers"]].itertuples(index=False):
-            action, busy = step(busy, int(at), outcome, int(fails), bool(defers), base_s, max_s)
-            actions.append(action)
-            done.append(busy)
-        part["action"], part["done_s"] = actions, pd.array(done, dtype="Int64")
-        return part
-
-    return rows.groupBy(*keys).applyInPandas(fold, rows.schema)
+    rows = rows.drop("action", "done_s")
+    schema = StructType([*rows.schema.fields, StructField("action", StringType()), StructField("done_s", LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, busy = None, None
+        for batch in batches:
+            actions, done = [], []
+            for at, outcome, fails, defers, *key in columns_of(batch, ["at_s", "outcome", "fails", "defers", *keys]):
+                if key != last:
+                    last, busy = key, None
+                action, busy = step(busy, int(at), outcome, int(fails), bool(defers), base_s, max_s)
+                actions.append(action)
+                done.append(busy)
+            columns = [*batch.columns, pa.array(actions, pa.string()), pa.array(done, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "action", "done_s"])
+
+    return fold_keys(rows, keys, "ord", fold, schema)
 
 
 def waits(retry: Column, base_s: int = 1, max_s: int = 86_400) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from keystrand.config import ConsumerSettings, DeferSettings, StorageSettings, duration
 from keystrand.functions import scalars as fn
-from keystrand.operators import decode, defer, filters, offsets, timers, windows
+from keystrand.operators import decode, dedup, defer, filters, offsets, timers, windows
 from keystrand.plans.modes import Engine, State
 
 
@@ -328,3 +328,31 @@ def test_offsets_are_numbered_in_hours(spark, tmp_path):
     assert {(r["event_id"], r["off"]) for r in log.collect()} == {(r["event_id"], r["off"]) for r in plain.collect()}
     assert log.count() == 2000 and "windowspecdefinition(_place" in plan_of(log.select("off"))
     assert "Join" not in plan_of(log.select("key"))  # nothing is numbered where no offset is asked for
+
+
+def test_folds_go_over_batches(spark):
+    """Deferral and deduplication over keys that span many batches, one with rows of its own type kept; no group is made for a key."""
+    rng = random.Random(18)
+    rows, want = [], {}
+    for k in range(9):
+        own = [(off, off * 3 + rng.randrange(3), rng.choice(["success", "transient"]), rng.randint(0, 3)) for off in range(k * 6)]
+        rows += [("t", None if k == 4 else 0, f"k{k}", off, off, at, o, f, b"\x00" * k) for off, at, o, f in own]
+        want |= {(f"k{k}", off): x for off, x in queue_by_force(own, 2).items()}
+    df = spark.createDataFrame(rows, "topic string, part int, key string, ord bigint, off bigint, at_s bigint, outcome string, fails int, blob binary").repartition(5)
+    df = df.withColumn("id", F.concat(F.lit("i"), F.col("off") % 4)).withColumn("ts_us", F.col("at_s") * 1_000_000).withColumn("payload", F.lit("{}"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        replayed, kept = defer.replay(df, base_s=2), dedup.with_ttl(df, 60)
+        assert {(r["key"], r["off"]): (r["action"], r["done_s"]) for r in replayed.collect()} == want
+        assert all(len(r["blob"]) == int(r["key"][1:]) for r in replayed.collect())
+        seen, left = {}, set()
+        for _, _, key, _, off, at, o, _, _ in rows:
+            if at >= seen.get((key, off % 4), 0):
+                left.add((key, off))
+                if o == "success":
+                    seen[key, off % 4] = at + 60
+        assert {(r["key"], r["off"]) for r in kept.collect()} == left and len(left) < len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "InPandas" not in plan_of(replayed) + plan_of(kept)
