@@ -64,10 +64,12 @@ def monopolization(invocations: DataFrame, window_ms: int = 300_000, threshold:
 def virtual_time(runs: DataFrame, now_ms: int, half_life_s: float = HALF_LIFE_S) -> DataFrame:
     """(key columns, vt_ms): every run's duration decayed from its end to now, added up.
 
-    Each term is decayed by its own age, so nothing overflows, and the sum needs no order and combines map-side.
+    Each term is decayed by its own age, so nothing overflows, and the sum needs no order and combines map-side. Terms are added
+    as decimals: the sum is the same in any order, so what is read twice (ranked()) agrees to the last bit.
     """
     age = (F.lit(now_ms) - F.col("end_ms")) / 1000.0
-    return runs.where(F.col("end_ms") <= now_ms).groupBy(*KEY).agg(F.sum(F.col("run_ms") * F.pow(F.lit(2.0), -age / half_life_s)).alias("vt_ms"))
+    term = (F.col("run_ms") * F.pow(F.lit(2.0), -age / half_life_s)).cast("decimal(38,18)")
+    return runs.where(F.col("end_ms") <= now_ms).groupBy(*KEY).agg(F.sum(term).cast("double").alias("vt_ms"))
 
 
 def class_time(runs: DataFrame, now_ms: int, half_life_s: float = HALF_LIFE_S) -> DataFrame:

@@ -356,3 +356,14 @@ def test_folds_go_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert "InPandas" not in plan_of(replayed) + plan_of(kept)
+
+
+def test_virtual_time_is_the_same_in_any_order(spark):
+    rng = random.Random(19)
+    runs = [("t", 0, "k", rng.randrange(1_000_000), rng.randrange(1, 10_000)) for _ in range(3000)]
+    totals = set()
+    for _ in range(4):
+        rng.shuffle(runs)
+        df = spark.createDataFrame(runs, "topic string, part int, key string, end_ms long, run_ms long")
+        totals.add(windows.virtual_time(df, 1_000_000).first()["vt_ms"])
+    assert len(totals) == 1 and totals.pop() == pytest.approx(sum(r * 2 ** (-(1_000_000 - e) / 120_000) for *_, e, r in runs), rel=1e-12)
